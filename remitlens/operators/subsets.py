@@ -1,0 +1,60 @@
+"""Sets of 2..k candidates whose balances add up to the payment.
+
+A payment has at most 100 candidates, held in its row, so the search is an expression over that
+array: no self-join, no shuffle. A frontier of partial sets (positions rising) is grown one member
+at a time; sets that reach or pass the amount, or could not reach it any more, are dropped as it
+grows, and every set that closes the amount exactly is a result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def with_subsets(rows: DataFrame, pool: Callable[[], Column], order: Callable[[Column], list[Column]],
+                 max_size: int, possible: Column) -> DataFrame:
+    """Add ``_members`` (the pool in order) and ``_subsets`` (arrays of its 0-based positions).
+
+    ``order`` gives the sort fields of a member. Rows where ``possible`` is false get no subsets.
+    """
+    keyed = F.array_sort(F.transform(pool(), lambda c: F.struct(F.struct(*order(c)).alias("k"), c.alias("c"))))
+    rows = rows.withColumn("_members", F.transform(keyed, lambda e: e["c"]))
+    cents = F.transform("_members", lambda c: (c["outstanding_amount"] * 100).cast("bigint"))
+    rows = rows.withColumns({
+        "_cents": cents,
+        "_target": (F.col("effective_amount") * 100).cast("bigint"),
+        "_positions": F.transform("_members", lambda c, i: i),
+    }).withColumn("_largest", F.array_max("_cents"))
+    start = F.transform("_positions", lambda i: F.struct(
+        F.array(i).alias("at"), F.element_at("_cents", i + 1).alias("sum")))
+    search = possible & (F.size("_members") >= 2)
+    rows = rows.withColumn("_frontier1", F.when(search, start))
+    for size in range(2, max_size + 1):
+        rows = rows.withColumns({
+            f"_closed{size}": _grow(f"_frontier{size - 1}", lambda total: total == F.col("_target"), lambda at, total: at),
+            **({} if size == max_size else {f"_frontier{size}": _grow(
+                f"_frontier{size - 1}",
+                lambda total, left=max_size - size: (total < F.col("_target")) & (total + F.lit(left) * F.col("_largest") >= F.col("_target")),
+                lambda at, total: F.struct(at.alias("at"), total.alias("sum")))}),
+        })
+    closed = [F.coalesce(f"_closed{size}", F.array().cast("array<array<int>>")) for size in range(2, max_size + 1)]
+    helpers = [c for c in rows.columns if c.startswith(("_closed", "_frontier"))]
+    return rows.withColumn("_subsets", F.concat(*closed)).drop(*helpers, "_cents", "_target", "_positions", "_largest")
+
+
+def _grow(frontier: str, keep: Callable[[Column], Column], make: Callable[[Column, Column], Column]) -> Column:
+    """One more member, at a later position, for every partial set; only sums that pass ``keep``."""
+    def extended(part: Column) -> Column:
+        later = F.slice("_positions", F.element_at(part["at"], -1) + 2, F.size("_positions"))
+        total = lambda i: part["sum"] + F.element_at("_cents", i + 1)
+        fitting = F.filter(later, lambda i: keep(total(i)))
+        return F.transform(fitting, lambda i: make(F.array_append(part["at"], i), total(i)))
+
+    return F.flatten(F.transform(frontier, extended))
+
+
+def members_of(subset: Column) -> Column:
+    return F.transform(subset, lambda i: F.element_at("_members", i + 1))
