@@ -55,7 +55,7 @@ def fold_accents(c: Column) -> Column:
     # one literal "character + expansion" list: keeps the expression small
     pairs = F.split(F.lit("|".join(a + b for a, b in longer)), "[|]")
     expanded = F.aggregate(pairs, single, lambda text, p: F.replace(text, F.left(p, F.lit(1)), F.substring(p, 2, 20)))
-    has_longer = single.rlike("[" + "".join(a for a, _ in longer) + "]")
+    has_longer = F.translate(single, "".join(a for a, _ in longer), "") != single
     return (
         F.when(~c.rlike(r"[^\x00-\x7F]"), c)
         .when(has_longer, expanded)
@@ -68,7 +68,7 @@ def clean_text(c: Column) -> Column:
     text = fold_accents(F.coalesce(c, F.lit("")))
     text = F.regexp_replace(text, vocab.CONTROL_CHARS, "")
     text = F.replace(F.replace(text, F.lit("&"), F.lit(" and ")), F.lit("@"), F.lit(" at "))
-    return F.trim(F.lower(F.regexp_replace(text, "[^a-zA-Z0-9]+", " ")))
+    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), " ")
 
 
 def strip_legal_suffix(cleaned: Column) -> Column:
@@ -87,7 +87,7 @@ def _stopwords() -> Column:
 def tokens_of(cleaned: Column, min_length: int = 3) -> Column:
     """Distinct identifying words of cleaned text."""
     words = F.array_except(F.split(cleaned, " "), _stopwords())
-    return F.filter(words, lambda w: (F.length(w) >= min_length) & ~w.rlike("^[0-9]+$"))
+    return F.filter(words, lambda w: (F.length(w) >= min_length) & (F.translate(w, "0123456789", "") != ""))
 
 
 def tokens(c: Column, min_length: int = 3) -> Column:
@@ -97,9 +97,8 @@ def tokens(c: Column, min_length: int = 3) -> Column:
 def normalize_identifier(c: Column) -> Column:
     """Comparable form of an account number or VPA; never NULL."""
     text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), vocab.CONTROL_CHARS, ""))
-    keep = "[^a-zA-Z0-9.\\-_]"
-    user = F.lower(F.regexp_replace(F.substring_index(text, "@", 1), keep, ""))
-    handle = F.lower(F.regexp_replace(F.regexp_replace(text, "^[^@]*@", ""), keep, ""))
+    kept = lambda part: F.lower(F.array_join(F.regexp_extract_all(part, F.lit("[a-zA-Z0-9._-]+"), 0), ""))
+    user, handle = kept(F.substring_index(text, "@", 1)), kept(F.regexp_replace(text, "^[^@]*@", ""))
     plain = F.lower(F.regexp_replace(text, r"(?U)[\s\-_/.]", ""))
     return F.when(text.contains("@"), F.concat(user, F.lit("@"), handle)).otherwise(plain)
 
@@ -131,7 +130,7 @@ def extract_accounts(c: Column) -> Column:
 def normalize_invoice_token(c: Column) -> Column:
     """Invoice number without its usual prefix and separators, upper case."""
     text = F.regexp_replace(F.trim(c), vocab.REFERENCE_PREFIX, "")
-    return F.upper(F.trim(F.regexp_replace(text, "[-_/:]", "")))
+    return F.upper(F.trim(F.translate(text, "-_/:", "")))
 
 
 def reference_tokens(text_upper: Column) -> Column:
@@ -141,8 +140,8 @@ def reference_tokens(text_upper: Column) -> Column:
 
 def reference_keys(tokens_upper: Column) -> Column:
     """Every form under which one of ``tokens_upper`` can equal a normalised invoice number."""
-    usable = F.filter(tokens_upper, lambda t: normalize_invoice_token(t) != "")
-    return F.array_union(F.transform(usable, normalize_invoice_token), usable)
+    forms = F.transform(tokens_upper, lambda t: F.array(normalize_invoice_token(t), t))
+    return F.array_distinct(F.flatten(F.filter(forms, lambda f: F.element_at(f, 1) != "")))
 
 
 def evidence_invoice_tokens(c: Column) -> Column:

@@ -18,6 +18,7 @@ from remitlens.config import ZERO, CandidateFilterCriteria, CandidateLimit, Skew
 from remitlens.functions import text as X
 from remitlens.functions.arrays import first
 from remitlens.functions.money import currency_code, is_currency_code
+from remitlens.operators.rows import compute_once
 from remitlens.operators.skew import grid
 from remitlens.schemas import MONEY, PRIORITY
 
@@ -54,14 +55,18 @@ def resolved_payments(identified: DataFrame) -> DataFrame:
     archived = F.col("customer_is_archived") if "customer_is_archived" in identified.columns else F.lit(False)
     verdict = F.when(~F.col("is_eligible"), "NOT_ELIGIBLE").when(F.col("customer_id").isNull(), "CUSTOMER_UNRESOLVED")
     narration, reference = F.upper(F.col("narration")), F.upper(F.col("payment_reference"))
-    return identified.select(
+    needed = identified.select(
         *PAYMENT, "customer_id", verdict.alias("upstream_status"),
         F.coalesce("unallocated_amount", F.col("amount") - F.coalesce("allocated_amount", F.lit(0))).cast(MONEY).alias("effective_amount"),
         F.col("currency").alias("payment_currency"), "payment_date", archived.alias("customer_is_archived"), "payer_raw_name",
-        F.coalesce(narration, F.lit("")).alias("_narration"), F.coalesce(reference, F.lit("")).alias("_reference"),
-        X.alphanumeric_upper(F.col("narration")).alias("_narration_plain"),
-        X.reference_tokens(narration).alias("_narration_tokens"), X.reference_tokens(reference).alias("_reference_tokens"),
-    ).withColumns({
+        "narration", "payment_reference",
+    )
+    words = compute_once(needed, {
+        "_narration": F.coalesce(narration, F.lit("")), "_reference": F.coalesce(reference, F.lit("")),
+        "_narration_plain": X.alphanumeric_upper(F.col("narration")),
+        "_narration_tokens": X.reference_tokens(narration), "_reference_tokens": X.reference_tokens(reference),
+    }).drop("narration", "payment_reference")
+    return compute_once(words, {
         "_narration_keys": X.reference_keys(F.col("_narration_tokens")),
         "_reference_keys": X.reference_keys(F.col("_reference_tokens")),
     })
@@ -95,7 +100,7 @@ def pair_signals(pairs: DataFrame) -> DataFrame:
     )
     amount, balance = F.col("effective_amount"), F.col("outstanding_amount")
     gap = F.datediff("payment_date", "due_date")
-    flagged = pairs.withColumns({
+    flagged = compute_once(pairs, {
         "reference": reference,
         "is_exact_amount_match": amount == balance,
         "is_original_amount_match": (amount != balance) & (amount == F.col("total_amount")) & (F.col("paid_amount") > 0),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from remitlens.functions import text as X
 from remitlens.functions.arrays import first
+from remitlens.operators.rows import compute_once
 
 PAYMENT = ["company_id", "payment_id"]
 ACCOUNT_TYPES = ["BANK_ACCOUNT", "VIRTUAL_ACCOUNT"]
@@ -138,7 +139,8 @@ def collect_evidence(payments: DataFrame, universe: DataFrame, customers: DataFr
         F.lit(None).cast(context.schema[c].dataType).alias(c) for c in ("_customer_name", "_aliases", "_identifiers")])
     joined = text.where("customer_id is not null").join(context, ["company_id", "customer_id"], "left").select(*unknown.columns).unionByName(unknown)
     reference = F.trim("payment_reference")
-    prepared = joined.join(account_conflicts(payments, customers), PAYMENT, "left").withColumns({
+    prepared = joined.join(account_conflicts(payments, customers), PAYMENT, "left")
+    prepared = compute_once(prepared, {
         "owners": F.coalesce("owners", F.array().cast(f"array<struct<owner_name:string,owner_id:{customers.schema['customer_id'].dataType.simpleString()}>>")),
         "_aliases": F.coalesce("_aliases", F.array().cast("array<string>")),
         "_identifiers": F.coalesce("_identifiers", F.array().cast(customers.schema["identifiers"].dataType)),
@@ -150,16 +152,15 @@ def collect_evidence(payments: DataFrame, universe: DataFrame, customers: DataFr
         "_reference": F.when(X.present(F.col("payment_reference")) & reference.rlike("(?i)^(?:INV|BILL|REC)[-_A-Z0-9]{3,30}\\b"), F.array(reference))
         .otherwise(F.array().cast("array<string>")),
     })
-    found = prepared.select(
-        *PAYMENT, _payment_items().alias("payment_items"),
+    found = compute_once(prepared, {"payment_items": _payment_items()}).select(
+        *PAYMENT, "payment_items",
         F.array_union("_reference", F.transform("_tokens", lambda t: F.upper(t))).alias("extracted_invoice_references"),
         (F.size("owners") > 0).alias("has_conflicting_identifiers"))
     rows = universe.join(found, PAYMENT)
     by_number = F.array_sort(F.transform("candidates", lambda c: F.struct(
         c["invoice_number"].alias("invoice_number"), c["invoice_id"].alias("invoice_id"), _candidate_items(c).alias("items"))))
-    return rows.select(
-        *PAYMENT, "customer_id", "payment_items", "extracted_invoice_references", "has_conflicting_identifiers",
-        by_number.alias("bundles"))
+    return compute_once(rows, {"bundles": by_number}).select(
+        *PAYMENT, "customer_id", "payment_items", "extracted_invoice_references", "has_conflicting_identifiers", "bundles")
 
 
 def evidence_rows(evidence: DataFrame) -> DataFrame:

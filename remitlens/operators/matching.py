@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from remitlens.config import ExactMatchCriteria, PartialMatchCriteria
 from remitlens.functions.arrays import first
 from remitlens.functions.money import currency_code, is_currency_code
+from remitlens.operators.rows import compute_once
 from remitlens.schemas import MONEY, money
 
 PAYMENT = ["company_id", "payment_id"]
@@ -76,8 +77,8 @@ def _one_to_one(universe: DataFrame, word: str, criteria, partial: bool) -> Data
         is_match = lambda c: F.abs(amount - c["outstanding_amount"]) <= tolerance
         other = F.size(F.filter(pool, lambda c: ~is_match(c) & (c["outstanding_amount"] > amount)))
         overflow = F.col("overflow_exact")
-    rows = universe.withColumn("_pool", comparable(criteria.require_exact_currency))
-    rows = rows.withColumn("_facts", _hypotheses(F.filter(pool, is_match), partial, criteria.date_proximity_days))
+    rows = compute_once(universe, {"_pool": comparable(criteria.require_exact_currency)})
+    rows = compute_once(rows, {"_facts": _hypotheses(F.filter(pool, is_match), partial, criteria.date_proximity_days)})
     matched = F.size("_facts")
     rows = rows.withColumns({
         "_found": (matched + overflow).cast("bigint"), "_other": other, "_over": F.size(pool) - matched - other,
@@ -108,7 +109,7 @@ def _one_to_one(universe: DataFrame, word: str, criteria, partial: bool) -> Data
         (F.col("is_truncated") & ~F.coalesce(referenced, F.lit(False)), many, "TRUNCATED_UNIVERSE_AMBIGUITY"),
         (referenced, one, f"{word}_AMOUNT_WITH_REFERENCE_MATCH"),
     ]
-    decided = rows.withColumn("_verdict", verdict(rules, (one, f"{word}_AMOUNT_MATCH_FOUND")))
+    decided = compute_once(rows, {"_verdict": verdict(rules, (one, f"{word}_AMOUNT_MATCH_FOUND"))})
     status = F.col("_verdict.status")
     live = ~stopped & (retained > 0) & ~bad_currency
     facts = F.transform("_facts", lambda h: h.dropFields("_unreferenced"))

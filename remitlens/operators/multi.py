@@ -9,8 +9,8 @@ from remitlens.config import CombinationMatchCriteria, MultiInvoiceMatchCriteria
 from remitlens.functions.arrays import first
 from remitlens.functions.money import currency_code, is_currency_code
 from remitlens.operators.matching import PAYMENT, comparable, signal, verdict
+from remitlens.operators.rows import compute_once
 from remitlens.operators.subsets import members_of, with_subsets
-from remitlens.schemas import MONEY
 
 
 def _sum_balance(members: Column) -> Column:
@@ -60,7 +60,7 @@ def match_multi_invoice(
             F.lit("MULTI_INVOICE_EXACT").alias("match_type"), signals.alias("evidence_signals"))
 
     smaller = F.size("_members")
-    rows = rows.withColumn("_facts", F.array_sort(F.transform("_subsets", fact)))
+    rows = compute_once(rows, {"_facts": F.array_sort(F.transform("_subsets", fact))})
     found, best = F.size("_facts"), first("_facts")
     exact = F.exists(comparable(criteria.require_exact_currency), lambda c: c["outstanding_amount"] == amount)
     larger = F.exists(comparable(criteria.require_exact_currency), lambda c: c["outstanding_amount"] > amount)
@@ -82,7 +82,7 @@ def match_multi_invoice(
         (F.col("is_truncated") & (best["matched_reference_count"] < best["combination_size"]), many, "TRUNCATED_UNIVERSE_AMBIGUITY"),
         (best["has_reference_match"], one, "MULTI_INVOICE_WITH_REFERENCE_MATCH"),
     ]
-    decided = rows.withColumn("_verdict", verdict(rules, (one, "MULTI_INVOICE_MATCH_FOUND")))
+    decided = compute_once(rows, {"_verdict": verdict(rules, (one, "MULTI_INVOICE_MATCH_FOUND"))})
     status = F.col("_verdict.status")
     facts = F.transform("_facts", lambda h: h.dropFields("unreferenced", "_references"))
     return decided.select(
@@ -139,11 +139,11 @@ def match_combination(
             F.size(named).alias("matched_reference_count"), (F.size(named) > 0).alias("has_reference_match"),
             amount.alias("matched_amount"), currency.alias("currency"), signals.alias("evidence_signals"))
 
-    rows = rows.withColumn("_facts", F.array_sort(F.transform("_subsets", fact)))
+    rows = compute_once(rows, {"_facts": F.array_sort(F.transform("_subsets", fact))})
     aged = F.array_sort(F.transform("_facts", lambda h: F.struct(
         h["oldest_due_date"].alias("a"), h["average_days_to_due"].alias("b"), h["combination_size"].alias("c"),
         h["invoice_numbers"].alias("d"), h["invoice_ids"].alias("e"))))
-    rows = rows.withColumns({
+    rows = compute_once(rows, {
         "_oldest": F.when(F.size("_facts") > 1, aged),
         "_most": F.array_max(F.transform("_facts", lambda h: h["matched_reference_count"])),
     })
@@ -175,7 +175,7 @@ def match_combination(
         (cut, many, "TRUNCATED_UNIVERSE_AMBIGUITY"),
         (older, preferred, "FIFO_AGING_PRIORITIZED"),
     ]
-    decided = rows.withColumn("_verdict", verdict(rules, (many, "MULTIPLE_COMBINATIONS_UNRESOLVED")))
+    decided = compute_once(rows, {"_verdict": verdict(rules, (many, "MULTIPLE_COMBINATIONS_UNRESOLVED"))})
     status, reason = F.col("_verdict.status"), F.col("_verdict.reason_code")
     facts = F.transform("_facts", lambda h: h.dropFields("unreferenced", "_references"))
     by_age = first(F.filter(facts, lambda h: h["invoice_ids"] == first("_oldest")["e"]))

@@ -15,6 +15,7 @@ from remitlens import vocab
 from remitlens.config import PayerPolicy
 from remitlens.functions import text as X
 from remitlens.functions.arrays import first
+from remitlens.operators.rows import compute_once
 from remitlens.schemas import SCORE
 
 PAYMENT = ["company_id", "payment_id"]
@@ -55,13 +56,13 @@ def payment_keys(payments: DataFrame) -> DataFrame:
     def single(kind: str, value: Column, source: str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.alias("key"), F.lit(source).alias("source_field"))
 
-    cleaned = payments.select(
-        *PAYMENT, X.clean_text(F.col("payer_raw_name")).alias("_name"),
-        X.normalize_identifier(F.col("payer_raw_identifier")).alias("_payer"),
-        X.normalize_identifier(F.col("bank_account_number")).alias("_account"),
-        X.normalize_identifier(F.col("payment_reference")).alias("_reference"),
-        vpas.alias("_vpas"), accounts.alias("_accounts"),
-    )
+    cleaned = compute_once(
+        payments.select(*PAYMENT, "payer_raw_name", "payer_raw_identifier", "bank_account_number", "payment_reference", "narration"),
+        {
+            "_name": X.clean_text(F.col("payer_raw_name")), "_payer": X.normalize_identifier(F.col("payer_raw_identifier")),
+            "_account": X.normalize_identifier(F.col("bank_account_number")),
+            "_reference": X.normalize_identifier(F.col("payment_reference")), "_vpas": vpas, "_accounts": accounts,
+        })
     listed = F.concat(
         F.array(coordinate(F.col("_payer"), "payer_raw_identifier"), coordinate(F.col("_account"), "bank_account_number")),
         F.transform("_vpas", lambda v: coordinate(v, "narration_extracted_vpa")),
@@ -72,12 +73,11 @@ def payment_keys(payments: DataFrame) -> DataFrame:
             single("TAX", F.col("_reference"), "payment_reference"),
         ),
     )
-    keyed = cleaned.select(*PAYMENT, F.filter(listed, lambda k: k["key"] != "").alias("_keys"))
     # keep the first entry of each (kind, key)
-    ids = F.transform("_keys", lambda k: F.concat(k["kind"], F.lit("|"), k["key"]))
-    keyed = keyed.withColumn("_ids", ids)
-    unique = F.filter("_keys", lambda k, i: F.array_position(
-        F.col("_ids"), F.concat(k["kind"], F.lit("|"), k["key"])) == i + 1)
+    keyed = compute_once(cleaned.select(*PAYMENT, "_name", "_payer", "_account", "_reference", "_vpas", "_accounts"),
+                         {"_keys": F.filter(listed, lambda k: k["key"] != "")})
+    keyed = compute_once(keyed, {"_ids": F.transform("_keys", lambda k: k.dropFields("source_field"))})
+    unique = F.filter("_keys", lambda k, i: F.array_position("_ids", k.dropFields("source_field")) == i + 1)
     return keyed.select(*PAYMENT, F.inline(unique))
 
 
@@ -96,7 +96,7 @@ def customer_keys(customers: DataFrame) -> DataFrame:
     cleaned_aliases = F.transform("aliases", X.clean_text)
     aliases = F.filter(
         F.transform("aliases", lambda a: entry("ALIAS", X.clean_text(a), a)),
-        lambda e, i: F.array_position(F.col("_aliases"), e["key"]) == i + 1)
+        lambda e, i: F.array_position("_aliases", e["key"]) == i + 1)
     listed = F.concat(
         F.transform("identifiers", lambda i: entry(
             "COORDINATE", X.normalize_identifier(i["identifier_value"]), i["identifier_value"], i["identifier_type"])),
@@ -106,7 +106,7 @@ def customer_keys(customers: DataFrame) -> DataFrame:
             entry("TAX", F.when(usable_tax, tax).otherwise(""), F.coalesce("tax_id", F.lit(""))),
         ),
     )
-    return context.withColumn("_aliases", cleaned_aliases).select(
+    return compute_once(context, {"_aliases": cleaned_aliases}).select(
         "company_id", "customer_id", F.col("name").alias("customer_name"),
         F.inline(F.filter(listed, lambda k: k["key"] != "")))
 
@@ -154,19 +154,19 @@ def token_signals(payments: DataFrame, customers: DataFrame) -> DataFrame:
         ranked = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
         return F.transform(ranked, lambda r: r["w"])
 
-    theirs = customers.where(~F.col("is_archived")).select(
-        "company_id", "customer_id", F.col("name").alias("customer_name"),
-        ordered(X.tokens(F.concat_ws(" ", F.col("name"), F.array_join("aliases", " ")))).alias("_words"))
+    theirs = compute_once(
+        customers.where(~F.col("is_archived")).select("company_id", "customer_id", F.col("name").alias("customer_name"), "aliases"),
+        {"_words": ordered(X.tokens(F.concat_ws(" ", F.col("customer_name"), F.array_join("aliases", " "))))}).drop("aliases")
     needed = F.ceil(F.size("_words") * F.lit(3) / F.lit(10)).cast("int")
     index = theirs.where(F.size("_words") > 0).withColumn(
         "token", F.explode(F.slice("_words", F.lit(1), F.size("_words") - needed + 1)))
 
-    paid = payments.select(*PAYMENT, X.tokens(F.concat_ws(
-        " ", F.coalesce("payer_raw_name", F.lit("")), F.coalesce("narration", F.lit("")))).alias("_text"))
+    paid = compute_once(payments.select(*PAYMENT, "payer_raw_name", "narration"), {"_text": X.tokens(F.concat_ws(
+        " ", F.coalesce("payer_raw_name", F.lit("")), F.coalesce("narration", F.lit(""))))}).drop("payer_raw_name", "narration")
     met = paid.withColumn("token", F.explode("_text")).join(index, ["company_id", "token"])
     shared = F.array_intersect("_words", "_text")
     ratio = F.size("_shared") / F.size("_words")
-    hits = met.withColumn("_shared", shared).where(
+    hits = compute_once(met, {"_shared": shared}).where(
         (F.col("token") == first("_shared"))
         & (F.size("_shared") * 10 >= F.size("_words") * 3)
         & ((F.size("_shared") >= 2) | F.exists("_shared", lambda w: F.length(w) >= 5))

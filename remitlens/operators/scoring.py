@@ -9,6 +9,7 @@ from remitlens import vocab
 from remitlens.config import ConfidencePolicy, ScoringWeights
 from remitlens.functions.arrays import first, last
 from remitlens.operators.evidence import PAYMENT, count_class
+from remitlens.operators.rows import compute_once
 from remitlens.schemas import SCORE
 
 RULE_VERSION, ALGORITHM_VERSION = "1.0.0", "14.10.0"
@@ -73,12 +74,12 @@ def normalize_evidence(evidence: DataFrame) -> DataFrame:
     ``rejected_items`` with the reason.
     """
     every = F.concat("payment_items", F.flatten(F.transform("bundles", lambda b: b["items"])))
-    return evidence.select(
-        *PAYMENT, "customer_id", _normalized(F.col("payment_items")).alias("payment_items"),
-        "extracted_invoice_references", "has_conflicting_identifiers",
-        F.transform("bundles", lambda b: F.struct(
-            b["invoice_number"].alias("invoice_number"), b["invoice_id"].alias("invoice_id"), _normalized(b["items"]).alias("items"))).alias("bundles"),
-        _rejected(every).alias("rejected_items"))
+    return compute_once(evidence, {
+        "payment_items": _normalized(F.col("payment_items")),
+        "bundles": F.transform("bundles", lambda b: F.struct(
+            b["invoice_number"].alias("invoice_number"), b["invoice_id"].alias("invoice_id"), _normalized(b["items"]).alias("items"))),
+        "rejected_items": _rejected(every),
+    }).select(*PAYMENT, "customer_id", "payment_items", "extracted_invoice_references", "has_conflicting_identifiers", "bundles", "rejected_items")
 
 
 def normalized_rows(normalized: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def score_candidates(normalized: DataFrame, weights: ScoringWeights = ScoringWei
         (-F.least(F.lit(weights.max_score).cast(wide), raw(b))).alias("_key"), b["invoice_number"].alias("invoice_number"),
         b["invoice_id"].alias("invoice_id"), raw(b).alias("raw_score"), b["contributions"].alias("contributions"),
         b["direct"].alias("direct"), b["supporting"].alias("supporting"), b["missing"].alias("missing"), b["conflicting"].alias("conflicting")))
-    ranked = normalized.withColumn("_bundles", bundles).withColumn("_scored", F.array_sort(scored))
+    ranked = compute_once(compute_once(normalized, {"_bundles": bundles}), {"_scored": F.array_sort(scored)})
     rows = ranked.select(*PAYMENT, "customer_id", "has_conflicting_identifiers", F.posexplode("_scored"))
     return rows.select(
         *PAYMENT, "customer_id", "col.invoice_id", "col.invoice_number", (F.col("pos") + 1).alias("rank"),

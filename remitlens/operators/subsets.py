@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from remitlens.operators.rows import compute_once
+
 
 def with_subsets(rows: DataFrame, pool: Callable[[], Column], order: Callable[[Column], list[Column]],
                  max_size: int, possible: Column) -> DataFrame:
@@ -21,9 +23,9 @@ def with_subsets(rows: DataFrame, pool: Callable[[], Column], order: Callable[[C
     ``order`` gives the sort fields of a member. Rows where ``possible`` is false get no subsets.
     """
     keyed = F.array_sort(F.transform(pool(), lambda c: F.struct(F.struct(*order(c)).alias("k"), c.alias("c"))))
-    rows = rows.withColumn("_members", F.transform(keyed, lambda e: e["c"]))
+    rows = compute_once(rows, {"_members": F.transform(keyed, lambda e: e["c"])})
     cents = F.transform("_members", lambda c: (c["outstanding_amount"] * 100).cast("bigint"))
-    rows = rows.withColumns({
+    rows = compute_once(rows, {
         "_cents": cents,
         "_target": (F.col("effective_amount") * 100).cast("bigint"),
         "_positions": F.transform("_members", lambda c, i: i),
@@ -31,9 +33,9 @@ def with_subsets(rows: DataFrame, pool: Callable[[], Column], order: Callable[[C
     start = F.transform("_positions", lambda i: F.struct(
         F.array(i).alias("at"), F.element_at("_cents", i + 1).alias("sum")))
     search = possible & (F.size("_members") >= 2)
-    rows = rows.withColumn("_frontier1", F.when(search, start))
+    rows = compute_once(rows, {"_frontier1": F.when(search, start)})
     for size in range(2, max_size + 1):
-        rows = rows.withColumns({
+        rows = compute_once(rows, {
             f"_closed{size}": _grow(f"_frontier{size - 1}", lambda total: total == F.col("_target"), lambda at, total: at),
             **({} if size == max_size else {f"_frontier{size}": _grow(
                 f"_frontier{size - 1}",
@@ -42,7 +44,7 @@ def with_subsets(rows: DataFrame, pool: Callable[[], Column], order: Callable[[C
         })
     closed = [F.coalesce(f"_closed{size}", F.array().cast("array<array<int>>")) for size in range(2, max_size + 1)]
     helpers = [c for c in rows.columns if c.startswith(("_closed", "_frontier"))]
-    return rows.withColumn("_subsets", F.concat(*closed)).drop(*helpers, "_cents", "_target", "_positions", "_largest")
+    return compute_once(rows, {"_subsets": F.concat(*closed)}).drop(*helpers, "_cents", "_target", "_positions", "_largest")
 
 
 def _grow(frontier: str, keep: Callable[[Column], Column], make: Callable[[Column, Column], Column]) -> Column:
