@@ -160,3 +160,77 @@ def ctes(*names: str, sql: dict[str, str] = SQL) -> str:
         visit(name)
     named = {n: n for n in [*BASE, *ORDER]}
     return "with " + ",\n".join(f"{n} as ({sql[n].format(**named)})" for n in needed)
+
+
+# --- bank statement files: 500 events each, four layouts ---------------------------------------
+
+STATEMENT_EVENTS = """
+select event_id, cast(floor(event_id / 500) as bigint) file_id, cast(floor(event_id / 500) % 7 as int) company_id,
+       cast(floor(event_id / 500) % 4 as int) layout, cast(ts as date) as day, cast(value as decimal(14,2)) amount,
+       event_id % 3 <> 0 is_credit,
+       case when event_id % 89 = 0 then '' when event_id % 71 = 0 then '=HYPERLINK ' || event_type
+            when event_id % 11 = 0 then 'NEFT/HDFC' || lpad(cast(event_id as string), 10, '0') || '/' || event_type
+            else event_type || ', "user" ' || cast(user_id as string) end narration,
+       case when event_id % 10 in (0, 1) then 'EV' || lpad(cast(event_id - event_id % 2 as string), 8, '0')
+            when event_id % 250 = 7 then 'SHARED' || cast(user_id % 3 as string)
+            when event_id % 4 = 2 then 'N/A' else '' end reference,
+       event_id % 97 = 0 bad_date, event_id % 83 = 0 bad_amount
+from {events}
+"""
+
+SQL["statement_events"] = STATEMENT_EVENTS
+ORDER.append("statement_events")
+ROUND_SQL["statement_events"] = STATEMENT_EVENTS
+
+STATEMENT_LINES = """
+select event_id, file_id, company_id, layout,
+       case layout
+         when 0 then d || ',"' || q || '",' || reference || ',' || case when is_credit then a else '' end || ',' || case when is_credit then '' else a end
+         when 1 then d || ';"' || q || '";' || reference || ';' || a || ';' || case when is_credit then 'Cr' else 'DR' end
+         when 2 then d || '\t"' || q || '"\t' || reference || '\t' || case when is_credit then '' else '-' end || a
+         else d || '|"' || q || '"|' || reference || '|' || case when is_credit then '' else a end || '|' || case when is_credit then a else '' end
+       end line
+from (select *, replace(narration, '"', '""') q, case when bad_amount then 'abc' else cast(amount as string) end a,
+             case when bad_date then 'soon' when layout = 0 then iso
+                  when layout = 1 then substr(iso, 9, 2) || '-' || substr(iso, 6, 2) || '-' || substr(iso, 1, 4)
+                  when layout = 2 then replace(iso, '-', '/')
+                  else substr(iso, 9, 2) || '.' || substr(iso, 6, 2) || '.' || substr(iso, 1, 4) end d
+      from (select *, cast(day as string) iso from {statement_events}))
+"""
+
+STATEMENT_HEADERS = {
+    0: "Txn Date,Narration,Chq/Ref No,Deposit,Withdrawal",
+    1: "Date;Description;Ref No;Amount;Type",
+    2: "Account 12345\nPrinted for you\nDate\tParticulars\tReference\tAmount",
+    3: "Date|Remarks|UTR|Debit|Credit",
+}
+
+# --- invoice documents written from invoices ----------------------------------------------------
+
+# what each document says, as columns
+DOCUMENT_FACTS = """
+select i.invoice_id, i.company_id, i.invoice_number, d.name, i.issue_date, i.due_date, i.total_amount,
+       cast(i.total_amount * 0.8 as decimal(14,2)) subtotal,
+       cast(i.total_amount - cast(i.total_amount * 0.8 as decimal(14,2)) + case when i.invoice_id % 6 = 5 then 7 else 0 end as decimal(14,2)) tax,
+       case when i.invoice_id % 5 <> 0 then '27ABCDE' || lpad(cast(i.customer_id % 10000 as string), 4, '0') || 'F1Z5' end gstin,
+       'PO-' || lpad(cast(i.invoice_id % 1000 as string), 5, '0') po,
+       i.invoice_id % 7 = 3 no_number, i.invoice_id % 9 = 4 slashed, i.invoice_id % 10 = 6 total_last, i.invoice_id % 8 = 2 no_due,
+       i.currency
+from {invoices} i join {directory} d on i.customer_id = d.customer_id
+"""
+SQL["document_facts"] = DOCUMENT_FACTS
+ORDER.append("document_facts")
+ROUND_SQL["document_facts"] = DOCUMENT_FACTS
+
+DOCUMENT_TEXTS = """
+select invoice_id, company_id,
+       'Statement of supply\n' || case when no_number then '' else 'Invoice No: ' || invoice_number || '\n' end
+       || 'Bill To: ' || name || '\n' || case when gstin is null then '' else 'GSTIN ' || gstin || '\n' end || 'PO No: ' || po || '\n'
+       || 'Dated ' || issue_text || '\n' || case when no_due then '' else 'Payable by ' || due_text || '\n' end
+       || case when total_last then '' else total_text end || 'Sub Total: ' || cast(subtotal as string) || '\n'
+       || 'Tax Amount: ' || cast(tax as string) || '\n' || case when total_last then total_text else '' end text
+from (select *, case when slashed then substr(i, 9, 2) || '/' || substr(i, 6, 2) || '/' || substr(i, 1, 4) else i end issue_text,
+             case when slashed then substr(u, 9, 2) || '/' || substr(u, 6, 2) || '/' || substr(u, 1, 4) else u end due_text,
+             'Grand Total: ' || currency || ' ' || cast(total_amount as string) || '\n' total_text
+      from (select *, cast(issue_date as string) i, cast(due_date as string) u from {document_facts}))
+"""
