@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from remitlens.operators import imports
+from remitlens.session import cut_lineage
 from remitlens.sources import statements
 
 
@@ -20,24 +21,26 @@ class StatementImport:
 
 def judge_statements(
     files: DataFrame, batches: DataFrame | None = None, stored: DataFrame | None = None,
-    default_currency: str = "INR", skip_duplicates: bool = True,
+    default_currency: str = "INR", skip_duplicates: bool = True, durable: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(files with their fate, rows with their outcome).
 
-    ``files``: company_id, file_name, content, bank_account_number.
+    ``files``: company_id, file_name, content, bank_account_number. Parsed rows are read several
+    times by the gates and reports after them, so they are cut off from the parsing (``durable``).
     """
     screened = statements.screen_files(files)
     if batches is not None:
         screened = imports.unseen_files(screened, batches)
     laid = statements.parse_layout(screened)
     parsed = statements.parse_rows(statements.statement_rows(laid), default_currency)
-    judged = imports.deduplicate_rows(imports.fingerprint_rows(parsed), stored, skip_duplicates)
-    return laid, judged
+    printed = imports.fingerprint_rows(parsed)
+    judged = imports.deduplicate_rows(cut_lineage(printed) if durable else printed, stored, skip_duplicates)
+    return laid.drop("records"), judged
 
 
 def import_statements(files: DataFrame, batches: DataFrame | None = None, stored: DataFrame | None = None,
-                      default_currency: str = "INR", skip_duplicates: bool = True) -> StatementImport:
-    laid, judged = judge_statements(files, batches, stored, default_currency, skip_duplicates)
+                      default_currency: str = "INR", skip_duplicates: bool = True, durable: bool = True) -> StatementImport:
+    laid, judged = judge_statements(files, batches, stored, default_currency, skip_duplicates, durable)
     transactions = imports.imported_transactions(judged)
     return StatementImport(
         report=imports.import_report(laid, judged), transactions=transactions,

@@ -467,7 +467,7 @@ d as (select *, case when eff <= 0 then 'NO PAYMENT_INELIGIBLE' when status_code
   else 'ONE MULTI_INVOICE_MATCH_FOUND' end v, eff <= 0 or status_code in ('CUSTOMER_UNRESOLVED', 'NOT_ELIGIBLE', 'CURRENCY_MISMATCH') stopped from c)
 select payment_id, case split_part(v, ' ', 1) when 'NO' then 'NO_MULTI_INVOICE_MATCH' when 'ONE' then 'MULTI_INVOICE_MATCH' else 'AMBIGUOUS_MULTI_INVOICE_MATCH' end status, split_part(v, ' ', 2) reason_code,
 m total_found, case when stopped then 0 when n_kept = 0 then n_eval else n_kept end candidate_count_evaluated,
-case when v like 'ONE%' then (select k from facts where facts.payment_id = d.payment_id) end matched,
+case when v like 'ONE%' then (select k from facts where facts.payment_id = d.payment_id and f = 1) end matched,
 case when v like 'AMB%' then (select string_agg(k, ',' order by f) from facts where facts.payment_id = d.payment_id) else '' end competing from d"""
 
 _COMB = f"""{_WIDE_ROUND}{_sets('invoice_number, invoice_id', f"is_ref or contains({alnum('narration')}, {alnum('invoice_number')})")},
