@@ -13,3 +13,8 @@ def first(array: Column | str) -> Column:
 
 def last(array: Column | str) -> Column:
     return F.try_element_at(F.col(array) if isinstance(array, str) else array, F.lit(-1))
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)

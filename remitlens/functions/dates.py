@@ -6,11 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from remitlens import vocab
+from remitlens.functions.arrays import bind
 
 
 def statement_date(c: Column) -> Column:
     """First of the known formats that fits, day before month; NULL when none does."""
-    text = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?U)\s+", " ")
+    tidy = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?U)\s+", " ")
+    return bind(tidy, _statement_date)
+
+
+def _statement_date(text: Column) -> Column:
     # month names are matched without regard to case
     named = F.initcap(text)
     tries = [
@@ -47,8 +52,11 @@ _NUMERIC = r"(?U)\b([0-9]{1,4})[-/.]([0-9]{1,2})[-/.]([0-9]{2,4})\b"
 
 def document_date(c: Column, day_first: bool = True) -> Column:
     """Date written in a document: ``struct(parsed_date, is_ambiguous, warning)``."""
-    text = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?U)\s+", " ")
+    tidy = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?U)\s+", " ")
+    return bind(tidy, lambda text: _document_date(text, day_first))
+
 
+def _document_date(text: Column, day_first: bool) -> Column:
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(text, pattern, group)
 

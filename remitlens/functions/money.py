@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from remitlens import vocab
+from remitlens.functions.arrays import bind
 from remitlens.functions.text import blank_to_null
 from remitlens.schemas import MONEY
 
@@ -20,14 +21,12 @@ def to_cents(text: Column) -> Column:
 
 def statement_amount(c: Column) -> Column:
     """Amount cell of a statement; NULL for formulas, letters, misplaced signs, two dots."""
-    raw = F.trim(F.coalesce(c, F.lit("")))
-    digits = F.regexp_replace(raw, r"(?U)[^\d.+\-]", "")
-    valid = (
-        ~raw.rlike("^[=@\\t\\r]")
-        & ~raw.rlike(r"\p{L}")
-        & digits.rlike(r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$")
-    )
-    return F.when(valid, to_cents(digits))
+    def parsed(raw: Column) -> Column:
+        return bind(F.regexp_replace(raw, r"(?U)[^\d.+\-]", ""), lambda digits: F.when(
+            ~raw.rlike("^[=@\\t\\r]") & ~raw.rlike(r"\p{L}") & digits.rlike(r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$"),
+            to_cents(digits)))
+
+    return bind(F.trim(F.coalesce(c, F.lit(""))), parsed)
 
 
 def add(a: Column, b: Column, currency_a: Column, currency_b: Column) -> Column:
@@ -67,34 +66,33 @@ def is_currency_code(code: Column) -> Column:
 def document_amount(c: Column, default_currency: Column | str = "INR") -> Column:
     """Amount found in a document: ``struct(amount, currency, is_valid, error)``."""
     default = default_currency if isinstance(default_currency, Column) else F.lit(default_currency)
-    raw = F.trim(F.coalesce(c, F.lit("")))
-    text = F.trim(F.substring_index(raw, ":", -1))
-    lowered = F.lower(text)
-    currency = F.coalesce(
-        *[F.when(F.contains(lowered, F.lit(symbol)), F.lit(code)) for symbol, code in vocab.CURRENCY_SYMBOLS],
-        default,
-    )
-    number = F.trim(F.regexp_replace(text, r"(?i)(?:₹|\$|€|£|INR|USD|EUR|GBP|RS\.?|/-)", ""))
-    plain = F.replace(number, F.lit(","), F.lit(""))
-    amount = to_cents(plain)
-    empty, formula = raw == "", raw.rlike("^[=@\\t\\r]")
-    letters = number.rlike(r"\p{L}")
-    grouped = F.contains(number, F.lit(","))
-    bad_groups = grouped & ~(number.rlike(vocab.INDIAN_GROUPING) | number.rlike(vocab.WESTERN_GROUPING))
-    error = (
-        F.when(empty, F.lit("EMPTY"))
-        .when(formula, F.lit("FORMULA_INJECTION"))
-        .when(letters, F.lit("ALPHABETIC_CHARACTERS"))
-        .when(bad_groups, F.lit("MALFORMED_GROUPING"))
-        .when(amount.isNull(), F.lit("NOT_A_NUMBER"))
-        .when(amount < 0, F.lit("NEGATIVE"))
-    )
-    return F.struct(
-        F.when(error.isNull(), amount).alias("amount"),
-        F.when(empty | formula, default).otherwise(currency).alias("currency"),
-        error.isNull().alias("is_valid"),
-        error.alias("error"),
-    )
+
+    def parsed(raw: Column) -> Column:
+        return bind(F.trim(F.substring_index(raw, ":", -1)), lambda text: bind(
+            F.trim(F.regexp_replace(text, r"(?i)(?:₹|\$|€|£|INR|USD|EUR|GBP|RS\.?|/-)", "")),
+            lambda number: bind(to_cents(F.replace(number, F.lit(","), F.lit(""))), lambda amount: checked(raw, text, number, amount))))
+
+    def checked(raw: Column, text: Column, number: Column, amount: Column) -> Column:
+        currency = F.coalesce(
+            *[F.when(F.contains(F.lower(text), F.lit(symbol)), F.lit(code)) for symbol, code in vocab.CURRENCY_SYMBOLS], default)
+        empty, formula = raw == "", raw.rlike("^[=@\\t\\r]")
+        bad_groups = F.contains(number, F.lit(",")) & ~(number.rlike(vocab.INDIAN_GROUPING) | number.rlike(vocab.WESTERN_GROUPING))
+        error = (
+            F.when(empty, F.lit("EMPTY"))
+            .when(formula, F.lit("FORMULA_INJECTION"))
+            .when(number.rlike(r"\p{L}"), F.lit("ALPHABETIC_CHARACTERS"))
+            .when(bad_groups, F.lit("MALFORMED_GROUPING"))
+            .when(amount.isNull(), F.lit("NOT_A_NUMBER"))
+            .when(amount < 0, F.lit("NEGATIVE"))
+        )
+        return bind(error, lambda e: F.struct(
+            F.when(e.isNull(), amount).alias("amount"),
+            F.when(empty | formula, default).otherwise(currency).alias("currency"),
+            e.isNull().alias("is_valid"),
+            e.alias("error"),
+        ))
+
+    return bind(F.trim(F.coalesce(c, F.lit(""))), parsed)
 
 
 def optional_amount(c: Column) -> Column:
