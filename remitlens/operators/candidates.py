@@ -7,6 +7,7 @@ Everything after it (matching, evidence, scoring) is row-local on that row.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,8 @@ from remitlens.operators.skew import grid
 from remitlens.schemas import MONEY, PRIORITY
 
 PAYMENT = ["company_id", "payment_id"]
-CELL = ["company_id", "customer_id", "_l", "_r"]
-OTHER_CURRENCY = "OTHER_CURRENCY"
+# what the join leaves rows partitioned on; _r_pieces belongs to the customer
+CELL = ["company_id", "customer_id", "_l", "_r", "_r_pieces"]
 
 # columns of the payment that travel with it
 CONTEXT = ["effective_amount", "payment_currency", "payment_date", "customer_is_archived", "payer_raw_name"]
@@ -41,6 +42,9 @@ GATES = [
     "AMOUNT_BELOW_MINIMUM", "AMOUNT_ABOVE_MAXIMUM", "EXCEEDS_PAYMENT_AMOUNT", "NON_CAUSAL_DATE",
     "DATE_OUT_OF_WINDOW", "REFERENCE_MISMATCH",
 ]
+# gates of a pair are kept as bits of one integer while pairs are counted
+BIT = {gate: 1 << i for i, gate in enumerate(GATES)}
+OTHER_CURRENCY = 1 << 30
 
 
 def open_invoices(invoices: DataFrame) -> DataFrame:
@@ -50,6 +54,13 @@ def open_invoices(invoices: DataFrame) -> DataFrame:
         & (F.col("outstanding_amount") > 0) & F.col("customer_id").isNotNull())
 
 
+def with_number_forms(invoices: DataFrame) -> DataFrame:
+    """The forms of the invoice number that payment texts are searched for, made once per invoice."""
+    number = F.col("invoice_number")
+    return compute_once(invoices, {
+        "_raw": F.upper(F.trim(number)), "_key": X.normalize_invoice_token(number), "_plain": X.alphanumeric_upper(number)})
+
+
 def resolved_payments(identified: DataFrame) -> DataFrame:
     """Payments as the candidate operators need them; the text work is done once per payment."""
     archived = F.col("customer_is_archived") if "customer_is_archived" in identified.columns else F.lit(False)
@@ -79,8 +90,7 @@ def pair_signals(pairs: DataFrame) -> DataFrame:
     a part-paid invoice 25, else smaller than the balance 15; issued before the payment 10; due
     within 7 / 30 / more days 10 / 5 / 2; plus up to 0.99 for days overdue.
     """
-    raw = F.upper(F.trim(F.col("invoice_number")))
-    key = X.normalize_invoice_token(F.col("invoice_number"))
+    raw, key = F.col("_raw"), F.col("_key")
 
     def token_hit(tokens: Column) -> Column:
         return first(F.filter(tokens, lambda t: (X.normalize_invoice_token(t) != "")
@@ -105,8 +115,7 @@ def pair_signals(pairs: DataFrame) -> DataFrame:
         "is_exact_amount_match": amount == balance,
         "is_original_amount_match": (amount != balance) & (amount == F.col("total_amount")) & (F.col("paid_amount") > 0),
         # the looser test combinations use: letters and digits only, on both sides
-        "number_in_narration": (X.alphanumeric_upper(F.col("invoice_number")) != "") & F.contains(
-            "_narration_plain", X.alphanumeric_upper(F.col("invoice_number"))),
+        "number_in_narration": (F.col("_plain") != "") & F.contains("_narration_plain", F.col("_plain")),
         "is_causal": F.col("issue_date") <= F.col("payment_date"),
         "days_to_due": gap,
     }).withColumns({
@@ -124,8 +133,8 @@ def pair_signals(pairs: DataFrame) -> DataFrame:
     return flagged.withColumn("retrieval_priority", (thousandths.cast("decimal(10,0)") * F.lit(Decimal("0.001"))).cast(PRIORITY))
 
 
-def gate_reasons(criteria: CandidateFilterCriteria, cross_checks: bool = False) -> Column:
-    """Every gate a pair fails, in gate order; empty when it passes.
+def _gate_tests(criteria: CandidateFilterCriteria, cross_checks: bool) -> dict[str, Column]:
+    """Gate -> test that fails it; gates the criteria leave off are not in it.
 
     ``cross_checks`` also compares the tenant and customer of both sides (columns
     ``invoice_company_id`` / ``invoice_customer_id``), for pairs that did not come from an
@@ -134,15 +143,14 @@ def gate_reasons(criteria: CandidateFilterCriteria, cross_checks: bool = False)
     balance = F.col("outstanding_amount")
     ours, theirs = currency_code(F.col("payment_currency")), currency_code(F.col("currency"))
     inverted = F.col("due_date") < F.col("issue_date")
-    never = F.lit(False)
     early = F.lit(criteria.require_causality) & (F.datediff("issue_date", "payment_date") > criteria.max_advance_days) & (
         F.col("issue_date") > F.col("payment_date"))
-    expired = never if criteria.max_lookback_days is None else (
+    expired = None if criteria.max_lookback_days is None else ~inverted & (
         (F.datediff("payment_date", "issue_date") > criteria.max_lookback_days)
         & ~(F.lit(criteria.allow_expired_debt_with_reference) & F.col("is_reference_match")))
     gates = {
-        "TENANT_MISMATCH": F.col("invoice_company_id") != F.col("company_id") if cross_checks else never,
-        "CUSTOMER_MISMATCH": F.col("invoice_customer_id") != F.col("customer_id") if cross_checks else never,
+        "TENANT_MISMATCH": F.col("invoice_company_id") != F.col("company_id") if cross_checks else None,
+        "CUSTOMER_MISMATCH": F.col("invoice_customer_id") != F.col("customer_id") if cross_checks else None,
         "CUSTOMER_ARCHIVED": F.col("customer_is_archived"),
         "ARCHIVED_INVOICE": F.col("is_archived"),
         "CURRENCY_MISMATCH": ~is_currency_code(theirs) | (ours != theirs),
@@ -151,14 +159,25 @@ def gate_reasons(criteria: CandidateFilterCriteria, cross_checks: bool = False)
         "NEGATIVE_OUTSTANDING_BALANCE": balance < 0,
         "ZERO_OUTSTANDING_BALANCE": balance == 0,
         "BALANCE_CONSERVATION_BREACH": F.col("paid_amount") + balance != F.col("total_amount"),
-        "AMOUNT_BELOW_MINIMUM": never if criteria.min_amount is None else balance < F.lit(criteria.min_amount),
-        "AMOUNT_ABOVE_MAXIMUM": never if criteria.max_amount is None else balance > F.lit(criteria.max_amount),
-        "EXCEEDS_PAYMENT_AMOUNT": F.lit(criteria.disallow_overpayment) & (balance > F.col("effective_amount")),
+        "AMOUNT_BELOW_MINIMUM": None if criteria.min_amount is None else balance < F.lit(criteria.min_amount),
+        "AMOUNT_ABOVE_MAXIMUM": None if criteria.max_amount is None else balance > F.lit(criteria.max_amount),
+        "EXCEEDS_PAYMENT_AMOUNT": balance > F.col("effective_amount") if criteria.disallow_overpayment else None,
         "NON_CAUSAL_DATE": inverted | early,
-        "DATE_OUT_OF_WINDOW": ~inverted & expired,
-        "REFERENCE_MISMATCH": F.lit(criteria.require_reference_match) & ~F.col("is_reference_match"),
+        "DATE_OUT_OF_WINDOW": expired,
+        "REFERENCE_MISMATCH": ~F.col("is_reference_match") if criteria.require_reference_match else None,
     }
-    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in gates.items()]))
+    return {name: test for name, test in gates.items() if test is not None}
+
+
+def gate_reasons(criteria: CandidateFilterCriteria, cross_checks: bool = False) -> Column:
+    """Every gate a pair fails, in gate order; empty when it passes."""
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in _gate_tests(criteria, cross_checks).items()]))
+
+
+def gate_bits(criteria: CandidateFilterCriteria, cross_checks: bool = False) -> Column:
+    """The same as the sum of the gates' bits; zero when the pair passes."""
+    bits = [F.when(test, BIT[name]).otherwise(0) for name, test in _gate_tests(criteria, cross_checks).items()]
+    return reduce(lambda a, b: a + b, bits)
 
 
 def candidate_order() -> list[Column]:
@@ -174,7 +193,7 @@ def _pairs(payments: DataFrame, invoices: DataFrame, skew: SkewPolicy, how: str
     grid of cells.
     """
     keys = ["company_id", "customer_id"]
-    left, right = grid(payments.where("upstream_status is null"), open_invoices(invoices), keys, "payment_id", "invoice_id", skew)
+    left, right = grid(payments.where("upstream_status is null"), with_number_forms(open_invoices(invoices)), keys, "payment_id", "invoice_id", skew)
     return left.join(right, [*keys, "_l", "_r"], how)
 
 
@@ -185,11 +204,11 @@ def _bounded(pairs: DataFrame, k: int, tolerance: Decimal) -> DataFrame:
     payment, so neither shuffles again. Only for hot customers, whose payments are spread over
     several cells, the (at most ``k``-long) lists of the cells are merged in a second step.
     """
-    passing = F.coalesce((F.size("reasons") == 0), F.lit(False)) & F.col("invoice_id").isNotNull()
+    passing = F.coalesce(F.col("gates") == 0, F.lit(False)) & F.col("invoice_id").isNotNull()
     ranked = pairs.withColumn("_pass", passing).withColumn(
         "rank", F.row_number().over(W.partitionBy(*CELL, "payment_id").orderBy(F.col("_pass").desc(), *candidate_order())))
     has = F.col("invoice_id").isNotNull()
-    other = F.array_contains("reasons", OTHER_CURRENCY)
+    other = F.col("gates") == OTHER_CURRENCY
     evaluated = has & ~other
     amount, balance = F.col("effective_amount"), F.col("outstanding_amount")
     # sorts like candidate_order
@@ -202,11 +221,10 @@ def _bounded(pairs: DataFrame, k: int, tolerance: Decimal) -> DataFrame:
         "passing_larger": F.count_if(F.col("_pass") & (amount < balance)),
         "other_currency": F.count_if(has & other),
     }
-    gate_counts = {f"_{g}": F.count_if(evaluated & F.array_contains("reasons", g)) for g in GATES}
+    gate_counts = {f"_{g}": F.count_if(evaluated & (F.col("gates").bitwiseAND(bit) != 0)) for g, bit in BIT.items()}
     context = [F.any_value(c).alias(c) for c in CONTEXT]
     cells = ranked.groupBy(*CELL, "payment_id").agg(
-        *context, F.any_value("_r_pieces").alias("_r_pieces"),
-        *[c.alias(n) for n, c in {**counts, **gate_counts}.items()],
+        *context, *[c.alias(n) for n, c in {**counts, **gate_counts}.items()],
         F.array_sort(F.collect_list(F.when(
             F.col("_pass") & (F.col("rank") <= k), F.struct(sort_key.alias("_order"), *CANDIDATE)))).alias("candidates"),
     )
@@ -253,7 +271,7 @@ def generate_universe(
     ``currency_mismatches_detected`` and the ranked ``candidates``.
     """
     pairs = pair_signals(_pairs(payments, invoices, skew)).withColumn(
-        "reasons", F.array_compact(F.array(F.when(F.col("currency") != F.col("payment_currency"), F.lit(OTHER_CURRENCY)))))
+        "gates", F.when(F.col("currency") != F.col("payment_currency"), OTHER_CURRENCY).otherwise(0))
     rows = _universe(payments, pairs, bound.limit)
     mismatches = F.when(F.col("total_evaluated") == 0, F.col("other_currency")).otherwise(0)
     return rows.select(
@@ -279,8 +297,8 @@ def filter_candidates(
     ``candidates``.
     """
     signals = pair_signals(_pairs(payments, invoices, skew))
-    pairs = signals.withColumn("reasons", F.when(
-        F.col("currency") != F.col("payment_currency"), F.array(F.lit(OTHER_CURRENCY))).otherwise(gate_reasons(criteria)))
+    pairs = signals.withColumn("gates", F.when(
+        F.col("currency") != F.col("payment_currency"), OTHER_CURRENCY).otherwise(gate_bits(criteria)))
     return _filtered(_universe(payments, pairs, criteria.max_candidates, exact_tolerance), exact_tolerance)
 
 
@@ -294,8 +312,8 @@ def filter_pairs(
     Of several rows of one invoice the first by ``order`` counts, the others are duplicates.
     """
     again = F.row_number().over(W.partitionBy(*PAYMENT, "invoice_id").orderBy(order or "due_date")) > 1
-    signals = pair_signals(pairs.withColumn("_again", again)).withColumn("reasons", F.when(
-        F.col("_again"), F.array(F.lit("DUPLICATE_CANDIDATE"))).otherwise(gate_reasons(criteria, cross_checks=True)))
+    signals = pair_signals(with_number_forms(pairs.withColumn("_again", again))).withColumn("gates", F.when(
+        F.col("_again"), BIT["DUPLICATE_CANDIDATE"]).otherwise(gate_bits(criteria, cross_checks=True)))
     one = F.lit(1)
     rows = _bounded(signals.withColumns({"_l": one, "_r": one, "_r_pieces": one}), criteria.max_candidates, ZERO)
     return _filtered(rows.withColumn("upstream_status", F.lit(None).cast("string")), ZERO)
@@ -359,7 +377,7 @@ def prefilter_pairs(
     """
     strict = replace(criteria, allow_expired_debt_with_reference=False, require_reference_match=False)
     pairs = _pairs(payments, invoices, skew, "inner").withColumn("is_reference_match", F.lit(False))
-    passing = pairs.where(F.size(gate_reasons(strict)) == 0)
+    passing = pairs.where(gate_bits(strict) == 0)
     order = W.partitionBy(*PAYMENT).orderBy("due_date", "issue_date", "invoice_number", "invoice_id")
     return passing.withColumn("position", F.row_number().over(order)).where(
         F.col("position") <= criteria.max_candidates).select(*PAYMENT, "invoice_id", "position")
