@@ -42,7 +42,7 @@ class Reconciliation:
         keep = cut_lineage if durable else (lambda df: df)
         self.customers = payer.customer_context(customers, aliases, identifiers)
         judged = intake.evaluate_intake(payments, policy.intake)
-        identified = payer.identify_payers(judged, self.customers, policy.payer)
+        identified = payer.identify_payers(judged, self.customers, policy.payer, durable=durable)
         if overrides is not None:
             identified = payer.apply_overrides(identified, overrides, customers)
         self.identified = keep(identified)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,19 +30,20 @@ def build_session(app_name: str = "remitlens", master: str | None = None, **extr
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
+        path = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there.
+    """Write ``df`` as a table in the checkpoint folder and go on from there.
 
-    Later stages that use it several times read the files instead of running its plan again, and a
-    lost executor costs a file read, not a recomputation.
+    Later stages that use it several times read the columns they need from the files instead of running its
+    plan again, and a lost executor costs a file read, not a recomputation. The plan runs once, where
+    an eager ``checkpoint()`` runs its last stage twice. The folder's owner clears it.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/remitlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from decimal import Decimal
 from builders import invoices, money, payments
 from pyspark.sql import functions as F
 from remitlens import schemas
-from remitlens.operators import documents, imports, ledger
+from remitlens.operators import documents, ledger
 from remitlens.plans.statement_import import import_statements, judge_statements
 from remitlens.sources import documents as docfiles
 from remitlens.streaming.statements import import_stream
@@ -135,4 +135,3 @@ def test_imports_are_repeatable(spark):
     one, two = (sorted(r.payment_id for r in import_statements(files(spark, FILES)).payments.collect()) for _ in range(2))
     assert one == two and len(set(one)) == len(one)
     assert date(2026, 3, 1) in {r.payment_date for r in import_statements(files(spark, FILES)).payments.collect()}
-    assert imports is not None

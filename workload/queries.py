@@ -311,7 +311,8 @@ def customer_reference_search(t):
 # --- documents ------------------------------------------------------------------------------------
 
 def document_texts(t) -> DataFrame:
-    return t.spark.sql(DOCUMENT_TEXTS, document_facts=t.document_facts)
+    # the facts come from one small file, the text work after them is heavy: spread the narrow rows first
+    return t.spark.sql(DOCUMENT_TEXTS, document_facts=t.document_facts.repartition("invoice_id"))
 
 
 @query(O.DOCUMENT_FIELDS)
@@ -540,7 +541,7 @@ def payer_candidate_ranking(t):
 
 @query(O.PAYERS)
 def payer_identification(t):
-    found = payer.identify_payers(judged(t), directory(t))
+    found = payer.identify_payers(judged(t), directory(t), durable=True)
     return found.select("payment_id", "company_id", "payer_status", "payer_reason", "customer_id", "payer_score")
 
 
