@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,11 +32,16 @@ def build_session(app_name: str = "remitlens", master: str | None = None, **extr
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder. Only a local session without one gets a temporary folder, which ends with the process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
+    if path:
+        return path
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir is not set: {master} needs a folder that all executors and the driver share")
+    path = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(path)
     return path
 
 
