@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from remitlens.llm.exact_dedup import DigestIndex
+from remitlens.llm.line_dedup import drop_template_lines
 from remitlens.llm.packing import pack_documents
+from remitlens.llm.pii import find_private, span_digests
 from remitlens.llm.quality_rules import quality
 from remitlens.llm.simhash_dedup import near_dedup
 
@@ -18,6 +20,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DigestIndex(spark).add(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(find_private(_table(spark, sf_dir, "documents")))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_template_lines(_table(spark, sf_dir, "documents"), count_cols=True).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -27,24 +37,52 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "common_words", "base_failed", "kept")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_pii": op3_pii,
+    "op5_line_dedup": op5_line_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_packing": op10_packing,
+    "pipeline": pipeline,
 }
 
 ORACLE = {
+    "op5_line_dedup": r"""
+with ln as (select doc_id, i, trim(regexp_replace(trim(regexp_replace(lower(l), '[ \t\x0b\x0c\r]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g')) l from (
+         select doc_id, generate_subscripts(ls, 1) i, unnest(ls) l from (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents))),
+b as (select *, string_split(l, ' ') toks from ln where l <> ''),
+c as (select *, len(toks) n, md5(len(toks) || ' ' || array_to_string(toks[1:3], ' ')) leaf from b),
+o as (select doc_id, leaf, row_number() over (partition by doc_id order by max(n) desc, leaf desc) r from c group by doc_id, leaf),
+s as (select c.*, coalesce(case when f.leaf = c.leaf then s2.leaf else f.leaf end, '') sketch
+      from c left join o f on f.doc_id = c.doc_id and f.r = 1 left join o s2 on s2.doc_id = c.doc_id and s2.r = 2 where n >= 3),
+leaves as (select leaf from (select leaf, sketch, count(*) c from s group by 1, 2) group by leaf having sum(c) * sum(c) / sum(c * c) >= 10),
+t as (select s.*, generate_subscripts(toks, 1) p, unnest(toks) tok from s semi join leaves using (leaf)),
+f as (select *, tok <> '<*>' and count(*) over (partition by leaf, p, tok) >= 10 fixed from t),
+m as (select doc_id, i, leaf, sketch, string_agg(case when fixed then tok else '<*>' end, ' ' order by p) template from f group by 1, 2, 3, 4 having avg(case when fixed then 1.0 else 0 end) >= 0.5),
+rec as (select leaf, template from (select leaf, template, sketch, count(*) c from m group by 1, 2, 3) group by 1, 2 having sum(c) * sum(c) / sum(c * c) >= 10),
+gone as (select doc_id, list(i) drops, count(*) n_dropped from m semi join rec using (leaf, template) group by doc_id)
+select d.doc_id, len(string_split(coalesce(text, ''), chr(10))) n_lines, coalesce(n_dropped, 0) n_dropped,
+       case when drops is null then text else array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(drops, i)), chr(10)) end as text
+from documents d left join gone g on g.doc_id = d.doc_id
+""",
     "op1_exact_dedup": r"""
 with t as (select doc_id, length(coalesce(text, '')) n, sha256(regexp_replace(coalesce(text, ''), '[ \t\n\x0b\x0c\r]', '', 'g')) h from documents)
 select doc_id, first_value(doc_id) over w keep_id, count(*) over (partition by h) group_size, doc_id = first_value(doc_id) over w kept, h text_sha256

@@ -6,13 +6,12 @@ from collections.abc import Iterator
 from itertools import islice, product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitlens.llm.common import look_up, staged, text_of
+from remitlens.llm.common import digest, look_up, staged, text_of
 from remitlens.llm.components import components
 
 SEED = 42
@@ -39,16 +38,16 @@ def fingerprint(text: str, size: int = 3, chunk: int = 1 << 16) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, fingerprint (as a signed long) and row number of every document; whole texts, a batch at a time."""
+    """id, ``key`` (of id and text), fingerprint (as a signed long) and row number of every document; whole texts, a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), size) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(prints, pa.int64())], ["id", "key", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, fp bigint").withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, f"id {kind}, key binary, fp bigint").withColumn("row", F.monotonically_increasing_id())
 
 
 def tile_links(left: np.ndarray, right: np.ndarray, radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +125,30 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+def without_near_copies(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group that ``near_dedup`` finds, that of the smallest id; the columns of ``docs``.
+
+    Nulls and empty texts are grouped as there; of rows that repeat each other one stays.
+    """
+    groups = near_dedup(docs, radius, size, id_col, text_col)
+    # one row of a group is kept, so keys repeat no further than rows of one id and text
+    kept = staged(groups.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("kept").alias("stays"), F.count("*").alias("copies")).where("stays"))
+    rows = docs.select(F.struct("*").alias("doc"), _row_key(id_col, text_col).alias("key"))
+    met = look_up(rows, kept, ["key"], "inner", spread="key")
+    if kept.where("copies > 1").isEmpty():
+        return met.select("doc.*")
+    return met.where("copies = 1").select("doc.*").union(met.where("copies > 1").groupBy("key").agg(F.first("doc").alias("doc")).select("doc.*"))
+
+
+def _row_key(id_col: str, text_col: str) -> Column:
+    return digest(F.col(id_col), digest(text_of(text_col)))
+
+
 def near_dedup(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text", tile: int = 2048, blocks: int = 4) -> DataFrame:
     """Groups of documents whose fingerprints are connected by links of at most ``radius`` bits.
 
     One row per row of ``docs``: the id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id of the group; null only if
-    all its ids are null) and ``kept``: true for one row of each group, that of the smallest id. A null text counts as empty, and texts
+    all its ids are null) and ``kept``: true for one row of each group, that of the smallest id; ``key`` (of id and text). A null text counts as empty, and texts
     without words have fingerprint zero, which links like any other. Rows with equal text are linked; repeated rows come
     back as often as they came. Other columns are ignored. Empty ``docs`` give no rows.
     """
@@ -141,4 +159,4 @@ def near_dedup(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "d
     lows = roots.groupBy("root").agg(F.min("low").alias("lowest"))
     groups = staged(roots.join(lows, "root").select("fp", "n", F.col("lowest.id").alias("component_id"), F.col("lowest.row").alias("keep_row")))
     return look_up(rows, groups, ["fp"], "inner", spread="row").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "row")
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "key")
