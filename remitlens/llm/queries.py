@@ -3,27 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from remitlens.llm.exact_dedup import DigestIndex
+from remitlens.llm.html_extract import main_text
 from remitlens.llm.line_dedup import drop_template_lines
 from remitlens.llm.packing import pack_documents
 from remitlens.llm.pii import find_private, span_digests
 from remitlens.llm.quality_rules import quality
+from remitlens.llm.sentencepiece_codec import decode, encode
 from remitlens.llm.simhash_dedup import near_dedup
+from remitlens.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DigestIndex(spark).add(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    path = vocabulary("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents")
+    encoded = encode(docs.select(F.struct("doc_id", F.sha2("text", 256).alias("sha256")).alias("row"), "text"), path, id_col="row")
+    back = decode(encoded.select(F.struct("row", "ids").alias("row"), "ids"), path, id_col="row")
+    return back.select("row.row.doc_id", F.size("row.ids").cast("bigint").alias("n_ids"), F.col("row.ids").alias("ids"), (F.sha2("text", 256) == F.coalesce("row.row.sha256", F.sha2(F.lit(""), 256))).alias("round_trip"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(find_private(_table(spark, sf_dir, "documents")))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_template_lines(_table(spark, sf_dir, "documents"), count_cols=True).select("doc_id", "n_lines", "n_dropped", "text")
 
@@ -37,11 +61,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "common_words", "base_failed", "kept")
 
 
-def vocabulary(name: str) -> str:
-    """Where a public tokenizer's file lies."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +77,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_pii": op3_pii,
+    "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
     "pipeline": pipeline,
 }
