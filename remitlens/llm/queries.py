@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from remitlens.llm.exact_dedup import DigestIndex
 from remitlens.llm.html_extract import main_text
+from remitlens.llm.license_scan import document_licenses
 from remitlens.llm.line_dedup import drop_template_lines
 from remitlens.llm.packing import pack_documents
 from remitlens.llm.pii import find_private, span_digests
@@ -52,6 +53,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_template_lines(_table(spark, sf_dir, "documents"), count_cols=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
