@@ -30,17 +30,17 @@ def statement_amount(c: Column) -> Column:
 
 
 def add(a: Column, b: Column, currency_a: Column, currency_b: Column) -> Column:
-    """Sum of two amounts; NULL when the currencies differ."""
-    return F.when(currency_a == currency_b, (a + b).cast(MONEY))
+    """Sum of two amounts; NULL when the currencies differ or the result doesn't fit."""
+    return F.when(currency_a == currency_b, F.try_add(a, b).try_cast(MONEY))
 
 
 def subtract(a: Column, b: Column, currency_a: Column, currency_b: Column) -> Column:
-    return F.when(currency_a == currency_b, (a - b).cast(MONEY))
+    return F.when(currency_a == currency_b, F.try_subtract(a, b).try_cast(MONEY))
 
 
 def multiply(a: Column, factor: Column) -> Column:
-    """Amount times an exact factor, HALF_UP to cents."""
-    return (a * factor).cast(MONEY)
+    """Amount times an exact factor, HALF_UP to cents; NULL when it doesn't fit."""
+    return F.try_multiply(a, factor).try_cast(MONEY)
 
 
 def compare(a: Column, b: Column, currency_a: Column, currency_b: Column) -> Column:

@@ -68,7 +68,7 @@ def resolved_payments(identified: DataFrame) -> DataFrame:
     narration, reference = F.upper(F.col("narration")), F.upper(F.col("payment_reference"))
     needed = identified.select(
         *PAYMENT, "customer_id", verdict.alias("upstream_status"),
-        F.coalesce("unallocated_amount", F.col("amount") - F.coalesce("allocated_amount", F.lit(0))).cast(MONEY).alias("effective_amount"),
+        F.coalesce("unallocated_amount", F.try_subtract(F.col("amount"), F.coalesce("allocated_amount", F.lit(0).cast(MONEY)))).try_cast(MONEY).alias("effective_amount"),
         F.col("currency").alias("payment_currency"), "payment_date", archived.alias("customer_is_archived"), "payer_raw_name",
         "narration", "payment_reference",
     )

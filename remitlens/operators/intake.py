@@ -35,7 +35,7 @@ def payment_context(payments: DataFrame, transactions: DataFrame | None = None)
 
 def effective_amount() -> Column:
     """What is left to allocate: the unallocated balance, or amount less allocated."""
-    return F.coalesce(F.col("unallocated_amount"), F.col("amount") - F.col("allocated_amount")).cast(MONEY)
+    return F.coalesce(F.col("unallocated_amount"), F.try_subtract("amount", "allocated_amount")).try_cast(MONEY)
 
 
 def evaluate_intake(payments: DataFrame, policy: IntakePolicy = IntakePolicy()) -> DataFrame:
@@ -45,7 +45,7 @@ def evaluate_intake(payments: DataFrame, policy: IntakePolicy = IntakePolicy())
     ``effective_amount`` (zero unless eligible). The first rule that applies decides.
     """
     allocated = F.coalesce(F.col("allocated_amount"), money(0))
-    unallocated = F.coalesce(F.col("unallocated_amount"), F.col("amount") - allocated).cast(MONEY)
+    unallocated = F.coalesce(F.col("unallocated_amount"), F.try_subtract(F.col("amount"), allocated)).try_cast(MONEY)
     status = F.upper(F.coalesce(blank_to_null(F.col("status")), F.lit("UNRECONCILED")))
     direction = F.upper(F.coalesce(blank_to_null(F.col("transaction_type")), F.lit("CREDIT")))
     code = currency_code(F.col("currency"))

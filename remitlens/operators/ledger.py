@@ -50,7 +50,7 @@ def _cents(c: Column) -> Column:
 
 
 def _from_cents(name: str) -> Column:
-    return (F.col(name).cast("decimal(18,0)") * F.lit(0.01).cast("decimal(3,2)")).cast(MONEY)
+    return (F.col(name).cast("decimal(18,0)") * F.lit(0.01).cast("decimal(3,2)")).try_cast(MONEY)
 
 
 def apply_allocations(payments: DataFrame, changes: DataFrame) -> DataFrame:
@@ -89,10 +89,10 @@ def allocated_payments(payments: DataFrame, applied: DataFrame) -> DataFrame:
     owner = ["company_id", "payment_id"]
     sign = F.when(F.col("kind") == "REVERT", -F.col("amount")).otherwise(F.col("amount"))
     moved = applied.where("verdict = 'ACCEPTED'").groupBy(*owner).agg(
-        F.sum(sign).cast(MONEY).alias("_moved"), F.max_by("kind", "seq").alias("_last"))
+        F.sum(sign).try_cast(MONEY).alias("_moved"), F.max_by("kind", "seq").alias("_last"))
     joined = payments.join(moved, owner, "left")
-    allocated = (F.col("allocated_amount") + F.coalesce("_moved", money(0))).cast(MONEY)
-    unallocated = (F.col("unallocated_amount") - F.coalesce("_moved", money(0))).cast(MONEY)
+    allocated = (F.col("allocated_amount") + F.coalesce("_moved", money(0))).try_cast(MONEY)
+    unallocated = (F.col("unallocated_amount") - F.coalesce("_moved", money(0))).try_cast(MONEY)
     status = (
         F.when(F.col("_moved").isNull(), F.col("status"))
         .when((F.col("_last") == "REVERT") & (allocated == 0), "UNRECONCILED").when((F.col("_last") == "ALLOCATE") & (unallocated == 0), "RECONCILED")
@@ -131,10 +131,10 @@ def apply_receipts(invoices: DataFrame, receipts: DataFrame) -> DataFrame:
 def received_invoices(invoices: DataFrame, applied: DataFrame) -> DataFrame:
     """Invoices after ``apply_receipts``."""
     owner = ["company_id", "invoice_id"]
-    moved = applied.where("verdict = 'ACCEPTED'").groupBy(*owner).agg(F.sum("amount").cast(MONEY).alias("_moved"))
+    moved = applied.where("verdict = 'ACCEPTED'").groupBy(*owner).agg(F.sum("amount").try_cast(MONEY).alias("_moved"))
     joined = invoices.join(moved, owner, "left")
-    paid = (F.col("paid_amount") + F.coalesce("_moved", money(0))).cast(MONEY)
-    left = (F.col("total_amount") - paid).cast(MONEY)
+    paid = (F.col("paid_amount") + F.coalesce("_moved", money(0))).try_cast(MONEY)
+    left = (F.col("total_amount") - paid).try_cast(MONEY)
     status = F.when(F.col("_moved").isNull(), F.col("status")).when(left == 0, "PAID").otherwise("PARTIALLY_PAID")
     return joined.withColumns({
         "paid_amount": paid, "outstanding_amount": F.when(F.col("_moved").isNull(), F.col("outstanding_amount")).otherwise(left), "status": status,
@@ -248,7 +248,7 @@ def load_payments(new: DataFrame, stored: DataFrame) -> DataFrame:
     """
     reference = blank_to_null(F.trim("payment_reference"))
     tidy = new.withColumns({
-        "payment_reference": reference, "currency": F.upper(F.trim("currency")), "amount": F.col("amount").cast(MONEY),
+        "payment_reference": reference, "currency": F.upper(F.trim("currency")), "amount": F.col("amount").try_cast(MONEY),
         "narration": F.coalesce("narration", F.lit("Manual payment receipt")),
         # rows without a reference never collide, so each gets a key of its own
         "_key": F.coalesce(reference, F.concat(F.lit("\x00"), F.col("seq").cast("string")))})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -78,8 +79,17 @@ def list_documents(documents: DataFrame, ocr_status=None, has_invoice=None) -> D
     return documents.where(_all(tests))
 
 
-def list_customers(customers: DataFrame, include_archived: bool = False) -> DataFrame:
-    return customers if include_archived else customers.where(~F.col("is_archived"))
+def list_customers(customers: DataFrame, include_archived: bool = False, with_place: bool = False) -> DataFrame:
+    """Customers; with their ``place`` in their company's order by name, then id, if asked for."""
+    listed = customers if include_archived else customers.where(~F.col("is_archived"))
+    return listed if not with_place else listed.withColumn("place", F.row_number().over(W.partitionBy("company_id").orderBy("name", "customer_id")))
+
+
+def list_batches(transactions: DataFrame) -> DataFrame:
+    """Import batches with their rows and first and last date, and their ``place`` per company, newest first."""
+    batches = transactions.groupBy("company_id", "batch_id").agg(
+        F.count("*").alias("transactions"), F.min("transaction_date").alias("first_date"), F.max("transaction_date").alias("last_date"))
+    return batches.withColumn("place", F.row_number().over(W.partitionBy("company_id").orderBy(F.desc("last_date"), F.desc("batch_id"))))
 
 
 def search_customers(customers: DataFrame, aliases: DataFrame, identifiers: DataFrame, query: str, include_archived: bool = False) -> DataFrame:
@@ -123,6 +133,15 @@ def page(df: DataFrame, order: list[Column], page: int = 1, page_size: int = 50)
     return df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
+def company_pages(df: DataFrame, order: list[Column], page: int = 1, page_size: int = 50) -> DataFrame:
+    """The same page of every company, with each row's ``place`` in its company.
+
+    Only the rows up to the page's end leave a task, so a large company costs no more than its page.
+    """
+    placed = df.withColumn("place", F.row_number().over(W.partitionBy("company_id").orderBy(*order)))
+    return placed.where(F.col("place") <= page * page_size).where(F.col("place") > (page - 1) * page_size)
+
+
 def page_totals(df: DataFrame, page_size: int = 50) -> DataFrame:
     """Rows and pages per company."""
     return df.groupBy("company_id").agg(F.count("*").alias("total")).withColumn(

@@ -181,26 +181,19 @@ def token_signals(payments: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def payer_signals(payments: DataFrame, customers: DataFrame, every_pair: bool = False, durable: bool = False) -> DataFrame:
+def payer_signals(payments: DataFrame, customers: DataFrame, durable: bool = False) -> DataFrame:
     """All signals of eligible payments, one row per (payment, customer, signal).
 
-    Word overlap is worth at most 45, or 52.25 next to a tax id: too little to be identified, to
-    conflict, or to come within 15 of the 75 a name or coordinate is worth. So it cannot change
-    the outcome of a payment that has one of those, and by default is computed for the others
-    only. ``every_pair`` computes it for all payments, for complete candidate lists.
-
-    The key signals are read twice, as signals and to tell which payments are decided; ``durable``
-    checkpoints them in between, so that the keys are extracted and joined once.
+    Words count for every payment, so the candidate lists and runners-up are complete under any policy; only a customer
+    that a payment names by a strong key gets no word signal from it. The key signals are read twice for that;
+    ``durable`` writes them out in between, so that the keys are extracted and joined once.
     """
     eligible = payments.where("is_eligible")
     keys = key_signals(eligible, customers)
     if durable:
         keys = cut_lineage(keys)
-    strong = keys.where(F.col("kind") != "TAX")
-    open_ = eligible if every_pair else eligible.join(strong.select(*PAYMENT).distinct(), PAYMENT, "left_anti")
-    words = token_signals(open_, customers)
-    if every_pair:
-        words = words.join(strong.select(*PAYMENT, "customer_id").distinct(), [*PAYMENT, "customer_id"], "left_anti")
+    strong = keys.where(F.col("kind") != "TAX").select(*PAYMENT, "customer_id").distinct()
+    words = token_signals(eligible, customers).join(strong, [*PAYMENT, "customer_id"], "left_anti")
     return keys.unionByName(words)
 
 
@@ -229,8 +222,7 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def identify_payers(
-    payments: DataFrame, customers: DataFrame, policy: PayerPolicy = PayerPolicy(), every_pair: bool = False,
-    durable: bool = False,
+    payments: DataFrame, customers: DataFrame, policy: PayerPolicy = PayerPolicy(), durable: bool = False,
 ) -> DataFrame:
     """Identify the payer of every payment of ``evaluate_intake``.
 
@@ -238,7 +230,7 @@ def identify_payers(
     ``customer_id`` (only when IDENTIFIED), ``payer_score``, and the names and scores of
     the two best candidates. Only those two decide, so ranking stops there.
     """
-    ranked = rank_candidates(payer_candidates(payer_signals(payments, customers, every_pair, durable)))
+    ranked = rank_candidates(payer_candidates(payer_signals(payments, customers, durable)))
     top = ranked.where("rank <= 2")
 
     def of(rank: int, column: str) -> Column:

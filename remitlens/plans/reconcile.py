@@ -10,12 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from remitlens.config import (
     CandidateFilterCriteria, CombinationMatchCriteria, ConfidencePolicy, ExactMatchCriteria, IntakePolicy,
     MultiInvoiceMatchCriteria, PartialMatchCriteria, PayerPolicy, ScoringWeights, SkewPolicy,
 )
 from remitlens.operators import candidates, evidence, intake, matching, multi, payer, scoring
+from remitlens.operators.candidates import PAYMENT
 from remitlens.session import cut_lineage
 
 
@@ -80,3 +82,15 @@ class Reconciliation:
     @property
     def confidence(self) -> DataFrame:
         return scoring.assess_confidence(self.scores, self.policy.confidence)
+
+    @property
+    def results(self) -> DataFrame:
+        """One row per payment: its customer, the status and reason of each kind of match, and the best candidate with its confidence."""
+        def verdict(found: DataFrame, name: str) -> DataFrame:
+            return found.select(*PAYMENT, F.col("status").alias(f"{name}_status"), F.col("reason_code").alias(f"{name}_reason"))
+
+        best = self.confidence.where("rank = 1").select(*PAYMENT, "invoice_id", "confidence_score", "confidence_level")
+        joined = self.universe.select(*PAYMENT, "customer_id")
+        for name in ("exact", "partial", "multi", "combination"):
+            joined = joined.join(verdict(getattr(self, name), name), PAYMENT)
+        return joined.join(best, PAYMENT, "left")

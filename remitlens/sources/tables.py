@@ -12,14 +12,15 @@ def read_table(spark: SparkSession, path: str, companies: list | None = None) ->
     return table if companies is None else table.where(F.col("company_id").isin(companies))
 
 
-def append_table(df: DataFrame, path: str) -> None:
+def append_table(df: DataFrame, path: str, slices: int | None = None) -> None:
     """Append rows, one directory per company.
 
-    Rows are spread by company and a hash of the row's size-limited slice, so a large company is
-    written by many tasks and a small one still gets few files.
+    Each company's rows are spread over ``slices`` tasks by a hash of their ids (by default as many as the session shuffles into), so
+    the largest company is written by as many tasks as the cluster is set up for; tasks are merged where they hold little.
     """
-    df.repartition("company_id", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in _id_columns(df)]), F.lit(16))).write.mode(
-        "append").partitionBy("company_id").parquet(path)
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.withColumn("_slice", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in _id_columns(df)]), F.lit(slices)))
+    spread.repartition("company_id", "_slice").drop("_slice").write.mode("append").partitionBy("company_id").parquet(path)
 
 
 def _id_columns(df: DataFrame) -> list[str]:

@@ -61,16 +61,12 @@ def test_input_order_does_not_matter(spark):
     assert len(results) == 1
 
 
-def test_skipping_word_overlap_for_decided_payments_changes_nothing(spark):
-    rng = random.Random(7)
-    words = ["alpha", "beta", "gamma", "trade", "chem", "ltd", "india", "works"]
-    people = [dict(id=f"k{i}", name=" ".join(rng.sample(words, rng.randint(1, 4))) + f" {i % 3}", tax_id=f"TAX{i % 6}00", identifiers=[("BANK_ACCOUNT", f"9000000{i:02d}")]) for i in range(25)]
-    rows = [dict(payment_id=f"p{i:03d}", payer_raw_name=rng.choice([None, rng.choice(people)["name"]]), narration=" ".join(rng.sample(words, 3)),
-                 payment_reference=rng.choice([None, f"TAX{rng.randint(0, 6)}00"]), payer_raw_identifier=rng.choice([None, f"9000000{rng.randint(0, 30):02d}"])) for i in range(150)]
-    c, a, i = customers(spark, *people)
-    context, pays = payer.customer_context(c, a, i), judged(payments(spark, *rows))
-    pick = lambda df: sorted((r.payment_id, r.payer_status, r.payer_reason, r.customer_id or "", str(r.payer_score)) for r in df.collect())
-    assert pick(payer.identify_payers(pays, context)) == pick(payer.identify_payers(pays, context, every_pair=True))
+def test_a_rival_known_by_words_is_the_runner_up_under_any_policy(spark):
+    c, a, i = customers(spark, dict(id="k1", name="Alpha Chemicals"), dict(id="k2", name="Chemicals Works India"))
+    context, pays = payer.customer_context(c, a, i), judged(payments(spark, dict(payment_id="p", payer_raw_name="Alpha Chemicals", narration="for works in india")))
+    near, far = (payer.identify_payers(pays, context, payer.PayerPolicy(ambiguity_delta=d)).collect()[0] for d in (15, 40))
+    assert (near.payer_status, near.customer_id, near.runner_up) == ("IDENTIFIED", "k1", "Chemicals Works India")
+    assert near.top_score - near.runner_up_score < 40 and (far.payer_status, far.payer_reason) == ("AMBIGUOUS", "CLOSE_SCORE_COUNTERPARTY_AMBIGUITY")
 
 
 def test_plan_has_no_pairwise_join(spark):

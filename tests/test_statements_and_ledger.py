@@ -135,3 +135,51 @@ def test_imports_are_repeatable(spark):
     one, two = (sorted(r.payment_id for r in import_statements(files(spark, FILES)).payments.collect()) for _ in range(2))
     assert one == two and len(set(one)) == len(one)
     assert date(2026, 3, 1) in {r.payment_date for r in import_statements(files(spark, FILES)).payments.collect()}
+
+
+def test_records_and_cells_are_those_of_a_csv_reader(spark):
+    import csv
+    import io
+
+    from remitlens.sources import statements
+    rng = random.Random(5)
+    bodies = ['Date,Narration,Credit,Debit\n2026-01-01,"two\nlines",10,\n2026-01-02,PIPE 5" STEEL,20.00,\n2026-01-03,x,30,\n2026-01-04,y "z",40,\n', 'Date,Narration,Amount\n2026-01-01,"never closed,5\n2026-01-02,b,6\n']
+    for _ in range(60):
+        cells = lambda: rng.choice(["", "a", 'q"q', '"x"', '"x,y"', '"l1\nl2"', '"d""q"', '"a"b"c', " b ", '5"'])
+        bodies.append("Date,Narration,Amount\n" + "\n".join(",".join(["2026-01-01", cells(), cells()]) for _ in range(rng.randint(1, 6))) + "\n")
+    found = statements.statement_rows(statements.parse_layout(statements.screen_files(files(spark, {f"f{i:03d}.csv": b for i, b in enumerate(bodies)}))))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.file_name, []).append((r.row_number, list(r.cells)))
+    for i, body in enumerate(bodies):
+        rows = list(csv.reader(io.StringIO("\n".join(line for line in body.split("\n") if line.strip()))))[1:]
+        want = [(k, row) for k, row in enumerate(rows, 2) if any(v.strip() for v in row)]
+        # doubled quotes after a closed quote are the one place where cells may differ
+        assert sorted(got.get(f"f{i:03d}.csv", [])) == want, body
+
+
+def test_amounts_that_overflow_become_null_and_do_not_stop_the_job(spark):
+    from remitlens.functions import money as M
+    df = spark.createDataFrame([(Decimal("999999999999.99"), Decimal("999999999999.99"))], "a decimal(14,2), b decimal(14,2)")
+    inr = F.lit("INR")
+    row = df.select(M.add(F.col("a"), F.col("b"), inr, inr).alias("s"), M.subtract(F.col("a"), F.col("b"), inr, inr).alias("d"), M.multiply(F.col("a"), F.lit(Decimal("3.5"))).alias("m")).first()
+    assert (row.s, row.d, row.m) == (None, Decimal("0.00"), None)
+    pays = payments(spark, dict(payment_id="p", amount=Decimal("999999999999.99"), unallocated_amount=Decimal("999999999999.99"), allocated_amount=0))
+    ledger.allocated_payments(pays, ledger.apply_allocations(pays, spark.createDataFrame(
+        [("c1", "p", 1, "REVERT", Decimal("999999999999.99"), "INR")], f"company_id string, payment_id string, seq bigint, kind string, amount {schemas.MONEY}, currency string"))).collect()
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    from types import SimpleNamespace
+
+    import pytest
+    from remitlens.session import checkpoint_dir
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda p: None))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            checkpoint_dir(session(master))
+        assert checkpoint_dir(session(master, "hdfs:///shared")) == "hdfs:///shared"
+    assert checkpoint_dir(session("local[4]"))

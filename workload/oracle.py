@@ -266,6 +266,21 @@ UNRECONCILED = f"{ctes('payments')} select payment_id, company_id, status from p
 ELIGIBLE = f"{ctes('payments')} select payment_id, company_id, unallocated_amount from payments where status in ('UNRECONCILED', 'PARTIALLY_RECONCILED') and unallocated_amount > 0"
 LIST_PAYMENTS = f"""{ctes('payments')} select payment_id, company_id, payment_date, amount from payments where status = 'UNRECONCILED' and payment_date between date '1997-01-01' and date '2000-12-31'
 and amount between 1000 and 400000 and (payment_reference ilike '%neft%' or narration ilike '%neft%' or payer_raw_name ilike '%neft%')"""
+COMPANY_PAGES = f"""{ctes('payments')} select * from (select company_id, payment_id, payment_date, row_number() over (partition by company_id order by payment_date desc, payment_id) place
+from payments where status = 'UNRECONCILED') where place between 41 and 60"""
+CUSTOMER_ORDER = f"{ctes('customers')} select customer_id, company_id, row_number() over (partition by company_id order by name, customer_id) place from customers where not is_archived"
+_BATCHES = f"""{ctes('statement_events')}, batches as (select *, row_number() over (partition by company_id order by last_date desc, batch_id desc) place from (select company_id, file_id batch_id, count(*) transactions,
+min(day) first_date, max(day) last_date from statement_events group by 1, 2))"""
+BATCHES = f"{_BATCHES} select * from batches"
+BATCH_ROWS = f"""{_BATCHES} select company_id, event_id, day transaction_date, row_number() over (partition by company_id order by day, event_id) place
+from statement_events e where exists (select 1 from batches b where b.company_id = e.company_id and b.batch_id = e.file_id and place = 1)"""
+BY_ID = f"{ctes('payments', 'invoices')} select payment_id, company_id, status from payments p where exists (select 1 from invoices i where i.company_id = p.company_id and i.invoice_id = p.payment_id and i.status = 'PENDING')"
+NAME_LOOKUP = f"{ctes('customers')} select customer_id, company_id from customers where name is not null"
+ALIAS_LOOKUP = f"""{ctes('aliases')} select company_id, customer_id, alias_name from aliases a
+where exists (select 1 from aliases k where k.company_id + k.customer_id % 2 = a.company_id and lower(trim(k.alias_name)) = lower(trim(a.alias_name)))"""
+IDENTIFIER_LOOKUP = f"""{ctes('customers', 'identifiers')} select company_id, customer_id, identifier_type, identifier_value from identifiers i
+where exists (select 1 from customers c where c.company_id = i.company_id and cast(900000000 + c.customer_id as varchar) = lower(trim(i.identifier_value)))"""
+REFERENCE_LOOKUP = f"""{ctes('payments')} select payment_id, company_id, payment_reference from payments p where exists (select 1 from payments k where k.company_id = p.company_id and upper(k.payment_reference) = p.payment_reference)"""
 PAYMENT_PAGE = f"{ctes('payments')} select payment_id, payment_date from payments where status = 'UNRECONCILED' order by payment_date desc, payment_id limit 50 offset 100"
 LIST_TRANSACTIONS = f"""{ctes('statement_events')} select event_id, file_id batch_id, day transaction_date, amount, 'CREDIT' transaction_type from statement_events
 where is_credit and day between date '2024-01-03' and date '2024-01-20'"""
@@ -337,15 +352,16 @@ ranked as (select *, row_number() over (partition by payment_id order by score d
 KEY_SIGNALS = f"{_P} select payment_id, customer_id, evidence_type, source_field, matched_value, weight from keyed"
 TOKEN_SIGNALS = f"{_P} select payment_id, customer_id, matched_value, weight from tokens"
 PAYER_CANDIDATES = f"{_P} select payment_id, customer_id, score composite_score, rk rank from ranked"
-PAYERS = f"""{_P}, decided as (select j.payment_id, j.company_id, a.customer_id, a.score one, case when not j.is_eligible then 'NOT_ELIGIBLE ' || j.intake_reason
+PAYERS = f"""{_P}, decided as (select j.payment_id, j.company_id, a.customer_id, a.score one, a.name top_customer, b.name runner_up, b.score two, case when not j.is_eligible then 'NOT_ELIGIBLE ' || j.intake_reason
   when a.score is null then 'UNKNOWN NO_RECOGNIZABLE_COUNTERPARTY_EVIDENCE' when len(a.coords) > 0 and len(b.coords) > 0 and not list_has_any(a.coords, b.coords) then 'CONFLICTING CONFLICTING_DIRECT_IDENTIFIERS'
   when len(a.coords) > 0 and b.named and b.score >= 70 then 'CONFLICTING CONFLICTING_COORDINATE_AND_NAME' when a.score < 30 then 'UNKNOWN INSUFFICIENT_EVIDENCE_SCORE'
   when a.score < 70 then 'AMBIGUOUS LOW_CONFIDENCE_COUNTERPARTY_MATCH' when a.score - b.score < 15 then 'AMBIGUOUS CLOSE_SCORE_COUNTERPARTY_AMBIGUITY'
   else 'IDENTIFIED DETERMINISTIC_COUNTERPARTY_IDENTIFIED' end d
   from judged j left join ranked a on j.payment_id = a.payment_id and a.rk = 1 left join ranked b on j.payment_id = b.payment_id and b.rk = 2),
 identified as (select payment_id, company_id, split_part(d, ' ', 1) payer_status, split_part(d, ' ', 2) payer_reason, case when d like 'IDENTIFIED%' then customer_id end customer_id,
-  cast(case when d like 'NOT_ELIGIBLE%' or d like 'CONFLICTING%' then 0 else coalesce(one, 0) end as decimal(5,2)) payer_score from decided)
-select payment_id, company_id, payer_status, payer_reason, customer_id, payer_score from identified"""
+  cast(case when d like 'NOT_ELIGIBLE%' or d like 'CONFLICTING%' then 0 else coalesce(one, 0) end as decimal(5,2)) payer_score, top_customer, one top_score, runner_up, two runner_up_score from decided)
+select payment_id, company_id, payer_status, payer_reason, customer_id, payer_score, top_customer, top_score, runner_up, runner_up_score from identified"""
+WIDE_PAYERS = PAYERS.replace("a.score - b.score < 15", "a.score - b.score < 45")
 OVERRIDES = f"""{_J} select payment_id, case when payment_id % 10 = 0 and payment_id % 20 <> 0 and is_eligible then true_customer_id end customer_id,
 payment_id % 10 = 0 and payment_id % 20 <> 0 and true_customer_id % 41 = 0 customer_is_archived,
 case when payment_id % 20 = 0 then 'CUSTOMER_NOT_FOUND' when payment_id % 10 = 0 then 'APPLIED' end override_status from judged"""
@@ -392,6 +408,22 @@ _TIGHT_ROUND = pairs(ROUND_SQL, _ASSIGNED, 365, 2)
 _WIDE_ROUND = pairs(ROUND_SQL, _ASSIGNED, 1500, 30)
 _ALL = pairs(SQL, "true_customer_id customer_id, false archived", 365, 30)
 
+GATES = f"""{_J}, own as (select j.payment_id, j.payment_date pd, j.currency pcur, j.narration, j.payment_reference, j.unallocated_amount eff, true_customer_id % 41 = 0 customer_archived, i.*, v
+  from judged j join invoices i on j.payment_id = i.invoice_id cross join range(16) r(v)),
+ver as (select payment_id, pd, pcur, eff, customer_archived, v, invoice_id * 16 + case when v = 13 then 0 else v end id, v = 3 or is_archived archived, case when v = 4 then 'usdx' else currency end cur,
+  case when v = 5 then 'CANCELLED' else status end status, case v when 6 then 0 when 14 then 10 when 15 then eff + 1 else total_amount end total,
+  case v when 7 then -1 when 8 then 0 when 14 then 10 when 15 then eff + 1 else outstanding_amount end bal, case when v = 8 then total_amount when v = 9 then paid_amount + 1 when v >= 14 then 0 else paid_amount end paid,
+  case v when 11 then pd + 5 when 12 then pd - 2000 else issue_date end iss, case v when 10 then issue_date - 1 when 11 then pd + 10 when 12 then pd - 1990 else due_date end due,
+  {_named_in('narration')} or {_named_in('payment_reference')} is_ref from own),
+g as (select *, list_filter(case when v = 13 then ['DUPLICATE_CANDIDATE'] else [case when v = 1 then 'TENANT_MISMATCH' end, case when v = 2 then 'CUSTOMER_MISMATCH' end, case when customer_archived then 'CUSTOMER_ARCHIVED' end,
+  case when archived then 'ARCHIVED_INVOICE' end, case when upper(trim(cur)) <> upper(trim(pcur)) or not regexp_matches(upper(trim(cur)), '^[A-Z]{{3}}$') then 'CURRENCY_MISMATCH' end,
+  case when status not in ('PENDING', 'PARTIALLY_PAID') then 'STATUS_INELIGIBLE' end, case when total <= 0 then 'NON_POSITIVE_TOTAL_AMOUNT' end, case when bal < 0 then 'NEGATIVE_OUTSTANDING_BALANCE' end,
+  case when bal = 0 then 'ZERO_OUTSTANDING_BALANCE' end, case when paid + bal <> total then 'BALANCE_CONSERVATION_BREACH' end, case when bal < 100 then 'AMOUNT_BELOW_MINIMUM' end,
+  case when bal > 250000 then 'AMOUNT_ABOVE_MAXIMUM' end, case when bal > eff then 'EXCEEDS_PAYMENT_AMOUNT' end, case when due < iss or iss > pd then 'NON_CAUSAL_DATE' end,
+  case when due >= iss and pd - iss > 365 and not is_ref then 'DATE_OUT_OF_WINDOW' end, case when not is_ref then 'REFERENCE_MISMATCH' end] end, lambda x: x is not null) reasons from ver),
+h as (select payment_id, string_agg(r || '=' || c, ',' order by r || '=' || c) breakdown from (select payment_id, r, count(*) c from (select payment_id, unnest(reasons) r from g) group by 1, 2) group by 1)
+select g.payment_id, count(*) total_evaluated, count(*) filter (len(reasons) = 0) total_retained, coalesce(any_value(breakdown), '') breakdown,
+coalesce(string_agg(id, ',' order by id) filter (len(reasons) = 0), '') retained from g left join h on g.payment_id = h.payment_id group by 1"""
 _GEN = """, gen as (select *, row_number() over (partition by payment_id order by prio desc, is_exact desc, is_ref desc, due_date, invoice_id) g from pr)"""
 GENERATED = f"""{_TIGHT}{_GEN} select payment_id, company_id, coalesce(upstream, case when n_eval > 0 then 'SUCCESS' when n_other > 0 then 'CURRENCY_MISMATCH' else 'NO_ELIGIBLE_INVOICES' end) status_code,
 n_eval total_eligible_invoices, n_eval > 3 truncated, case when n_eval = 0 then n_other else 0 end currency_mismatches_detected,
@@ -566,6 +598,19 @@ select xd.payment_id, xd.customer_id, case split_part(v, ' ', 1) when 'NO' then
 f.invoice_id, f.score confidence_score, case when f.score >= 90 then 'VERY_HIGH' when f.score >= 70 then 'HIGH' when f.score >= 40 then 'MEDIUM' when f.score > 0 then 'LOW' when f.score = 0 then 'NONE' end confidence_level
 from xd left join final f on xd.payment_id = f.payment_id and f.rk = 1"""
 
+# the same chain for the other matches, and all of it in one row per payment
+_CHAIN_PAIRS = _IDENT.rstrip() + pairs(SQL, "(select i.customer_id from identified i where i.payment_id = j.payment_id) customer_id, false archived", 365, 30)[len(_J):]
+
+
+def _chained(sql: str, prefix: str) -> str:
+    return sql.replace(prefix, _CHAIN_PAIRS).replace("rn > 2", "rn > 30")
+
+
+WHOLE = f"""select r.*, p.status partial_status, p.reason_code partial_reason, m.status multi_status, m.reason_code multi_reason, b.status combination_status, b.reason_code combination_reason
+from ({RECONCILED}) r join ({_chained(PARTIAL, _TIGHT_ROUND)}) p on p.payment_id = r.payment_id join ({_chained(MULTI, _WIDE_ROUND)}) m on m.payment_id = r.payment_id
+join ({_chained(COMBINATION, _WIDE_ROUND)}) b on b.payment_id = r.payment_id"""
+PAYLOADS = f"select payment_id, invoice_id, exact_status, partial_reason, multi_reason, combination_status, confidence_level from ({WHOLE})"
+
 # --- ledger ---------------------------------------------------------------------------------------
 
 # five changes per payment, folded by hand: state (a, u) after each

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitlens import vocab
-from remitlens.config import CandidateFilterCriteria, CandidateLimit, IntakePolicy
+from remitlens.config import CandidateFilterCriteria, CandidateLimit, IntakePolicy, PayerPolicy
 from remitlens.functions import dates, documents as D, fingerprint as P, masking, money as M, text as X
 from remitlens.operators import candidates, documents, evidence, imports, intake, ledger, listing, matching, multi, payer, scoring
 from remitlens.plans.reconcile import Reconciliation, ReconcilePolicy
@@ -466,6 +466,69 @@ def invoice_number_lookup(t):
     return listing.lookup(t.invoices, keys, "invoice_number").select("invoice_id", "invoice_number")
 
 
+@query(O.COMPANY_PAGES)
+def payment_pages(t):
+    """The third page of each company's unreconciled payments."""
+    found = listing.list_payments(t.payments, status="UNRECONCILED")
+    return listing.company_pages(found, intake.newest_first(found), page=3, page_size=20).select("company_id", "payment_id", "payment_date", F.col("place").cast("bigint").alias("place"))
+
+
+@query(O.CUSTOMER_ORDER)
+def customer_order(t):
+    return listing.list_customers(t.customers, with_place=True).select("customer_id", "company_id", F.col("place").cast("bigint").alias("place"))
+
+
+def stored_transactions(t) -> DataFrame:
+    return t.statement_events.select("company_id", "event_id", F.col("file_id").alias("batch_id"), F.col("day").alias("transaction_date"), "amount", F.when(F.col("is_credit"), "CREDIT").otherwise("DEBIT").alias("transaction_type"))
+
+
+@query(O.BATCHES)
+def import_batches(t):
+    return listing.list_batches(stored_transactions(t)).select("company_id", "batch_id", "transactions", "first_date", "last_date", F.col("place").cast("bigint").alias("place"))
+
+
+@query(O.BATCH_ROWS)
+def batch_transactions(t):
+    """The rows of each company's newest batch, in date order."""
+    rows = stored_transactions(t)
+    newest = listing.list_batches(rows).where("place = 1").select("company_id", "batch_id")
+    own = rows.join(newest, ["company_id", "batch_id"], "left_semi")
+    return listing.company_pages(own, [F.col("transaction_date"), F.col("event_id")], page_size=1 << 30).select("company_id", "event_id", "transaction_date", F.col("place").cast("bigint").alias("place"))
+
+
+@query(O.BY_ID)
+def payments_by_id(t):
+    """A list of ids, some of them unknown and some twice."""
+    asked = t.invoices.where("status = 'PENDING'").select("company_id", F.col("invoice_id").alias("payment_id"))
+    unknown = asked.select("company_id", (-F.col("payment_id")).alias("payment_id"))
+    return intake.select_payments(t.payments, asked.union(asked).union(unknown)).select("payment_id", "company_id", "status")
+
+
+@query(O.NAME_LOOKUP)
+def customer_name_lookup(t):
+    keys = t.customers.select("company_id", F.concat(F.lit(" "), F.upper("name")).alias("key"))
+    return listing.lookup(t.customers, keys, "name").select("customer_id", "company_id")
+
+
+@query(O.ALIAS_LOOKUP)
+def alias_lookup(t):
+    keys = t.aliases.select((F.col("company_id") + F.col("customer_id") % 2).alias("company_id"), F.lower("alias_name").alias("key"))
+    return listing.lookup(t.aliases, keys, "alias_name").select("company_id", "customer_id", "alias_name")
+
+
+@query(O.IDENTIFIER_LOOKUP)
+def identifier_lookup(t):
+    keys = t.customers.select("company_id", (900000000 + F.col("customer_id")).cast("string").alias("key"))
+    return listing.lookup(t.identifiers, keys, "identifier_value").select("company_id", "customer_id", "identifier_type", "identifier_value")
+
+
+@query(O.REFERENCE_LOOKUP)
+def payment_reference_lookup(t):
+    """References as typed by another company's payments: exact, so case matters."""
+    keys = t.payments.select("company_id", F.upper("payment_reference").alias("key"))
+    return listing.lookup(t.payments, keys, "payment_reference", exact=True).select("payment_id", "company_id", "payment_reference")
+
+
 @query(O.OPEN_INVOICES)
 def open_invoice_scan(t):
     return candidates.open_invoices(t.invoices).select("invoice_id", "company_id", "customer_id", "currency", "outstanding_amount")
@@ -535,14 +598,23 @@ def payer_token_signals(t):
 
 @query(O.PAYER_CANDIDATES)
 def payer_candidate_ranking(t):
-    ranked = payer.rank_candidates(payer.payer_candidates(payer.payer_signals(judged(t), directory(t), every_pair=True)))
+    ranked = payer.rank_candidates(payer.payer_candidates(payer.payer_signals(judged(t), directory(t))))
     return ranked.select("payment_id", "customer_id", "composite_score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(O.PAYERS)
 def payer_identification(t):
-    found = payer.identify_payers(judged(t), directory(t), durable=True)
-    return found.select("payment_id", "company_id", "payer_status", "payer_reason", "customer_id", "payer_score")
+    return named_payers(payer.identify_payers(judged(t), directory(t), durable=True))
+
+
+@query(O.WIDE_PAYERS)
+def payer_identification_wide(t):
+    """A policy under which a name match and a rival known by words alone are too close."""
+    return named_payers(payer.identify_payers(judged(t), directory(t), PayerPolicy(ambiguity_delta=Decimal("45.00")), durable=True))
+
+
+def named_payers(found: DataFrame) -> DataFrame:
+    return found.select("payment_id", "company_id", "payer_status", "payer_reason", "customer_id", "payer_score", "top_customer", "top_score", "runner_up", "runner_up_score")
 
 
 @query(O.OVERRIDES)
@@ -566,6 +638,39 @@ def universe(t, criteria: CandidateFilterCriteria) -> DataFrame:
     return candidates.filter_candidates(assigned(t), t.invoices, criteria)
 
 
+GATED = CandidateFilterCriteria(min_amount=Decimal("100.00"), max_amount=Decimal("250000.00"), disallow_overpayment=True, require_reference_match=True)
+
+
+def gate_pairs(t) -> DataFrame:
+    """Each payment with its own invoice in sixteen versions, most of them changed so that some gate fails."""
+    named = judged(t).withColumns({"customer_id": F.col("true_customer_id"), "customer_is_archived": F.col("true_customer_id") % 41 == 0})
+    pays = candidates.resolved_payments(named)
+    own = t.invoices.select("invoice_id", F.col("company_id").alias("invoice_company_id"), F.col("customer_id").alias("invoice_customer_id"), "invoice_number", "issue_date", "due_date",
+                            "total_amount", "paid_amount", "outstanding_amount", "currency", "status", "is_archived", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("v"))
+    rows = pays.join(own, F.col("payment_id") == F.col("invoice_id"))
+    v, paid_on, eff = F.col("v"), F.col("payment_date"), F.col("effective_amount")
+    at = lambda k, new, old: F.when(v == k, new).otherwise(old)
+    money = lambda c: c.cast("decimal(14,2)")
+    return rows.withColumns({
+        "invoice_id": F.col("invoice_id") * 16 + at(13, 0, v), "invoice_company_id": at(1, F.col("invoice_company_id") + 1, F.col("invoice_company_id")),
+        "invoice_customer_id": at(2, F.col("invoice_customer_id") + 1, F.col("invoice_customer_id")), "is_archived": (v == 3) | F.col("is_archived"),
+        "currency": at(4, F.lit("usdx"), F.col("currency")), "status": at(5, F.lit("CANCELLED"), F.col("status")),
+        "total_amount": money(at(6, F.lit(0), at(14, F.lit(10), at(15, eff + 1, F.col("total_amount"))))),
+        "outstanding_amount": money(at(7, F.lit(-1), at(8, F.lit(0), at(14, F.lit(10), at(15, eff + 1, F.col("outstanding_amount")))))),
+        "paid_amount": money(at(8, F.col("total_amount"), at(9, F.col("paid_amount") + 1, F.when(v >= 14, F.lit(0)).otherwise(F.col("paid_amount"))))),
+        "issue_date": at(11, F.date_add(paid_on, 5), at(12, F.date_sub(paid_on, 2000), F.col("issue_date"))),
+        "due_date": at(10, F.date_sub("issue_date", 1), at(11, F.date_add(paid_on, 10), at(12, F.date_sub(paid_on, 1990), at(13, F.date_add("due_date", 1), F.col("due_date"))))),
+    }).drop("v")
+
+
+@query(O.GATES)
+def candidate_gates(t):
+    """Every gate, over pairs a caller brings along."""
+    found = candidates.filter_pairs(gate_pairs(t), GATED)
+    said = F.transform(F.array_sort(F.map_entries("exclusion_breakdown")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return found.select("payment_id", "total_evaluated", "total_retained", F.array_join(F.array_sort(said), ",").alias("breakdown"), joined(F.array_sort(F.transform("candidates", lambda c: c["invoice_id"]))).alias("retained"))
+
+
 @query(O.GENERATED)
 def candidate_generation(t):
     made = candidates.generate_universe(assigned(t), t.invoices, CandidateLimit(3))
@@ -689,19 +794,19 @@ def account_conflicts(t):
     return owners.select("payment_id", joined(F.transform("owners", lambda o: o["owner_id"])).alias("owners"))
 
 
-@query(O.RECONCILED)
+@query(O.WHOLE)
 def reconciliation(t):
-    """Everything together: payments with an unknown payer to the best candidate's confidence."""
-    run = Reconciliation(t.payments, t.customers, t.aliases, t.identifiers, t.invoices, ReconcilePolicy(intake=INTAKE))
-    best = run.confidence.where("rank = 1").select("payment_id", "invoice_id", "confidence_score", "confidence_level")
-    return run.exact.select("payment_id", "customer_id", F.col("status").alias("exact_status"), F.col("reason_code").alias("exact_reason")).join(best, "payment_id", "left")
+    """Everything together: payments with an unknown payer to every kind of match and the best candidate's confidence."""
+    return Reconciliation(t.payments, t.customers, t.aliases, t.identifiers, t.invoices, ReconcilePolicy(intake=INTAKE)).results.drop("company_id")
 
 
-@query(None)
+@query(O.PAYLOADS)
 def reconciliation_payload(t):
+    """Results as JSON payloads, read back field by field."""
     from remitlens.sources.tables import payload
     run = Reconciliation(t.payments, t.customers, t.aliases, t.identifiers, t.invoices, ReconcilePolicy(intake=INTAKE))
-    return payload(run.combination)
+    fields = [F.get_json_object("payload", f"$.{c}").alias(c) for c in ("exact_status", "partial_reason", "multi_reason", "combination_status", "confidence_level")]
+    return payload(run.results).select("payment_id", F.get_json_object("payload", "$.invoice_id").cast("bigint").alias("invoice_id"), *fields)
 
 
 # --- ledger ---------------------------------------------------------------------------------------
