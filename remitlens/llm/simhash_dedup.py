@@ -77,6 +77,8 @@ def tile_links(left: np.ndarray, right: np.ndarray, radius: int, rows: int = 256
 
 def _counts(blocks: int) -> list[Column]:
     width = BITS // blocks
+    if blocks == 1:
+        return [F.bit_count("fp").cast("int")]
     mask = (1 << width) - 1
     return [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit(mask).cast("bigint"))).cast("int") for k in range(blocks)]
 
