@@ -142,8 +142,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers:
                         out["ids"].append(part.astype(np.int32))
                     offset += length
                 made, per_tier[tier] = made + 1, per_tier[tier] + 1
-            return pa.RecordBatch.from_arrays([pa.array(out["id"], id_type), *[pa.array(out[n], pa.int64()) for n in names[1:9]],
-                                               *[pa.array(out["ids"], pa.list_(pa.int32()))] * with_ids], names)
+            types = [id_type, *[pa.int64()] * 8, pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names)
 
         doc, id_type = 0, None
         for batch in batches:

@@ -179,6 +179,8 @@ def test_packing_is_a_partition_of_the_ids_without_padding(docs_of):
         own.sort(key=lambda r: r.offset)
         assert [r.offset for r in own] == list(np.cumsum([0, *[r.length for r in own[:-1]]])) and {r.window for r in own} == {sum(r.length for r in own)}
         assert own[0].window <= 2048 and own[0].window & (own[0].window - 1) == 0
+    again = pack_documents(docs_of(rows).repartition(3), WORD_BPE).collect()
+    assert sorted((r.sequence_id, r.offset, r.ids_crc32) for r in again) == sorted((r.sequence_id, r.offset, r.ids_crc32) for r in got)
     assert pack_documents(docs_of([]), WORD_BPE).count() == 0
 
 
