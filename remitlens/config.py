@@ -30,6 +30,27 @@ class IntakePolicy:
     forward_days: int = 30
 
 
+@dataclass(frozen=True)
+class ReadLimits:
+    """Bounds on what is read from files and kept of it. By default there are none; ``RULE_LIMITS`` has those of the rules.
+
+    A file over ``max_file_bytes`` is refused with a reason. The header must be among the first ``header_scan_lines`` lines,
+    a document's dates are its first ``document_dates``, ``stored_text`` characters of its text are kept, and storage keys keep
+    ``stem_chars`` and ``extension_chars`` of the file's name.
+    """
+
+    max_file_bytes: int | None = None
+    header_scan_lines: int | None = None
+    document_dates: int | None = None
+    stored_text: int | None = None
+    stem_chars: int | None = None
+    extension_chars: int | None = None
+
+
+NO_LIMITS = ReadLimits()
+RULE_LIMITS = ReadLimits(max_file_bytes=10 * 1024 * 1024, header_scan_lines=20, document_dates=5, stored_text=500, stem_chars=64, extension_chars=10)
+
+
 @dataclass(frozen=True)
 class PayerPolicy:
     ambiguity_delta: Decimal = Decimal("15.00")
@@ -37,16 +58,24 @@ class PayerPolicy:
     viable_score: Decimal = Decimal("30.00")
 
 
+#: candidates per payment in the rules' service
+RULE_BOUND = 30
+
+
 @dataclass(frozen=True)
 class CandidateLimit:
-    limit: int = 30
+    """At most ``limit`` candidates per payment, all of them by default; the rules' service takes ``RULE_BOUND``."""
+
+    limit: int | None = None
 
     def __post_init__(self) -> None:
-        _require(1 <= self.limit <= 100, "candidate limit must be between 1 and 100")
+        _require(self.limit is None or 1 <= self.limit <= 100, "candidate limit must be between 1 and 100")
 
 
 @dataclass(frozen=True)
 class CandidateFilterCriteria:
+    """The gates. ``max_candidates`` bounds what passes them; None, the default, keeps all. What a bound left out is counted by the result."""
+
     min_amount: Decimal | None = None
     max_amount: Decimal | None = None
     max_lookback_days: int | None = 365
@@ -56,14 +85,14 @@ class CandidateFilterCriteria:
     require_reference_match: bool = False
     disallow_overpayment: bool = False
     allow_expired_debt_with_reference: bool = True
-    max_candidates: int = 30
+    max_candidates: int | None = None
 
     def __post_init__(self) -> None:
         _require(self.min_amount is None or self.min_amount >= ZERO, "min_amount must not be negative")
         _require(self.max_amount is None or self.max_amount >= ZERO, "max_amount must not be negative")
         if self.min_amount is not None and self.max_amount is not None:
             _require(self.min_amount <= self.max_amount, "min_amount must not exceed max_amount")
-        _require(1 <= self.max_candidates <= 100, "max_candidates must be between 1 and 100")
+        _require(self.max_candidates is None or 1 <= self.max_candidates <= 100, "max_candidates must be between 1 and 100")
         _require(self.max_advance_days >= 0, "max_advance_days must not be negative")
 
 

@@ -197,16 +197,16 @@ def _pairs(payments: DataFrame, invoices: DataFrame, skew: SkewPolicy, how: str
     return left.join(right, [*keys, "_l", "_r"], how)
 
 
-def _bounded(pairs: DataFrame, k: int, tolerance: Decimal) -> DataFrame:
-    """Counts and the best ``k`` passing pairs of each payment, one row per payment.
+def _bounded(pairs: DataFrame, k: int | None, tolerance: Decimal) -> DataFrame:
+    """Counts and the best ``k`` passing pairs of each payment (None: all), one row per payment.
 
     Ranking and counting are grouped by the keys the join left the rows partitioned on plus the
     payment, so neither shuffles again. Only for hot customers, whose payments are spread over
     several cells, the (at most ``k``-long) lists of the cells are merged in a second step.
     """
     passing = F.coalesce(F.col("gates") == 0, F.lit(False)) & F.col("invoice_id").isNotNull()
-    ranked = pairs.withColumn("_pass", passing).withColumn(
-        "rank", F.row_number().over(W.partitionBy(*CELL, "payment_id").orderBy(F.col("_pass").desc(), *candidate_order())))
+    best = F.lit(0) if k is None else F.row_number().over(W.partitionBy(*CELL, "payment_id").orderBy(F.col("_pass").desc(), *candidate_order()))
+    ranked = pairs.withColumn("_pass", passing).withColumn("rank", best)
     has = F.col("invoice_id").isNotNull()
     other = F.col("gates") == OTHER_CURRENCY
     evaluated = has & ~other
@@ -226,13 +226,13 @@ def _bounded(pairs: DataFrame, k: int, tolerance: Decimal) -> DataFrame:
     cells = ranked.groupBy(*CELL, "payment_id").agg(
         *context, *[c.alias(n) for n, c in {**counts, **gate_counts}.items()],
         F.array_sort(F.collect_list(F.when(
-            F.col("_pass") & (F.col("rank") <= k), F.struct(sort_key.alias("_order"), *CANDIDATE)))).alias("candidates"),
+            F.col("_pass") & (F.lit(True) if k is None else F.col("rank") <= k), F.struct(sort_key.alias("_order"), *CANDIDATE)))).alias("candidates"),
     )
     whole = cells.where("_r_pieces = 1")
     merged = cells.where("_r_pieces > 1").groupBy("company_id", "customer_id", "payment_id").agg(
         *context, *[F.sum(n).alias(n) for n in [*counts, *gate_counts]],
         # one bounded list per piece
-        F.slice(F.array_sort(F.flatten(F.collect_list("candidates"))), 1, k).alias("candidates"))
+        (lambda merged: merged if k is None else F.slice(merged, 1, k))(F.array_sort(F.flatten(F.collect_list("candidates")))).alias("candidates"))
     columns = ["company_id", "customer_id", "payment_id", *CONTEXT, *counts, *gate_counts, "candidates"]
     rows = whole.select(*columns).unionByName(merged.select(*columns))
     # NULL where no pair failed the gate, so that compacting leaves only gates that were hit
@@ -256,7 +256,7 @@ def _without_customer(payments: DataFrame, template: DataFrame) -> DataFrame:
     return stopped.select(*[column(n) for n in fields], "upstream_status")
 
 
-def _universe(payments: DataFrame, pairs: DataFrame, k: int, tolerance: Decimal = ZERO) -> DataFrame:
+def _universe(payments: DataFrame, pairs: DataFrame, k: int | None, tolerance: Decimal = ZERO) -> DataFrame:
     paired = _bounded(pairs, k, tolerance)
     return paired.withColumn("upstream_status", F.lit(None).cast("string")).unionByName(
         _without_customer(payments, paired))
@@ -279,8 +279,8 @@ def generate_universe(
         F.coalesce("upstream_status", F.when(F.col("total_evaluated") > 0, "SUCCESS")
                    .when(mismatches > 0, "CURRENCY_MISMATCH").otherwise("NO_ELIGIBLE_INVOICES")).alias("status_code"),
         F.col("total_evaluated").alias("total_eligible_invoices"),
-        (F.col("total_evaluated") > bound.limit).alias("truncated"),
-        F.lit(bound.limit).alias("candidate_limit"),
+        (F.lit(False) if bound.limit is None else F.col("total_evaluated") > bound.limit).alias("truncated"),
+        F.lit(bound.limit).cast("int").alias("candidate_limit"),
         mismatches.alias("currency_mismatches_detected"), "candidates",
     )
 
@@ -358,7 +358,7 @@ def excluded_candidates(
     gated = signals.withColumn("reasons", gate_reasons(criteria)).withColumn("_pass", F.size("reasons") == 0)
     best = W.partitionBy(*PAYMENT).orderBy(F.col("_pass").desc(), *candidate_order())
     left_out = gated.withColumn("_rank", F.row_number().over(best)).where(
-        ~F.col("_pass") | (F.col("_rank") > criteria.max_candidates))
+        ~F.col("_pass") | (F.lit(False) if criteria.max_candidates is None else F.col("_rank") > criteria.max_candidates))
     order = W.partitionBy(*PAYMENT).orderBy("due_date", F.col("outstanding_amount").desc(), "invoice_number", "invoice_id")
     return left_out.select(
         *PAYMENT, "invoice_id", "invoice_number", "outstanding_amount", "currency", "issue_date", "due_date",
@@ -380,7 +380,7 @@ def prefilter_pairs(
     passing = pairs.where(gate_bits(strict) == 0)
     order = W.partitionBy(*PAYMENT).orderBy("due_date", "issue_date", "invoice_number", "invoice_id")
     return passing.withColumn("position", F.row_number().over(order)).where(
-        F.col("position") <= criteria.max_candidates).select(*PAYMENT, "invoice_id", "position")
+        F.lit(True) if criteria.max_candidates is None else F.col("position") <= criteria.max_candidates).select(*PAYMENT, "invoice_id", "position")
 
 
 def candidate_rows(universe: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from remitlens.operators.rows import join_known
 from remitlens.config import IntakePolicy
 from remitlens.functions.money import currency_code, is_currency_code
 from remitlens.functions.text import blank_to_null
@@ -26,7 +27,7 @@ def payment_context(payments: DataFrame, transactions: DataFrame | None = None)
     )
     fallback = {"payer_raw_name": "_name", "payment_reference": "_reference",
                 "bank_account_number": "_account", "narration": "_narration"}
-    joined = payments.drop("transaction_type").join(bank, ["company_id", "bank_transaction_id"], "left")
+    joined = join_known(payments.drop("transaction_type"), bank, ["company_id", "bank_transaction_id"])
     return joined.withColumns({
         **{name: F.coalesce(blank_to_null(F.col(name)), F.col(other)) for name, other in fallback.items()},
         "transaction_type": F.coalesce(F.col("_type"), F.lit("CREDIT")),

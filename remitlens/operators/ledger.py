@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from remitlens import vocab
@@ -16,6 +17,46 @@ from remitlens.functions.text import blank_to_null, squeeze
 from remitlens.schemas import MONEY, money
 
 
+#: owners with more changes than this are streamed through in order instead of being folded as one row
+LONG_OWNER = 10_000
+
+
+def _in_order(rows: DataFrame, owner: list[str], verdict, step) -> DataFrame:
+    """Add ``verdict`` and the balances ``_a``, ``_b`` after it to each change of each owner, in ``seq`` order.
+
+    A change is accepted or refused by what the changes before it left. Owners whose every change fits when all of them are
+    accepted need no more than running sums. The changes of another owner are folded as an array; an owner with more than
+    LONG_OWNER of them is streamed through sorted partitions with its two running balances as the only state.
+    """
+    order = W.partitionBy(*owner).orderBy("seq")
+    signed = F.when(F.col("_early") != "", 0).when(F.col("_kind") == "REVERT", -F.col("_change")).otherwise(F.col("_change"))
+    summed = rows.withColumn("_signed", signed).withColumn("_sum", F.sum("_signed").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    before = F.col("_sum") - F.col("_signed")
+    fits = (F.col("_early") != "") | (verdict(F.col("_a") + before, F.col("_b") - before, F.col("_change"), F.col("_kind")) == "")
+    whole = W.partitionBy(*owner)
+    judged = summed.withColumn("_fits", F.min(fits.cast("int")).over(whole)).withColumn("_changes", F.count("*").over(whole))
+    plain = judged.where("_fits = 1").withColumns({
+        "verdict": F.when(F.col("_early") != "", F.col("_early")).otherwise("ACCEPTED"), "_a": F.col("_a") + F.col("_sum"), "_b": F.col("_b") - F.col("_sum")})
+    columns = [c for c in rows.columns if c not in ("_change", "_early")]
+    mixed = judged.where("_fits = 0")
+    short = mixed.where(F.col("_changes") <= LONG_OWNER).groupBy(*owner).agg(F.array_sort(F.collect_list(F.struct("seq", *[c for c in rows.columns if c not in (*owner, "seq")]))).alias("_list"))
+
+    def move(state: F.Column, change: F.Column) -> F.Column:
+        said = F.when(change["_early"] != "", change["_early"]).otherwise(verdict(state["a"], state["b"], change["_change"], change["_kind"]))
+        moved = F.when(said != "", 0).when(change["_kind"] == "REVERT", -change["_change"]).otherwise(change["_change"])
+        after = F.struct((state["a"] + moved).alias("a"), (state["b"] - moved).alias("b"), F.when(said == "", "ACCEPTED").otherwise(said).alias("verdict"))
+        return F.struct(after["a"].alias("a"), after["b"].alias("b"), F.concat(state["done"], F.array(after)).alias("done"))
+
+    start = F.struct(F.get("_list", F.lit(0))["_a"].alias("a"), F.get("_list", F.lit(0))["_b"].alias("b"), F.array().cast("array<struct<a:bigint,b:bigint,verdict:string>>").alias("done"))
+    folded = short.select(*owner, F.explode(F.arrays_zip("_list", F.aggregate("_list", start, move, lambda s: s["done"]).alias("done"))).alias("_x")).select(
+        *owner, *[F.col(f"_x._list.{c}").alias(c) for c in columns if c not in (*owner, "_a", "_b")], F.col("_x.done.verdict").alias("verdict"), F.col("_x.done.a").alias("_a"), F.col("_x.done.b").alias("_b"))
+    long_ = mixed.where(F.col("_changes") > LONG_OWNER).select(*rows.columns)
+    names = [*columns, "verdict"]
+    types = dict(rows.dtypes) | {"verdict": "string"}
+    streamed = _fold(long_.repartition(*owner).sortWithinPartitions(*owner, "seq"), owner, ", ".join(f"{c} {types[c]}" for c in names), step)
+    return plain.select(*names).unionByName(folded.select(*names)).unionByName(streamed)
+
+
 def _fold(sorted_rows: DataFrame, owner: list[str], schema: str, step) -> DataFrame:
     """Run ``step`` over the rows of each owner in order, carrying its balance.
 
@@ -70,16 +111,16 @@ def apply_allocations(payments: DataFrame, changes: DataFrame) -> DataFrame:
     rows = joined.select(
         *owner, "seq", "amount", F.col("kind").alias("_kind"), _cents(F.col("amount")).alias("_change"), F.coalesce(early, F.lit("")).alias("_early"),
         F.coalesce("_a", F.lit(0)).alias("_a"), F.coalesce("_b", F.lit(0)).alias("_b"), "_status")
-    types = dict(rows.dtypes)
-    schema = f"company_id {types['company_id']}, payment_id {types['payment_id']}, seq {types['seq']}, amount {types['amount']}, _kind string, _a bigint, _b bigint, _status string, verdict string"
+
+    def verdict(allocated, unallocated, change, kind):
+        return F.when((kind == "REVERT") & (change > allocated), "EXCEEDS_ALLOCATED").when((kind != "REVERT") & (change > unallocated), "EXCEEDS_UNALLOCATED").otherwise("")
 
     def step(allocated: int, unallocated: int, change: int, kind: str) -> str:
         if kind == "REVERT":
             return "EXCEEDS_ALLOCATED" if change > allocated else ""
         return "EXCEEDS_UNALLOCATED" if change > unallocated else ""
 
-    ordered = rows.repartition(*owner).sortWithinPartitions(*owner, "seq")
-    done = _fold(ordered, owner, schema, step)
+    done = _in_order(rows, owner, verdict, step)
     return done.select(
         *owner, "seq", F.col("_kind").alias("kind"), "amount", "verdict", _from_cents("_a").alias("allocated_after"), _from_cents("_b").alias("unallocated_after"))
 
@@ -116,15 +157,16 @@ def apply_receipts(invoices: DataFrame, receipts: DataFrame) -> DataFrame:
     rows = joined.select(
         *owner, "seq", "amount", F.lit("RECEIPT").alias("_kind"), _cents(F.col("amount")).alias("_change"), F.coalesce(early, F.lit("")).alias("_early"),
         F.coalesce("_a", F.lit(0)).alias("_a"), F.coalesce("_b", F.lit(0)).alias("_b"))
-    types = dict(rows.dtypes)
-    schema = f"company_id {types['company_id']}, invoice_id {types['invoice_id']}, seq {types['seq']}, amount {types['amount']}, _kind string, _a bigint, _b bigint, verdict string"
+
+    def verdict(paid, outstanding, change, kind):
+        return F.when(outstanding == 0, "STATUS_NOT_OPEN").when(change > outstanding, "EXCEEDS_OUTSTANDING").otherwise("")
 
     def step(paid: int, outstanding: int, change: int, kind: str) -> str:
         if outstanding == 0:
             return "STATUS_NOT_OPEN"
         return "EXCEEDS_OUTSTANDING" if change > outstanding else ""
 
-    done = _fold(rows.repartition(*owner).sortWithinPartitions(*owner, "seq"), owner, schema, step)
+    done = _in_order(rows, owner, verdict, step)
     return done.select(*owner, "seq", "amount", "verdict", _from_cents("_a").alias("paid_after"), _from_cents("_b").alias("outstanding_after"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from remitlens.operators.rows import join_known
+
 
 def _all(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
@@ -156,10 +158,10 @@ def invoice_detail(invoices: DataFrame, customers: DataFrame, documents: DataFra
     """Invoices with their customer's name, tax id and archive flag, and their document's status."""
     who = customers.select("company_id", "customer_id", F.col("name").alias("customer_name"), F.col("tax_id").alias("customer_tax_id"),
                            F.col("is_archived").alias("customer_is_archived"))
-    joined = invoices.join(who, ["company_id", "customer_id"], "left")
+    joined = join_known(invoices, who, ["company_id", "customer_id"])
     if documents is None:
         return joined
-    return joined.join(documents.select("company_id", "document_id", "ocr_status", "file_name"), ["company_id", "document_id"], "left")
+    return join_known(joined, documents.select("company_id", "document_id", "ocr_status", "file_name"), ["company_id", "document_id"])
 
 
 def _with_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

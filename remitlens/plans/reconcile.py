@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.config import (
-    CandidateFilterCriteria, CombinationMatchCriteria, ConfidencePolicy, ExactMatchCriteria, IntakePolicy,
+    RULE_BOUND, CandidateFilterCriteria, CombinationMatchCriteria, ConfidencePolicy, ExactMatchCriteria, IntakePolicy,
     MultiInvoiceMatchCriteria, PartialMatchCriteria, PayerPolicy, ScoringWeights, SkewPolicy,
 )
 from remitlens.operators import candidates, evidence, intake, matching, multi, payer, scoring
@@ -25,7 +25,8 @@ from remitlens.session import cut_lineage
 class ReconcilePolicy:
     intake: IntakePolicy = field(default_factory=IntakePolicy)
     payer: PayerPolicy = field(default_factory=PayerPolicy)
-    filter: CandidateFilterCriteria = field(default_factory=CandidateFilterCriteria)
+    # the search for sets of invoices is over a payment's candidates, so the whole run bounds them as the rules do
+    filter: CandidateFilterCriteria = field(default_factory=lambda: CandidateFilterCriteria(max_candidates=RULE_BOUND))
     exact: ExactMatchCriteria = field(default_factory=ExactMatchCriteria)
     partial: PartialMatchCriteria = field(default_factory=PartialMatchCriteria)
     multi: MultiInvoiceMatchCriteria = field(default_factory=MultiInvoiceMatchCriteria)

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from remitlens.config import NO_LIMITS, ReadLimits
 from remitlens.operators import imports
 from remitlens.session import cut_lineage
 from remitlens.sources import statements
@@ -21,17 +22,17 @@ class StatementImport:
 
 def judge_statements(
     files: DataFrame, batches: DataFrame | None = None, stored: DataFrame | None = None,
-    default_currency: str = "INR", skip_duplicates: bool = True, durable: bool = True,
+    default_currency: str = "INR", skip_duplicates: bool = True, durable: bool = True, limits: ReadLimits = NO_LIMITS,
 ) -> tuple[DataFrame, DataFrame]:
     """(files with their fate, rows with their outcome).
 
     ``files``: company_id, file_name, content, bank_account_number. Parsed rows are read several
     times by the gates and reports after them, so they are cut off from the parsing (``durable``).
     """
-    screened = statements.screen_files(files)
+    screened = statements.screen_files(files, limits)
     if batches is not None:
         screened = imports.unseen_files(screened, batches)
-    laid = statements.parse_layout(screened)
+    laid = statements.parse_layout(screened, limits)
     parsed = statements.parse_rows(statements.statement_rows(laid), default_currency)
     printed = imports.fingerprint_rows(parsed)
     judged = imports.deduplicate_rows(cut_lineage(printed) if durable else printed, stored, skip_duplicates)
@@ -39,8 +40,8 @@ def judge_statements(
 
 
 def import_statements(files: DataFrame, batches: DataFrame | None = None, stored: DataFrame | None = None,
-                      default_currency: str = "INR", skip_duplicates: bool = True, durable: bool = True) -> StatementImport:
-    laid, judged = judge_statements(files, batches, stored, default_currency, skip_duplicates, durable)
+                      default_currency: str = "INR", skip_duplicates: bool = True, durable: bool = True, limits: ReadLimits = NO_LIMITS) -> StatementImport:
+    laid, judged = judge_statements(files, batches, stored, default_currency, skip_duplicates, durable, limits)
     transactions = imports.imported_transactions(judged)
     return StatementImport(
         report=imports.import_report(laid, judged), transactions=transactions,

@@ -49,7 +49,6 @@ EVIDENCE_INVOICE = r"(?iU)\b(?:INV|BILL|REC)[-_A-Z0-9]{3,30}\b"
 # --- statement files --------------------------------------------------------------------------
 
 DELIMITERS = [",", "\t", ";", "|"]
-HEADER_SCAN_LINES = 20
 HEADER_DATE_WORDS = ["date"]
 HEADER_TEXT_WORDS = ["narration", "desc", "particular", "remark", "detail"]
 HEADER_AMOUNT_WORDS = ["credit", "debit", "amount", "deposit", "withdrawal", "balance"]
@@ -96,7 +95,6 @@ CREDIT_WORDS = ["CR", "CREDIT", "DEPOSIT", "+", "C"]
 DEBIT_WORDS = ["DR", "DEBIT", "WITHDRAWAL", "-", "D"]
 REFERENCE_PLACEHOLDERS = ["NA", "N/A", "NONE", "0", "-", ".", "NULL", "N.A.", "NOTAVAILABLE"]
 STATEMENT_EXTENSIONS = [".csv", ".txt"]
-MAX_FILE_BYTES = 10 * 1024 * 1024
 
 # --- documents --------------------------------------------------------------------------------
 

@@ -123,7 +123,8 @@ select invoice_id, skipped or abs(expected - total_amount) <= allowed is_valid,
 cast(case when skipped then 0 else abs(expected - total_amount) end as decimal(14,2)) discrepancy from x"""
 STORAGE_KEYS = """with b as (select page_id, regexp_replace(regexp_replace(regexp_replace(url, '^.*[/\\\\]', ''), '[^a-zA-Z0-9._-]', '_', 'g'), '^\\.+', '') safe from pages),
 s as (select page_id, case when safe = '' then 'invoice_document.pdf' else safe end safe from b)
-select page_id, 'h_' || left(regexp_replace(safe, '\\.[^.]*$', ''), 64) || case when contains(safe, '.') then '.' || left(regexp_extract(safe, '([^.]*)$', 1), 10) else '.pdf' end storage_key from s"""
+select page_id, 'h_' || left(regexp_replace(safe, '\\.[^.]*$', ''), 64) || case when contains(safe, '.') then '.' || left(regexp_extract(safe, '([^.]*)$', 1), 10) else '.pdf' end storage_key,
+'h_' || regexp_replace(safe, '\\.[^.]*$', '') || case when contains(safe, '.') then '.' || regexp_extract(safe, '([^.]*)$', 1) else '.pdf' end whole_key from s"""
 
 
 def mask_account(x: str) -> str:
@@ -441,6 +442,7 @@ FILTERED = f"""{_TIGHT}, hits as (select payment_id, r, count(*) c from (select
 select payment_id, company_id, status_code, n_eval total_evaluated, n_kept total_retained, n_eval - n_kept total_excluded, case when n_eval = 0 then n_other else 0 end currency_mismatches_detected, trunc is_truncated,
 coalesce((select string_agg(r || '=' || c, ',' order by r || '=' || c) from hits where hits.payment_id = u.payment_id), '') breakdown,
 coalesce((select string_agg(invoice_id, ',' order by rn) from kept where kept.payment_id = u.payment_id), '') candidates from uni u"""
+FILTERED_ALL = FILTERED.replace(_TIGHT, pairs(SQL, _ASSIGNED, 365, 1_000_000)).replace("rn > 2", "rn > 1000000")
 EXCLUDED = f"""{_TIGHT}, gone as (select payment_id, invoice_id, rtrim(reasons, ',') reasons, due_date, outstanding_amount, invoice_number from pr where reasons <> ''
   union all select payment_id, invoice_id, 'TRUNCATED_BY_LIMIT', due_date, outstanding_amount, invoice_number from passing where rn > 2)
 select payment_id, invoice_id, reasons, row_number() over (partition by payment_id order by due_date, outstanding_amount desc, invoice_number, invoice_id) position from gone"""
@@ -469,6 +471,7 @@ case when v like 'AMB%' then coalesce((select string_agg(invoice_id, ',' order b
 
 EXACT = _one_to_one("EXACT", False)
 PARTIAL = _one_to_one("PARTIAL", True)
+EXACT_ALL, PARTIAL_ALL = (sql.replace(_TIGHT_ROUND, pairs(ROUND_SQL, _ASSIGNED, 365, 1_000_000)).replace("rn > 2", "rn > 1000000") for sql in (EXACT, PARTIAL))
 
 
 def _sets(order: str, named: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitlens import vocab
-from remitlens.config import CandidateFilterCriteria, CandidateLimit, IntakePolicy, PayerPolicy
+from remitlens.config import RULE_BOUND, RULE_LIMITS, CandidateFilterCriteria, CandidateLimit, IntakePolicy, PayerPolicy, SkewPolicy
 from remitlens.functions import dates, documents as D, fingerprint as P, masking, money as M, text as X
 from remitlens.operators import candidates, documents, evidence, imports, intake, ledger, listing, matching, multi, payer, scoring
 from remitlens.plans.reconcile import Reconciliation, ReconcilePolicy
@@ -26,7 +26,8 @@ TODAY = date(2026, 1, 1)
 INTAKE = IntakePolicy(today=TODAY)
 # enough to cut off candidates in the test tables, so that truncation is exercised
 TIGHT = CandidateFilterCriteria(max_candidates=2)
-WIDE = CandidateFilterCriteria(max_lookback_days=1500)
+WIDE = CandidateFilterCriteria(max_lookback_days=1500, max_candidates=RULE_BOUND)
+ALL = CandidateFilterCriteria()
 
 
 def query(sql: str | None = None, views: dict[str, str] = SQL, name: str | None = None):
@@ -198,7 +199,7 @@ def invoice_totals_check(t):
 
 @query(O.STORAGE_KEYS)
 def storage_keys(t):
-    return t.pages.select("page_id", docfiles.storage_key(F.col("url"), F.lit("h")).alias("storage_key"))
+    return t.pages.select("page_id", docfiles.storage_key(F.col("url"), F.lit("h"), RULE_LIMITS).alias("storage_key"), docfiles.storage_key(F.col("url"), F.lit("h")).alias("whole_key"))
 
 
 @query(O.MASKS)
@@ -687,7 +688,16 @@ def candidate_evidence_signals(t):
 
 @query(O.FILTERED)
 def candidate_filter(t):
-    made = universe(t, TIGHT)
+    return filtered(universe(t, TIGHT))
+
+
+@query(O.FILTERED_ALL)
+def candidate_filter_all(t):
+    """The gates without a bound on what passes, with every customer of over 40 open rows split as hot."""
+    return filtered(candidates.filter_candidates(assigned(t), t.invoices, ALL, SkewPolicy(min_rows=40)))
+
+
+def filtered(made: DataFrame) -> DataFrame:
     entries = F.array_sort(F.transform(F.map_entries("exclusion_breakdown"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
     return made.select("payment_id", "company_id", "status_code", "total_evaluated", "total_retained", "total_excluded", "currency_mismatches_detected",
                        "is_truncated", F.array_join(entries, ",").alias("breakdown"), joined(F.transform("candidates", lambda c: c["invoice_id"])).alias("candidates"))
@@ -709,6 +719,17 @@ def _one(result: DataFrame) -> DataFrame:
                          F.col("matched.invoice_id").alias("invoice_id"), joined(F.transform("competing", lambda h: h["invoice_id"])).alias("competing"))
 
 
+@query(O.EXACT_ALL, ROUND_SQL)
+def exact_match_all(t):
+    """No bound on the candidates."""
+    return _one(matching.match_exact(universe(t, ALL)))
+
+
+@query(O.PARTIAL_ALL, ROUND_SQL)
+def partial_match_all(t):
+    return _one(matching.match_partial(universe(t, ALL)))
+
+
 @query(O.EXACT, ROUND_SQL)
 def exact_match(t):
     return _one(matching.match_exact(universe(t, TIGHT)))
@@ -752,7 +773,7 @@ def assigned_identified(t) -> DataFrame:
 
 def collected(t) -> DataFrame:
     paid = assigned_identified(t)
-    found = candidates.filter_candidates(candidates.resolved_payments(paid), t.invoices)
+    found = candidates.filter_candidates(candidates.resolved_payments(paid), t.invoices, CandidateFilterCriteria(max_candidates=RULE_BOUND))
     return evidence.collect_evidence(paid, found, directory(t))
 
 
