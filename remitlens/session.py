@@ -45,13 +45,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's written tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/remitlens-{spark.sparkContext.applicationId}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Delete this application's written tables, when nothing that was made from them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and go on from there.
 
     Later stages that use it several times read the columns they need from the files instead of running its
     plan again, and a lost executor costs a file read, not a recomputation. The plan runs once, where
-    an eager ``checkpoint()`` runs its last stage twice. The folder's owner clears it.
+    an eager ``checkpoint()`` runs its last stage twice. ``clear_run`` deletes all tables of a run.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/remitlens-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -183,3 +183,13 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark):
             checkpoint_dir(session(master))
         assert checkpoint_dir(session(master, "hdfs:///shared")) == "hdfs:///shared"
     assert checkpoint_dir(session("local[4]"))
+
+
+def test_a_finished_run_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from remitlens import session
+    monkeypatch.setattr(session, "checkpoint_dir", lambda spark: str(tmp_path))
+    assert session.cut_lineage(spark.range(5)).count() == 5 and Path(session.run_dir(spark)).exists()
+    session.clear_run(spark)
+    assert list(tmp_path.iterdir()) == []
