@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers.pre_tokenizers import ByteLevel
 
 from remitlens.llm.common import text_of
 from remitlens.llm.word_pieces import CACHE_WORDS, WordEncoder
@@ -86,7 +85,6 @@ class WordCounter:
     def __init__(self, path: str):
         self.words = WordEncoder(path)
         self.model = LongestMatch([self.symbols(piece) for piece in self.words.tokenizer.get_vocab(with_added_tokens=False)])
-        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.counts: dict[str, tuple[int, int, int]] = {}
 
     @staticmethod
@@ -94,7 +92,7 @@ class WordCounter:
         return (*piece[: -len(END) - 1], piece[-len(END) - 1] + END) if piece.endswith(END) and len(piece) > len(END) else tuple(piece)
 
     def count_word(self, word: str) -> int | None:
-        return self.model.count(self.symbols("".join(p for p, _ in self.bytes.pre_tokenize_str(word)) + END))
+        return self.model.count(self.symbols(self.words.symbols(word) + END))
 
     def _run(self, run: str) -> tuple[int, int, int]:
         """Words, pieces and words without a segmentation, each of which counts as one unknown piece."""

@@ -25,6 +25,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed: the tokenizer's own words
+        self.model = self.tokenizer.model
+        # byte-level alphabet: bytes that print stand for themselves, the others for the characters from 256 on
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173)]
+        self.letters = {b: 256 + k for k, b in enumerate(odd)}
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -40,12 +44,15 @@ class WordEncoder:
         text = self.plain(text)
         return text.split() if SEPARATORS.search(text) is None else regex.findall(r"\S+", text)
 
+    def symbols(self, word: str) -> str:
+        return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+
     def _run(self, run: str) -> bytes:
         parts = []
         for word in self.pattern.findall(run):
             ids = self.words.get(word)
             if ids is None:
-                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
+                ids = np.array([t.id for t in self.model.tokenize(self.symbols(word))], np.uint16).tobytes()
                 if len(self.words) >= CACHE_WORDS:
                     self.words.clear()
                 self.words[word] = ids

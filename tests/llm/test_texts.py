@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from remitlens.llm.html_extract import main_text, read_page
 from remitlens.llm.license_scan import LicensePolicy, document_licenses, train
@@ -139,7 +140,7 @@ def test_longest_match_counts(seed):
 
 
 def test_token_counts(docs_of):
-    counter = WordCounter(WORD_BPE)
+    counter, letters = WordCounter(WORD_BPE), ByteLevel(add_prefix_space=False, use_regex=False)
     pieces = set(map(counter.symbols, counter.words.tokenizer.get_vocab(with_added_tokens=False)))
     rows = [*ODD, *[(100 + i, t, "s") for i, t in enumerate(STRANGE)]]
     got = token_counts(docs_of(rows), WORD_BPE).collect()
@@ -147,7 +148,7 @@ def test_token_counts(docs_of):
     want = []
     for i, t, _ in rows:
         words = [w for r in counter.words.runs_of(t or "") for w in counter.words.pattern.findall(r)]
-        counts = [greedy(counter.symbols("".join(p for p, _ in counter.bytes.pre_tokenize_str(w)) + "</w>"), pieces) for w in words]
+        counts = [greedy(counter.symbols("".join(p for p, _ in letters.pre_tokenize_str(w)) + "</w>"), pieces) for w in words]
         want.append((i or 0, len(words), sum(1 if n is None else n for n in counts)))
     assert sorted((r.doc_id or 0, r.n_words, r.n_tokens) for r in got) == sorted(want)
 
