@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitlens.llm.common import look_up, staged, text_of, without_white
-from remitlens.session import checkpoint_dir
+from remitlens.session import run_dir
 
 
 class DigestIndex:
@@ -21,7 +21,7 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, id_type: str = "bigint"):
         self.spark = spark
-        self.path = path or f"{checkpoint_dir(spark).rstrip('/')}/digest-index-{uuid.uuid4().hex}"
+        self.path = path or f"{run_dir(spark)}/digest-index-{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(

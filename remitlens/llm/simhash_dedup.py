@@ -133,13 +133,14 @@ def without_near_copies(docs: DataFrame, radius: int = 2, size: int = 3, id_col:
     Nulls and empty texts are grouped as there; of rows that repeat each other one stays.
     """
     groups = near_dedup(docs, radius, size, id_col, text_col)
-    # one row of a group is kept, so keys repeat no further than rows of one id and text
-    kept = staged(groups.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("kept").alias("stays"), F.count("*").alias("copies")).where("stays"))
+    # rows of one id and text have one key; only keys that lose a row are looked up
+    losing = staged(groups.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("kept").alias("stays")).where("not stays or n > 1"))
     rows = docs.select(F.struct("*").alias("doc"), _row_key(id_col, text_col).alias("key"))
-    met = look_up(rows, kept, ["key"], "inner", spread="key")
-    if kept.where("copies > 1").isEmpty():
-        return met.select("doc.*")
-    return met.where("copies = 1").select("doc.*").union(met.where("copies > 1").groupBy("key").agg(F.first("doc").alias("doc")).select("doc.*"))
+    met = look_up(rows, losing, ["key"], "left", spread="key")
+    whole = met.where("stays is null").select("doc.*")
+    if losing.where("stays").isEmpty():
+        return whole
+    return whole.union(met.where("stays").groupBy("key").agg(F.first("doc").alias("doc")).select("doc.*"))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
