@@ -12,9 +12,12 @@ from remitlens.operators import candidates, matching, multi
 
 def test_bound_keeps_the_exact_candidate_first(spark):
     rows = [dict(total=1000 + i) for i in range(99)] + [dict(total="5432.10")]
-    u = universe(payments(spark, dict(amount="5432.10")), invoices(spark, *rows)).collect()[0]
+    pays, owed = payments(spark, dict(amount="5432.10")), invoices(spark, *rows)
+    u = universe(pays, owed, CandidateFilterCriteria(max_candidates=30)).collect()[0]
     assert (len(u.candidates), u.candidates[0].invoice_id, u.is_truncated, u.exclusion_breakdown) == (30, "i0099", True, {"TRUNCATED_BY_LIMIT": 70})
     assert [c.rank for c in u.candidates] == list(range(1, 31))
+    every = universe(pays, owed).collect()[0]
+    assert (len(every.candidates), every.candidates[0].invoice_id, every.is_truncated, every.exclusion_breakdown) == (100, "i0099", False, {})
 
 
 def test_all_reasons_are_recorded(spark):
