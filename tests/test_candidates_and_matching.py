@@ -146,8 +146,12 @@ def test_policies_are_checked():
 
 
 def test_plan_joins_once_and_shuffles_each_side_once(spark):
-    plan = universe(payments(spark, {}), invoices(spark, dict(total=1)))._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    window = plan[plan.index("Window ["):]
-    # ranking sits on the join without an exchange in between
-    assert "Exchange" not in window[:window.index("Join")]
+    def plan_of(criteria):
+        return universe(payments(spark, {}), invoices(spark, dict(total=1)), criteria)._jdf.queryExecution().executedPlan().toString()
+
+    bounded, every = plan_of(CandidateFilterCriteria(max_candidates=30)), plan_of(CandidateFilterCriteria())
+    for plan in (bounded, every):
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    window = bounded[bounded.index("Window ["):]
+    # ranking sits on the join without an exchange in between; without a bound nothing is ranked
+    assert "Exchange" not in window[:window.index("Join")] and "Window [" not in every
