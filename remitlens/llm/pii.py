@@ -94,12 +94,12 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, policy: DisclosurePolicy
     candidates = staged(pairs.groupBy("t").agg(F.count("*").alias("n")))
     text = text_of(text_col)
     terms = docs.select(digest(text).alias("key"), F.explode(F.array_distinct(F.split(F.lower(text), TERM_BREAK))).alias("t"))
-    holding = staged(look_up(terms, candidates, ["t"], "inner", spread="key").groupBy("key", "t").agg(F.count("*").alias("n")))
-    n_t = holding.groupBy("t").agg(F.sum("n").alias("n_t"))
+    n_t = look_up(terms, candidates, ["t"], "inner", spread="key").groupBy("t").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.count("*").cast("double").alias("docs")).scalar()
     share = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(total / F.col("n_e"))
     strong = staged(pairs.join(n_t, "t").groupBy("t").agg(F.max(F.least(share, F.lit(1.0))).alias("share"), F.count("*").alias("n")).where(F.col("share") >= policy.threshold))
-    return strong.select("t", "share"), staged(look_up(holding.select("key", "t"), strong, ["t"], "inner"))
+    # texts are gone through again for the strong terms alone: most candidates are common words
+    return strong.select("t", "share"), staged(look_up(terms, strong.drop("share"), ["t"], "inner", spread="key").distinct())
 
 
 def private_spans(docs: DataFrame, policy: DisclosurePolicy = DisclosurePolicy(), text_col: str = "text") -> DataFrame:
