@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 #: Python's split() takes these for white space, the tokenizer doesn't
 SEPARATORS = regex.compile("[\x1c-\x1f]")
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 400_000
 
 
 class WordEncoder:
