@@ -46,7 +46,11 @@ def digest(*parts: Column) -> Column:
 
 def plain_lines(text: Column) -> Column:
     """Lines in lower case, inner blanks as one space, trimmed; positions are those of ``split(text, '\\n')``."""
-    return F.transform(F.split(F.regexp_replace(F.lower(text), r"[ \t\x0B\x0C\r]+", " "), "\n"), F.trim)
+    odd = F.contains(text, F.lit("  "))
+    for ch in "\t\x0b\x0c\r":
+        odd = odd | F.contains(text, F.lit(ch))
+    joined = F.when(odd, F.regexp_replace(F.lower(text), r"[ \t\x0B\x0C\r]+", " ")).otherwise(F.lower(text))
+    return F.transform(F.split(joined, "\n"), F.trim)
 
 
 def staged(df: DataFrame) -> DataFrame:

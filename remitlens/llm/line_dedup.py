@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitlens.llm.common import digest, effective_documents, longest_lines, look_up, other_line_sketch, plain_lines, staged, text_of, without_white
+from remitlens.llm.common import digest, effective_documents, longest_lines, look_up, other_line_sketch, plain_lines, staged, text_of
 
 FIELD = "<*>"
 
@@ -36,9 +36,10 @@ def _lines(docs: DataFrame, text_col: str, policy: TemplatePolicy) -> DataFrame:
     text = text_of(text_col)
     width = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     leaf = lambda x: F.unhex(F.md5(F.concat_ws(" ", width(x), F.substring_index(x, " ", policy.lead))))
-    line = lambda x, i: F.struct(i.alias("i"), width(x).alias("words"), leaf(x).alias("leaf"), F.unhex(F.md5(x)).alias("form"), x.alias("line"))
+    line = lambda x, i: F.struct(i.alias("i"), width(x).alias("words"), leaf(x).alias("leaf"), F.unhex(F.md5(x)).alias("form"))
+    marked = F.filter(F.transform("plain", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"] != "")
     df = docs.select(digest(text).alias("key"), _tokens(text).alias("plain"))
-    return df.select("key", F.filter(F.transform("plain", line), lambda x: without_white(x["line"]) != "").alias("lines"))
+    return df.select("key", F.transform(marked, lambda s: line(s["x"], s["i"])).alias("lines"))
 
 
 def line_templates(docs: DataFrame, policy: TemplatePolicy = TemplatePolicy(), text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -52,8 +53,14 @@ def line_templates(docs: DataFrame, policy: TemplatePolicy = TemplatePolicy(), t
     kinds = rows.groupBy("leaf", "sketch").agg(F.count("*").alias("c"))
     leaves = staged(kinds.groupBy("leaf").agg(F.sum("c").alias("n"), effective_documents(F.col("c")).alias("documents"))
                     .where(F.col("documents") >= policy.min_documents).select("leaf", "n"))
-    texts = _lines(docs, text_col, policy).select(F.explode("lines").alias("x")).select("x.leaf", "x.form", "x.line")
-    forms = staged(look_up(texts, leaves, ["leaf"], "inner", spread="form").groupBy("leaf", "form").agg(F.first("line").alias("line"), F.count("*").alias("n")))
+    kept = look_up(rows.select("key", "i", "leaf", "form"), leaves, ["leaf"], "inner", spread="key")
+    # the text of each different line is read from one document that has it
+    forms = staged(kept.groupBy("leaf", "form").agg(F.count("*").alias("n"), F.min(F.struct("key", "i")).alias("at")))
+    picks = staged(forms.groupBy("at.key").agg(F.collect_list(F.struct("at.i", "leaf", "form", "n")).alias("picks"), F.max("n").alias("n")))
+    text = text_of(text_col)
+    shown = look_up(docs.select(digest(text).alias("key"), text.alias("text")), picks, ["key"], "inner")
+    shown = shown.select("picks", _tokens(F.col("text")).alias("plain")).select("plain", F.explode("picks").alias("x")).select("x.leaf", "x.form", "x.n", F.get("plain", F.col("x.i")).alias("line"))
+    forms = staged(shown.groupBy("leaf", "form").agg(F.first("line").alias("line"), F.first("n").alias("n")))
     tokens = forms.select("leaf", "form", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
     constant = staged(tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("rows"), F.count("*").alias("n")).where(F.col("rows") >= policy.min_documents)
                       .select("leaf", "at", "token", F.lit(True).alias("is_constant"), "n"))
