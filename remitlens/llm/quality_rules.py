@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.llm.common import (
-    digest, effective_documents, let, longest_lines, look_up, other_line_sketch, plain_lines, staged, text_of, without_white, words_of,
+    WHITE, digest, effective_documents, let, longest_lines, look_up, other_line_sketch, plain_lines, staged, text_of, without_white, words_of,
 )
 
 SYMBOLS = "#*$%&|<>"
@@ -49,11 +49,11 @@ def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     """One row per document, without its text: id, host, ``key`` (equal for equal host and text), the measures and ``lines``."""
     text = F.col("text")
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_of(text_col).alias("text"))
-    df = df.select("id", "host", "text", words_of(text).alias("words"), F.filter(F.split(text, "\n"), lambda x: without_white(x) != "").alias("raw"), plain_lines(text).alias("plain"))
+    df = df.select("id", "host", "text", words_of(text).alias("words"), F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "").alias("raw"), plain_lines(text).alias("plain"))
     symbols = text
     for ch in SYMBOLS:
         symbols = F.replace(symbols, F.lit(ch), F.lit(""))
-    worded = F.filter("plain", lambda x: without_white(x) != "")
+    worded = F.filter("plain", lambda x: x != "")
     return df.select(
         "id", "host", digest(F.col("host"), text).alias("key"), F.size("words").cast("bigint").alias("n_words"), F.length(without_white(text)).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(symbols)).cast("bigint").alias("n_symbols"), (F.size("raw") - F.size(F.array_distinct("raw"))).cast("bigint").alias("n_dup_lines"),
@@ -92,11 +92,13 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str =
 def without_common_lines(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``docs`` that ``quality`` keeps, less their common lines, with the columns of ``docs``. Order of lines is kept."""
     host, text = F.coalesce(F.col(host_col).cast("string"), F.lit("")), text_of(text_col)
-    by_key = staged(verdicts.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("kept").alias("stays"), F.first("common_lines").alias("common")))
+    # only texts that change are looked up
+    changed = verdicts.where(~F.col("kept") | (F.size("common_lines") > 0))
+    by_key = staged(changed.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("kept").alias("stays"), F.first("common_lines").alias("common")))
     rows = docs.select(F.struct("*").alias("doc"), digest(host, text).alias("key"), F.xxhash64(id_col).alias("spread"))
-    kept = look_up(rows, by_key, ["key"], "inner", spread="spread").where("stays")
+    kept = look_up(rows, by_key, ["key"], "left", spread="spread").where(F.coalesce("stays", F.lit(True)))
     whole = text_of(f"doc.{text_col}")
     pairs = F.arrays_zip(F.split(whole, "\n").alias("raw"), plain_lines(whole).alias("plain"))
     rest = F.transform(F.filter(pairs, lambda x: ~F.array_contains(F.col("common"), F.unhex(F.md5(x["plain"])))), lambda x: x["raw"])
-    cleaned = F.when(F.size("common") == 0, F.col(f"doc.{text_col}")).otherwise(F.array_join(rest, "\n"))
+    cleaned = F.when(F.col("common").isNull() | (F.size("common") == 0), F.col(f"doc.{text_col}")).otherwise(F.array_join(rest, "\n"))
     return kept.select(F.col("doc").withField(text_col, cleaned).alias("doc")).select("doc.*")
