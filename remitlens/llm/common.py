@@ -13,8 +13,9 @@ from remitlens.session import cut_lineage
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = r"[ \t\n\x0B\x0C\r]+"
 
-#: a lookup table of at most so many rows may be broadcast; larger ones are shuffled
+#: a lookup table of at most so many rows and bytes of files may be broadcast; larger ones are shuffled
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 #: keys holding more than 1 / HOT_SHARE of all rows are hot; there can be at most HOT_SHARE of them
 HOT_SHARE = 1_000
 
@@ -58,16 +59,20 @@ def staged(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def _bytes(table: DataFrame) -> int:
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def look_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left", weight: str = "n", spread: str | None = None) -> DataFrame:
     """Join ``rows`` with a staged ``table`` that has one row per key; no key of ``rows`` gathers in one task.
 
     ``weight`` is the column of ``table`` that says how many rows share the key; it is dropped. A table of at most
-    BROADCAST_ROWS rows (counted in its files) is broadcast. Beyond that its hot keys, at most HOT_SHARE of them
+    BROADCAST_ROWS rows and BROADCAST_BYTES bytes (of its files) is broadcast. Beyond that its hot keys, at most HOT_SHARE of them
     because their weights add up to no more than all, are broadcast and the others meet in a sort-merge join, where rows of
     hot keys are spread by the column ``spread`` over a salt that nothing answers to.
     """
     values = [c for c in table.columns if c not in (*keys, weight)]
-    if table.count() <= BROADCAST_ROWS:
+    if table.count() <= BROADCAST_ROWS and _bytes(table) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table.select(*keys, *values)), keys, how)
     total = table.agg(F.sum(weight)).scalar()
     is_hot = F.col(weight) * F.lit(HOT_SHARE) > total
