@@ -12,7 +12,7 @@ from remitlens.llm.line_dedup import drop_template_lines
 from remitlens.llm.packing import pack_documents
 from remitlens.llm.pii import find_private, span_digests
 from remitlens.llm.quality_rules import quality
-from remitlens.llm.sentencepiece_codec import decode, encode
+from remitlens.llm.sentencepiece_codec import encode
 from remitlens.llm.simhash_dedup import near_dedup
 from remitlens.llm.token_counts import token_counts
 
@@ -34,11 +34,8 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back."""
-    path = vocabulary("piece_bpe_32k.model")
-    docs = _table(spark, sf_dir, "documents")
-    encoded = encode(docs.select(F.struct("doc_id", F.sha2("text", 256).alias("sha256")).alias("row"), "text"), path, id_col="row")
-    back = decode(encoded.select(F.struct("row", "ids").alias("row"), "ids"), path, id_col="row")
-    return back.select("row.row.doc_id", F.size("row.ids").cast("bigint").alias("n_ids"), F.col("row.ids").alias("ids"), (F.sha2("text", 256) == F.coalesce("row.row.sha256", F.sha2(F.lit(""), 256))).alias("round_trip"))
+    encoded = encode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), verify=True)
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", "round_trip")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from sentencepiece import SentencePieceProcessor
 from remitlens.llm.common import text_of
 
 MARK = "▁"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 
 class PrefixViterbi:
@@ -35,13 +35,14 @@ class PrefixViterbi:
         special = lambda i: sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)
         self.ids = {sp.id_to_piece(i): i for i in range(size) if not special(i)}
         self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
+        self.pieces = {i: p for p, i in self.ids.items()}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
-        if size > 1 << 16 or any(MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError(f"{path}: pieces that go over words, or ids over 16 bits")
+        if size > 1 << 16 or any(MARK in p.lstrip(MARK) for p in self.ids) or {c for p in self.ids for c in p} - self.ids.keys():
+            raise ValueError(f"{path}: pieces that go over words or hold characters without a piece, or ids over 16 bits")
         # no piece holds a line end or a mark after other characters, so no merge goes over these cuts
         self.cuts = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if not any("\n" in p for p in self.ids) else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.out = [b"" if sp.is_control(i) else bytes([self.bytes.index(i)]) if sp.is_byte(i) else " ⁇ ".encode() if sp.is_unknown(i)
                     else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
@@ -56,38 +57,39 @@ class PrefixViterbi:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def fit(self, before: str, piece: str) -> bool:
-        known = self.fits.get((before, piece))
+    def fit(self, before: int, piece: int) -> bool:
+        """Whether merging the two pieces' text gives them back. ``before`` is -1 at the start and after a character without a piece."""
+        key = (before + 1) << 16 | piece
+        known = self.fits.get(key)
         if known is None:
             if len(self.fits) >= CACHE_WORDS:
                 self.fits.clear()
-            known = self.fits[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+            first = self.pieces.get(before, "")
+            known = self.fits[key] = self.merged(first + self.pieces[piece]) == [*[first] * bool(first), self.pieces[piece]]
         return known
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """Words, to be given in sorted order, with their ids as 16-bit numbers."""
-        last: list[str] = [""]  # last[i]: the piece that ends the first i characters
+        last, size = [-1], [0]  # of the piece that ends the first i characters: its id (-1: a character without one), its length
         previous, ids, fit, longest = "", self.ids, self.fit, self.longest
         for word in words:
-            del last[len(commonprefix((previous, word))) + 1 :]
+            common = len(commonprefix((previous, word))) + 1
+            del last[common:], size[common:]
             for end in range(len(last), len(word) + 1):
                 for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if (piece in ids or end - start == 1) and fit(last[start], piece):
+                    piece = ids.get(word[start:end])
+                    if piece is not None and fit(last[start], piece):
                         last.append(piece)
+                        size.append(end - start)
                         break
-            previous, at, path = word, len(word), []
+                else:  # no piece holds the character, so no merge does
+                    last.append(-1)
+                    size.append(1)
+            previous, at, out = word, len(word), []
             while at:
-                piece = last[at]
-                path.append(piece)
-                at -= len(piece)
-            out: list[int] = []
-            for piece in reversed(path):
-                if piece in ids:
-                    out.append(ids[piece])
-                else:
-                    out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-            yield word, np.array(out, np.uint16).tobytes()
+                out.append((last[at],) if last[at] >= 0 else [self.bytes[b] for b in word[at - 1].encode("utf-8", "surrogatepass")])
+                at -= size[at]
+            yield word, np.array([i for part in reversed(out) for i in part], np.uint16).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; words of the batch that the cache lacks are sorted and encoded together."""
@@ -106,10 +108,11 @@ class PrefixViterbi:
         return text[1:] if text.startswith(" ") and len(ids) and out[ids[0]].startswith(b" ") else text
 
 
-def by_size(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
+def by_size(texts: pa.Array, most: int = 1 << 21) -> Iterator[list[str]]:
     """The texts in runs of about ``most`` characters, so that the words held at once don't grow with the batch."""
     part, size = [], 0
-    for text in texts:
+    for value in texts:
+        text = value.as_py()
         part.append(text)
         size += len(text)
         if size >= most:
@@ -124,22 +127,30 @@ def codec(path: str) -> PrefixViterbi:
     return PrefixViterbi(path)
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and ``ids`` of every row, the same as the sentencepiece library's.
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", verify: bool = False) -> DataFrame:
+    """The id and ``ids`` of every row, the same as the sentencepiece library's; with ``verify`` also ``round_trip``, whether decoding them gives the text back.
 
     A null or empty text has no ids; null ids and repeated rows come back as they are; other columns are ignored; empty ``docs`` give
-    no rows. Nothing is shuffled: each task sorts the new words of a batch.
+    no rows. Nothing is shuffled: each task sorts the new words of a part of a batch, and hands parts on as they are done.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    names = ["id", "ids", *["round_trip"] * verify]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model_path)
         for batch in batches:
-            found = [ids for part in by_size(batch.column("text").to_pylist()) for ids in codec(model_path).encode_batch(part)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, flat)], ["id", "ids"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+            at = 0
+            for part in by_size(batch.column("text")):
+                found = own.encode_batch(part)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                columns = [batch.column("id").slice(at, len(part)), pa.ListArray.from_arrays(offsets, np.concatenate(found).astype(np.int32))]
+                if verify:
+                    columns.append(pa.array([own.decode(ids) == text for ids, text in zip(found, part)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+                at += len(part)
+
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>" + ", round_trip boolean" * verify
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -115,6 +115,8 @@ def test_sentencepiece_ids_and_texts_are_the_librarys(docs_of):
     assert got == sorted((i or 0, sp.encode(t or "")) for i, t, _ in rows)
     back = sorted((r.doc_id or 0, r.text) for r in decode(encoded, PIECES).collect())
     assert back == sorted((i or 0, sp.decode(sp.encode(t or ""))) for i, t, _ in rows)
+    checked = sorted((r.doc_id or 0, r.ids, r.round_trip) for r in encode(docs_of(rows), PIECES, verify=True).collect())
+    assert checked == sorted((i or 0, sp.encode(t or ""), sp.decode(sp.encode(t or "")) == (t or "")) for i, t, _ in rows)
     assert encode(docs_of([]), PIECES).count() == 0
 
 
