@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitlens.llm.common import digest, let, look_up, staged, text_of
+from remitlens.llm.common import WHITE, digest, let, look_up, staged, text_of
 from remitlens.llm.license_templates import TEMPLATES
 
 UNKNOWN = "unknown"
@@ -19,15 +19,15 @@ SHINGLE = 5
 
 @dataclass(frozen=True)
 class LicensePolicy:
-    """The classifier is fitted on the templates, on pieces of them of ``piece`` words, and as unknown on at most ``negatives`` paragraphs
-    of the corpus (those of the smallest hashes; a bound on the training set alone, every paragraph is scored). Every fifth
+    """The classifier is fitted on the templates, on pieces of them of ``piece`` words, and as unknown on a paragraph each of about
+    ``negatives`` documents chosen by hash (a bound on the training set alone; every paragraph is scored). Every fifth
     piece and corpus row is held out. A paragraph is of a known family if the probability that it isn't unknown reaches the least value from which
     held-out rows so told are right in ``precision``; the likeliest family is then named.
     A prediction is confirmed when ``similarity`` of a template's five-word shingles are in the paragraph."""
 
     negatives: int = 4000
     piece: int = 12
-    features: int = 1 << 16
+    features: int = 1 << 15
     precision: float = 0.99
     similarity: float = 0.8
 
@@ -43,7 +43,7 @@ def _runs(words: Column, size: int) -> Column:
 
 
 def _grams(words: Column) -> Column:
-    return let(words, lambda w: F.concat(w, _runs(w, 2), _runs(w, 3)))
+    return let(words, lambda w: F.concat(w, _runs(w, 2)))
 
 
 def _shingles(words: Column) -> Column:
@@ -91,8 +91,13 @@ def train(docs: DataFrame, policy: LicensePolicy = LicensePolicy(), text_col: st
     pieces = templates.select("family", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - step, F.lit(0)), F.lit(step)),
                                                               lambda i: F.slice("words", i + 1, policy.piece))).alias("words"))
     shingles = [r[0] for r in templates.select(F.explode(_shingles(F.col("words")))).distinct().collect()]  # bounded by the templates
-    corpus = paragraphs(docs, text_col).select("words").withColumn("hash", F.md5(F.concat_ws(" ", "words")))
-    negative = corpus.orderBy("hash").limit(policy.negatives).where(~F.arrays_overlap(_shingles(F.col("words")), F.array(*[F.lit(s) for s in shingles]))).select("words").distinct()
+    # one paragraph each of about ``negatives`` documents, chosen by hash
+    text = text_of(text_col)
+    chosen = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.lit((1 << 40) * min(1.0, policy.negatives / max(1, docs.count()))))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
+    smallest = F.array_min(F.transform(lines, lambda x: F.struct(F.md5(x).alias("hash"), x.alias("line"))))["line"]
+    corpus = chosen.select(_words(F.coalesce(smallest, F.lit(""))).alias("words")).where(F.size("words") > 0)
+    negative = corpus.where(~F.arrays_overlap(_shingles(F.col("words")), F.array(*[F.lit(s) for s in shingles]))).distinct()
     label = F.coalesce(F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")), F.lit(0)).cast("double")
     # whole templates are trained on; pieces of them and corpus rows are split, and every fifth is held out
     whole = templates.select("words", label.alias("label"), F.lit(10.0).alias("weight"))
