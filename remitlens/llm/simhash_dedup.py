@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int) -> Data
             prints = np.array([fingerprint(t.as_py(), size) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(prints, pa.int64())], ["id", "key", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, key binary, fp bigint").withColumn("row", F.monotonically_increasing_id())
 
@@ -132,10 +132,14 @@ def without_near_copies(docs: DataFrame, radius: int = 2, size: int = 3, id_col:
 
     Nulls and empty texts are grouped as there; of rows that repeat each other one stays.
     """
-    groups = near_dedup(docs, radius, size, id_col, text_col)
+    return keep_one(docs, near_dedup(docs, radius, size, id_col, text_col), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less the rows that ``groups`` (``key``, ``kept``, a row per row of ``docs``) doesn't keep."""
     # rows of one id and text have one key; only keys that lose a row are looked up
     losing = staged(groups.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("kept").alias("stays")).where("not stays or n > 1"))
-    rows = docs.select(F.struct("*").alias("doc"), _row_key(id_col, text_col).alias("key"))
+    rows = docs.select(F.struct("*").alias("doc"), row_key(id_col, text_col).alias("key"))
     met = look_up(rows, losing, ["key"], "left", spread="key")
     whole = met.where("stays is null").select("doc.*")
     if losing.where("stays").isEmpty():
@@ -143,7 +147,7 @@ def without_near_copies(docs: DataFrame, radius: int = 2, size: int = 3, id_col:
     return whole.union(met.where("stays").groupBy("key").agg(F.first("doc").alias("doc")).select("doc.*"))
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
+def row_key(id_col: str, text_col: str) -> Column:
     return digest(F.col(id_col), digest(text_of(text_col)))
 
 
