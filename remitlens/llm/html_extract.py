@@ -60,6 +60,7 @@ class Subtree:
     main: bool
     prose: bool
     links: bool
+    block: bool
 
 
 @dataclass
@@ -76,10 +77,13 @@ class Page:
         return any(self.in_main)
 
     def candidates(self) -> Iterator[tuple[int, Subtree]]:
-        """Hashes that may show a template. Prose of the main part is never one, however often a site repeats it. A subtree's shape, its
+        """Hashes that may show a template. Prose of the main part is never one, however often a site repeats it, nor is an inline
+        element: links and bold words belong to the text they stand in. A subtree's shape, its
         tags and names without its text, counts outside the main part, or where it is mostly links on a page without one."""
         main = self.has_main
         for s in self.subtrees:
+            if not s.block:
+                continue
             if not (s.main and s.prose):
                 yield s.exact, s
             if (main and not s.main) or (not main and s.links):
@@ -141,7 +145,7 @@ def read_page(html: str) -> Page:
         up.chars += f.chars
         up.link_chars += f.link_chars
         if f.chars and not f.skip:
-            page.subtrees.append(Subtree(f.at, len(page.pieces), f.exact.intdigest() >> 1, f.shape.intdigest() >> 1, f.main, f.prose, 2 * f.link_chars > f.chars))
+            page.subtrees.append(Subtree(f.at, len(page.pieces), f.exact.intdigest() >> 1, f.shape.intdigest() >> 1, f.main, f.prose, 2 * f.link_chars > f.chars, f.tag not in INLINE))
 
     def close_to(tags: set[str], within: set[str]) -> None:
         if not any(open_tags.get(t) for t in tags):
