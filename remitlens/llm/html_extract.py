@@ -12,13 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitlens.llm.common import digest, effective_documents, look_up, staged, text_of
+from remitlens.llm.common import digest, look_up, staged, text_of
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/><]*)(?P<attrs>(?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/><]*)[^><]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+DIGIT = re.compile(r"[0-9]")
 NAME_PARTS = re.compile(r"[a-z0-9]+")
 
 #: elements whose content isn't markup; none of it is text of the page
@@ -210,12 +211,17 @@ def read_page(html: str) -> Page:
 
 
 def subtree_rows(page: Page) -> list[tuple[int, int]]:
-    """Each candidate hash of a page once, with a sketch of what else is on the page: its longest piece outside the subtree."""
-    long = sorted(((len(p), i) for i, (p, k) in enumerate(zip(page.pieces, page.kept)) if p and k), reverse=True)[:3]
+    """Each candidate hash of a page once, with a sketch of all other text on the page: the sum of the hashes of its pieces outside the subtree.
+
+    Furniture and the values of digits don't count, so copies that differ in a date or a counter have one sketch."""
+    sums, total = [0], 0
+    for p, k in zip(page.pieces, page.kept):
+        if p and k and (words := DIGIT.sub("0", " ".join(p.split()))):
+            total += xxhash.xxh64_intdigest(words.encode("utf-8", "surrogatepass"))
+        sums.append(total)
     out = {}
     for value, s in page.candidates():
-        other = next((page.pieces[i] for _, i in long if not s.at <= i < s.to), "")
-        out.setdefault(value, xxhash.xxh64_intdigest(other.encode("utf-8", "surrogatepass")) >> 1)
+        out.setdefault(value, (total - sums[s.to] + sums[s.at]) & ((1 << 63) - 1))
     return list(out.items())
 
 
@@ -223,7 +229,7 @@ def main_text(pages: DataFrame, min_pages: float = 10.0, id_col: str = "page_id"
     """The id, url, ``text`` and ``n_chars`` (code points) of every row of ``pages``.
 
     The text is that of the page's articles or main part (without one: of the body) less furniture told by tag, role, class or id, and less subtrees
-    that recur on ``min_pages`` pages of the host, copies of a page counting as one. White space is joined, blocks are joined by
+    that recur on ``min_pages`` pages of the host, copies of a page (equal outside the subtree but for digits and furniture) counting as one. White space is joined, blocks are joined by
     a space. A null or empty html gives an empty text; a null url is the host ''; repeated rows come back as often as they came;
     other columns are ignored; no rows give no rows.
     """
@@ -241,7 +247,7 @@ def main_text(pages: DataFrame, min_pages: float = 10.0, id_col: str = "page_id"
 
     seen = staged(keyed.mapInArrow(hashes, "host string, key binary, value bigint, sketch bigint"))
     kinds = seen.groupBy("host", "value", "sketch").agg(F.count("*").alias("c"))
-    templates = staged(kinds.groupBy("host", "value").agg(F.sum("c").alias("n"), effective_documents(F.col("c")).alias("pages"))
+    templates = staged(kinds.groupBy("host", "value").agg(F.sum("c").alias("n"), F.count("*").alias("pages"))
                        .where(F.col("pages") >= min_pages).select("host", "value", "n"))
     on_page = staged(look_up(seen.select("host", "value", "key"), templates, ["host", "value"], "inner", spread="key").groupBy("key").agg(
         F.collect_set("value").alias("templates"), F.count("*").alias("n")))
