@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitlens.llm.exact_dedup import DigestIndex
+from remitlens.llm.hard_negatives import hard_negatives
 from remitlens.llm.html_extract import main_text
+from remitlens.llm.importance_resampling import resample
 from remitlens.llm.license_scan import document_licenses
 from remitlens.llm.line_dedup import drop_template_lines
 from remitlens.llm.packing import pack_documents
@@ -15,6 +19,8 @@ from remitlens.llm.quality_rules import quality
 from remitlens.llm.sentencepiece_codec import encode
 from remitlens.llm.simhash_dedup import near_dedup
 from remitlens.llm.token_counts import token_counts
+from remitlens.llm.token_files import read_token_files, write_token_files
+from remitlens.session import run_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +77,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{run_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, path).withColumnRenamed("id", "doc_id")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +109,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_token_files": op11_token_files,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 
@@ -138,5 +162,14 @@ select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_
        cast(n_repeat_words as bigint) n_repeat_words, cast(common_words as bigint) common_words, base_failed,
        not base_failed and n_words - common_words >= 0.2 * n_words kept
 from (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from m)
+""",
+    "op13_hard_negatives": """
+with v as (select vec_id id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double) for x in embedding] q
+           from embeddings where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+p as (select a.id anchor_id, b.id, a.label = b.label same, list_dot_product(a.q, b.q)::bigint score from v a join v b on a.id <> b.id where a.id % 100 = 0),
+pos as (select anchor_id, id positive_id, score positive_score from p where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+m as (select pos.*, p.id negative_id, p.score negative_score, row_number() over (partition by pos.anchor_id, positive_id order by p.score desc, p.id)::integer as rank
+      from pos join p on p.anchor_id = pos.anchor_id and not p.same and 80 * positive_score <= 100 * p.score and p.score <= positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from m where rank <= 5
 """,
 }
