@@ -117,25 +117,35 @@ class PartialMatchCriteria(_MatchCriteria):
     """``amount_tolerance`` is accepted and has no effect, as in the rules."""
 
 
+#: invoices in a set, where the rules' own limit is asked for
+RULE_SET_SIZE = 4
+
+
 @dataclass(frozen=True)
-class MultiInvoiceMatchCriteria(_MatchCriteria):
-    """Only sums equal to the payment can ever be a match, so a tolerance changes nothing."""
+class _SetCriteria(_MatchCriteria):
+    """``max_combination_size`` bounds how many invoices a set may have (None: any number). Sets are always counted in full; a payment with
+    more than ``max_listed`` (None: no bound) carries the count and, where the rules prefer one set, that set, but not the whole list."""
 
-    max_combination_size: int = 4
+    max_combination_size: int | None = None
+    max_listed: int | None = 1_000
 
     def __post_init__(self) -> None:
         super().__post_init__()
-        _require(2 <= self.max_combination_size <= 10, "max_combination_size must be between 2 and 10")
+        _require(self.max_combination_size is None or self.max_combination_size >= 2, "max_combination_size must be at least 2")
+        _require(self.max_listed is None or self.max_listed >= 1, "max_listed must be at least 1")
+
+
+@dataclass(frozen=True)
+class MultiInvoiceMatchCriteria(_SetCriteria):
+    """Only sums equal to the payment can ever be a match, so a tolerance changes nothing."""
 
 
 @dataclass(frozen=True)
-class CombinationMatchCriteria(_MatchCriteria):
-    max_combination_size: int = 4
+class CombinationMatchCriteria(_SetCriteria):
     enable_fifo_aging: bool = True
 
     def __post_init__(self) -> None:
         super().__post_init__()
-        _require(2 <= self.max_combination_size <= 4, "max_combination_size must be between 2 and 4")
         _require(self.amount_tolerance == ZERO, "amount_tolerance must be zero for combinations")
 
 

@@ -1,7 +1,12 @@
-"""One payment, several invoices: multi-invoice and combination matching. Row-local."""
+"""One payment, several invoices: multi-invoice and combination matching.
+
+The sets come from ``set_search``; what follows from them is row-local. ``universe`` is read twice, so hand over a written one.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +15,7 @@ from remitlens.functions.arrays import first
 from remitlens.functions.money import currency_code, is_currency_code
 from remitlens.operators.matching import PAYMENT, comparable, signal, verdict
 from remitlens.operators.rows import compute_once
-from remitlens.operators.subsets import members_of, with_subsets
+from remitlens.operators.set_search import list_sets, search_sets
 
 
 def _sum_balance(members: Column) -> Column:
@@ -22,26 +27,64 @@ def _each(members: Column, field: str) -> Column:
     return F.transform(members, lambda c: c[field])
 
 
+def _members_of(subset: Column) -> Column:
+    return F.transform(subset, lambda i: F.element_at("_members", i + 1))
+
+
+def _searched(rows: DataFrame, pool: Callable[[], Column], order: Callable[[Column], list[Column]], mark: Callable[[Column], Column],
+              possible: Column) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``_members`` (the pool in order), and what the set search wants of those where a set is possible."""
+    keyed = F.array_sort(F.transform(pool(), lambda c: F.struct(F.struct(*order(c)).alias("k"), c.alias("c"))))
+    rows = compute_once(rows, {"_members": F.transform(keyed, lambda e: e["c"]), "_possible": possible})
+    members = F.transform("_members", lambda c, i: F.struct(
+        i.alias("at"), (c["outstanding_amount"] * 100).cast("bigint").alias("cents"), mark(c).alias("mark"), c["due_date"].alias("due"), (-c["days_to_due"]).cast("bigint").alias("days")))
+    asked = rows.where(F.col("_possible") & (F.size("_members") >= 2)).select(
+        *PAYMENT, (F.col("effective_amount") * 100).cast("bigint").alias("target"), members.alias("members"))
+    return rows.drop("_possible"), asked
+
+
+def _with_sets(rows: DataFrame, asked: DataFrame, criteria: MultiInvoiceMatchCriteria | CombinationMatchCriteria) -> DataFrame:
+    """Adds ``_found``, ``_listed`` (whether ``_subsets`` is the whole list), ``_most``, ``_n_most``, ``_most_set``, ``_aged_set`` and ``_n_aged``."""
+    sets = search_sets(asked, criteria.max_combination_size, criteria.max_listed)
+    named = sets.select(*PAYMENT, *[F.col(c).alias(f"_{c}") for c in ("found", "most", "n_most", "most_set", "subsets", "aged_set", "n_aged")])
+    joined = rows.join(named, PAYMENT, "left").withColumn("_found", F.coalesce("_found", F.lit(0).cast("bigint")))
+    return joined.withColumns({
+        "_listed": (F.col("_found") == 0) | F.col("_subsets").isNotNull(), "_subsets": F.coalesce("_subsets", F.array().cast("array<array<int>>"))})
+
+
 def _reversed_flag(flag: Column) -> Column:
     return (~flag).alias("unreferenced")
 
 
+def _balances(members: Column, amount: Column) -> list[Column]:
+    """What is open before and after: a set settles its invoices and the payment in full."""
+    before = _each(members, "outstanding_amount")
+    return [
+        before.alias("invoices_outstanding_before"), F.transform(before, lambda b: b - b).alias("invoices_outstanding_after"),
+        amount.alias("payment_unallocated_before"), (amount - amount).alias("payment_unallocated_after")]
+
+
+def _DUE_ORDER(c: Column) -> list[Column]:
+    return [c["due_date"], c["invoice_number"], c["invoice_id"]]
+
+
 def match_multi_invoice(
     universe: DataFrame, criteria: MultiInvoiceMatchCriteria = MultiInvoiceMatchCriteria(),
 ) -> DataFrame:
-    """Sets of smaller invoices that add up to the payment; one is a match, several are ambiguous."""
+    """Sets of smaller invoices that add up to the payment; one is a match, several are ambiguous.
+
+    ``total_found`` counts all sets; ``competing`` lists them where ``is_listing_complete``.
+    """
     amount = F.col("effective_amount")
     pool = lambda: F.filter(comparable(criteria.require_exact_currency), lambda c: c["outstanding_amount"] < amount)
     stopped = (amount <= 0) | F.col("status_code").isin("CUSTOMER_UNRESOLVED", "NOT_ELIGIBLE", "CURRENCY_MISMATCH")
     bad_currency = F.lit(criteria.require_exact_currency) & ~is_currency_code(currency_code(F.col("payment_currency")))
     retained = F.size("candidates")
     possible = ~stopped & ~bad_currency & (_sum_balance(pool()) >= amount)
-    rows = with_subsets(
-        universe, pool, lambda c: [c["due_date"], c["invoice_number"], c["invoice_id"]],
-        criteria.max_combination_size, possible)
+    rows = _with_sets(*_searched(universe, pool, _DUE_ORDER, lambda c: c["is_reference_match"], possible), criteria)
 
     def fact(subset: Column) -> Column:
-        members = members_of(subset)
+        members = _members_of(subset)
         named = F.filter(members, lambda c: c["is_reference_match"])
         gap = F.array_max(F.transform(members, lambda c: F.abs(c["days_to_due"])))
         numbers = _each(members, "invoice_number")
@@ -54,14 +97,15 @@ def match_multi_invoice(
         return F.struct(
             _reversed_flag(F.size(named) > 0), (-F.size(named)).alias("_references"), F.size(subset).alias("combination_size"),
             gap.alias("max_date_difference_days"), numbers.alias("invoice_numbers"), _each(members, "invoice_id").alias("invoice_ids"),
-            _each(members, "outstanding_amount").alias("invoices_outstanding_before"),
+            *_balances(members, amount),
             F.size(named).alias("matched_reference_count"), (F.size(named) > 0).alias("has_reference_match"),
             amount.alias("matched_amount"), F.col("payment_currency").alias("currency"),
             F.lit("MULTI_INVOICE_EXACT").alias("match_type"), signals.alias("evidence_signals"))
 
     smaller = F.size("_members")
     rows = compute_once(rows, {"_facts": F.array_sort(F.transform("_subsets", fact))})
-    found, best = F.size("_facts"), first("_facts")
+    # a set found alone is always listed
+    found, best = F.col("_found"), first("_facts")
     exact = F.exists(comparable(criteria.require_exact_currency), lambda c: c["outstanding_amount"] == amount)
     larger = F.exists(comparable(criteria.require_exact_currency), lambda c: c["outstanding_amount"] > amount)
     none, many, one = "NO_MULTI_INVOICE_MATCH", "AMBIGUOUS_MULTI_INVOICE_MATCH", "MULTI_INVOICE_MATCH"
@@ -91,7 +135,7 @@ def match_multi_invoice(
         F.when(stopped, F.lit(False)).otherwise(F.col("is_truncated")).alias("is_universe_truncated"),
         F.when(stopped, F.lit(0)).when(retained == 0, F.col("total_evaluated")).otherwise(retained).cast("bigint").alias("candidate_count_evaluated"),
         F.when(status == one, first(facts)).alias("matched"),
-        F.when(status == many, facts).otherwise(F.slice(facts, 1, 0)).alias("competing"),
+        F.when(status == many, facts).otherwise(F.slice(facts, 1, 0)).alias("competing"), F.col("_listed").alias("is_listing_complete"),
     )
 
 
@@ -102,6 +146,8 @@ def match_combination(
 
     The set that alone names the most invoices wins; else, when nothing was cut off by the bound,
     the one that settles the oldest debt. A preferred set always needs review.
+
+    ``total_found`` counts all sets; ``competing`` lists them where ``is_listing_complete``. A preferred set is given either way.
     """
     amount, currency = F.col("effective_amount"), F.col("payment_currency")
     same = lambda c: c["currency"] == currency
@@ -111,13 +157,13 @@ def match_combination(
     foreign = F.lit(criteria.require_exact_currency) & F.exists("candidates", lambda c: ~same(c))
     exact = F.exists("candidates", lambda c: same(c) & (c["outstanding_amount"] == amount))
     gated = no_amount | no_customer | (retained == 0) | foreign | exact
-    rows = with_subsets(
-        universe, pool, lambda c: [c["invoice_number"], c["invoice_id"]], criteria.max_combination_size,
-        ~gated & (_sum_balance(pool()) >= amount))
+    named_by_payment = lambda c: c["is_reference_match"] | c["number_in_narration"]
+    rows = _with_sets(*_searched(universe, pool, lambda c: [c["invoice_number"], c["invoice_id"]], named_by_payment,
+                                 ~gated & (_sum_balance(pool()) >= amount)), criteria)
 
     def fact(subset: Column) -> Column:
-        members = members_of(subset)
-        named = F.filter(members, lambda c: c["is_reference_match"] | c["number_in_narration"])
+        members = _members_of(subset)
+        named = F.filter(members, named_by_payment)
         gaps = F.transform(members, lambda c: F.abs(c["days_to_due"]))
         # days from payment to due date, negative when overdue
         mean = F.aggregate(members, F.lit(0), lambda s, c: s - c["days_to_due"]) / F.size(subset)
@@ -135,7 +181,7 @@ def match_combination(
             mean.alias("average_days_to_due"), F.size(subset).alias("combination_size"),
             F.array_max(gaps).alias("max_date_difference_days"), _each(members, "invoice_number").alias("invoice_numbers"),
             _each(members, "invoice_id").alias("invoice_ids"), F.array_max(due).alias("newest_due_date"),
-            _each(members, "outstanding_amount").alias("invoices_outstanding_before"),
+            *_balances(members, amount),
             F.size(named).alias("matched_reference_count"), (F.size(named) > 0).alias("has_reference_match"),
             amount.alias("matched_amount"), currency.alias("currency"), signals.alias("evidence_signals"))
 
@@ -143,17 +189,17 @@ def match_combination(
     aged = F.array_sort(F.transform("_facts", lambda h: F.struct(
         h["oldest_due_date"].alias("a"), h["average_days_to_due"].alias("b"), h["combination_size"].alias("c"),
         h["invoice_numbers"].alias("d"), h["invoice_ids"].alias("e"))))
+    alone = (F.col("_most") > 0) & (F.col("_n_most") == 1)
+    # where the sets aren't listed, the one that may be preferred: named most, or settling the oldest debt
     rows = compute_once(rows, {
-        "_oldest": F.when(F.size("_facts") > 1, aged),
-        "_most": F.array_max(F.transform("_facts", lambda h: h["matched_reference_count"])),
-    })
-    found, smaller = F.size("_facts"), F.size("_members")
+        "_oldest": F.when(F.size("_facts") > 1, aged), "_one": F.when(~F.col("_listed"), fact(F.when(alone, F.col("_most_set")).otherwise(F.col("_aged_set"))))})
+    found, smaller = F.col("_found"), F.size("_members")
     # _facts is sorted by references, so the set with the most of them comes first
-    best = first("_facts")
-    alone = (F.col("_most") > 0) & (F.size(F.filter("_facts", lambda h: h["matched_reference_count"] == F.col("_most"))) == 1)
+    best = F.when(F.col("_listed"), first("_facts")).otherwise(F.col("_one"))
     fully_named = best["matched_reference_count"] == best["combination_size"]
     old1, old2 = first("_oldest"), F.try_element_at("_oldest", F.lit(2))
-    older = F.lit(criteria.enable_fifo_aging) & ((old1["a"] < old2["a"]) | ((old1["a"] == old2["a"]) & (old1["b"] < old2["b"])))
+    ahead = F.when(F.col("_listed"), (old1["a"] < old2["a"]) | ((old1["a"] == old2["a"]) & (old1["b"] < old2["b"]))).otherwise(F.col("_n_aged") == 1)
+    older = F.lit(criteria.enable_fifo_aging) & ahead
     cut = F.col("is_truncated")
     none, many, unique, preferred = (
         "NO_COMBINATION_MATCH", "AMBIGUOUS_COMBINATION_MATCH", "UNIQUE_COMBINATION_MATCH", "PRIORITIZED_COMBINATION_MATCH")
@@ -178,20 +224,21 @@ def match_combination(
     decided = compute_once(rows, {"_verdict": verdict(rules, (many, "MULTIPLE_COMBINATIONS_UNRESOLVED"))})
     status, reason = F.col("_verdict.status"), F.col("_verdict.reason_code")
     facts = F.transform("_facts", lambda h: h.dropFields("unreferenced", "_references"))
-    by_age = first(F.filter(facts, lambda h: h["invoice_ids"] == first("_oldest")["e"]))
+    one = F.col("_one").dropFields("unreferenced", "_references")
+    by_age = F.when(F.col("_listed"), first(F.filter(facts, lambda h: h["invoice_ids"] == first("_oldest")["e"]))).otherwise(one)
     fifo = reason == "FIFO_AGING_PRIORITIZED"
-    aged_signal = F.array(signal("FIFO_OLDEST_INVOICE_PRIORITY", "MEDIUM", old1["a"], "due_date", 15))
+    aged_signal = F.array(signal("FIFO_OLDEST_INVOICE_PRIORITY", "MEDIUM", by_age["oldest_due_date"], "due_date", 15))
     chosen = F.when(fifo, by_age.withField("evidence_signals", F.concat(by_age["evidence_signals"], aged_signal))).when(
-        status.isin(unique, preferred), first(facts))
+        status.isin(unique, preferred), F.when(F.col("_listed"), first(facts)).otherwise(one))
     # the preferred set leads the list of all sets
-    competing = F.when(fifo, F.concat(F.array(chosen), F.filter(facts, lambda h: h["invoice_ids"] != first("_oldest")["e"]))).otherwise(facts)
+    competing = F.when(fifo & F.col("_listed"), F.concat(F.array(chosen), F.filter(facts, lambda h: h["invoice_ids"] != first("_oldest")["e"]))).otherwise(facts)
     return decided.select(
         *PAYMENT, "customer_id", status.alias("status"), reason.alias("reason_code"),
         F.when(reason == "REFERENCE_PRIORITIZED", "REFERENCE_MATCH_PRIORITY").when(fifo, "RULE_M3_FIFO_AGING").alias("applied_heuristic"),
         status.isin(many, preferred).alias("requires_review"),
         found.cast("bigint").alias("total_found"), cut.alias("is_universe_truncated"),
         retained.cast("bigint").alias("candidate_count_evaluated"),
-        chosen.alias("matched"), competing.alias("competing"), fifo.alias("is_fifo_prioritized"),
+        chosen.alias("matched"), competing.alias("competing"), fifo.alias("is_fifo_prioritized"), F.col("_listed").alias("is_listing_complete"),
     )
 
 
@@ -204,3 +251,14 @@ def combination_rows(matches: DataFrame) -> DataFrame:
         h["invoice_numbers"].alias("invoice_numbers"), h["matched_amount"].alias("matched_amount"),
         h["matched_reference_count"].alias("matched_reference_count")))
     return matches.select(*PAYMENT, "status", F.inline(listed))
+
+
+def multi_invoice_sets(universe: DataFrame, criteria: MultiInvoiceMatchCriteria = MultiInvoiceMatchCriteria()) -> DataFrame:
+    """Every set of smaller invoices that adds up to its payment as a row: ``invoice_ids`` in order of due date, however many there are."""
+    amount = F.col("effective_amount")
+    pool = lambda: F.filter(comparable(criteria.require_exact_currency), lambda c: c["outstanding_amount"] < amount)
+    stopped = (amount <= 0) | F.col("status_code").isin("CUSTOMER_UNRESOLVED", "NOT_ELIGIBLE", "CURRENCY_MISMATCH")
+    rows, asked = _searched(universe, pool, _DUE_ORDER, lambda c: c["is_reference_match"], ~stopped & (_sum_balance(pool()) >= amount))
+    sets = list_sets(asked, criteria.max_combination_size)
+    ids = rows.select(*PAYMENT, _each(F.col("_members"), "invoice_id").alias("_ids"))
+    return sets.join(ids, PAYMENT).select(*PAYMENT, F.size("set").alias("combination_size"), F.transform("set", lambda i: F.element_at("_ids", i + 1)).alias("invoice_ids"))

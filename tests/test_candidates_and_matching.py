@@ -100,9 +100,9 @@ def test_oldest_debt_first(spark):
     assert (named.reason_code, named.matched.invoice_ids) == ("REFERENCE_PRIORITIZED", ["i0002", "i0003", "i0004"])
 
 
-@pytest.mark.parametrize("size", [2, 3, 4, 6])
+@pytest.mark.parametrize("size", [2, 3, 4, 6, None])
 def test_sets_equal_enumeration(spark, size):
-    rng = random.Random(size)
+    rng = random.Random(size or 1)
     cases = {f"p{i:02d}": (rng.randint(20, 90), [rng.randint(1, 40) for _ in range(rng.randint(2, 12))]) for i in range(25)}
     pays = payments(spark, *[dict(payment_id=p, amount=a) for p, (a, _) in cases.items()])
     inv = invoices(spark, *[dict(invoice_id=f"{p}-{j:02d}", invoice_number=f"N{p}{j:02d}", customer_id=p, total=t) for p, (_, ts) in cases.items() for j, t in enumerate(ts)])
@@ -112,20 +112,58 @@ def test_sets_equal_enumeration(spark, size):
            for r in multi.match_multi_invoice(u, MultiInvoiceMatchCriteria(max_combination_size=size)).collect()}
     for p, (amount, totals) in cases.items():
         small = [(f"{p}-{j:02d}", t) for j, t in enumerate(totals) if t < amount]
-        want = sorted(tuple(i for i, _ in c) for k in range(2, size + 1) for c in itertools.combinations(small, k) if sum(t for _, t in c) == amount)
+        want = sorted(tuple(i for i, _ in c) for k in range(2, (size or len(small)) + 1) for c in itertools.combinations(small, k) if sum(t for _, t in c) == amount)
         assert got[p] == (len(want), want), p
 
 
 def test_flood_of_thirty(spark):
     inv = invoices(spark, *[dict(total=5000 * i) for i in range(1, 31)])
     row = multi.match_combination(universe(payments(spark, dict(amount=155000)), inv)).collect()[0]
-    want = sum(1 for k in (2, 3, 4) for c in itertools.combinations(range(1, 31), k) if sum(c) == 31)
+    want = sum(1 for k in range(2, 8) for c in itertools.combinations(range(1, 31), k) if sum(c) == 31)
     assert row.total_found == want
     assert all(sum(h.invoices_outstanding_before) == money(155000) for h in row.competing)
     at_limit = multi.match_combination(universe(payments(spark, dict(amount=150000)), inv)).collect()[0]
     assert at_limit.reason_code == "EXACT_MATCH_DETECTED"
 
 
+def test_five_invoices_settle_one_payment(spark):
+    u = universe(payments(spark, dict(amount=500)), invoices(spark, *[dict(total=100) for _ in range(5)]))
+    row = multi.match_multi_invoice(u).collect()[0]
+    assert (row.status, row.total_found, len(row.matched.invoice_ids)) == ("MULTI_INVOICE_MATCH", 1, 5)
+    assert row.matched.invoices_outstanding_after == [money(0)] * 5 and (row.matched.payment_unallocated_before, row.matched.payment_unallocated_after) == (money(500), money(0))
+    four = multi.match_multi_invoice(u, MultiInvoiceMatchCriteria(max_combination_size=4)).collect()[0]
+    assert four.reason_code == "NO_MULTI_INVOICE_COMBINATION_FOUND"
+
+
+def test_equal_invoices_are_counted_without_listing(spark):
+    """More sets than any list could hold: the count, the named set and the oldest debt still come out."""
+    from math import comb
+    inv = invoices(spark, *[dict(total=100, issue_date=DAY - timedelta(200), due_date=DAY - timedelta(i)) for i in range(100)])
+    u = universe(payments(spark, dict(payment_id="a", amount=400), dict(payment_id="b", amount=5000), dict(payment_id="c", amount=200, narration="INV-0003 and INV-0007")), inv).cache()
+    many = {r.payment_id: r for r in multi.match_multi_invoice(u).collect()}
+    assert {p: r.total_found for p, r in many.items()} == {"a": comb(100, 4), "b": 10**18, "c": comb(100, 2)}
+    assert all(r.status == "AMBIGUOUS_MULTI_INVOICE_MATCH" and r.competing == [] and not r.is_listing_complete for r in many.values())
+    rows = {r.payment_id: r for r in multi.match_combination(u).collect()}
+    assert (rows["a"].reason_code, rows["a"].matched.invoice_ids) == ("FIFO_AGING_PRIORITIZED", [f"i{i:04d}" for i in (96, 97, 98, 99)])
+    assert (rows["c"].reason_code, rows["c"].matched.invoice_ids) == ("REFERENCE_PRIORITIZED", ["i0003", "i0007"])
+    assert rows["b"].reason_code == "FIFO_AGING_PRIORITIZED" and len(rows["b"].matched.invoice_ids) == 50
+
+
+def test_preferred_set_is_the_same_with_and_without_the_list(spark):
+    rng = random.Random(7)
+    cases = {f"p{i:02d}": (rng.randint(20, 60), [rng.randint(1, 12) for _ in range(rng.randint(6, 13))]) for i in range(30)}
+    pays = payments(spark, *[dict(payment_id=p, amount=a) for p, (a, _) in cases.items()])
+    inv = invoices(spark, *[dict(invoice_id=f"{p}-{j:02d}", invoice_number=f"N{p}{j:02d}", customer_id=p, total=t, due_date=DAY - timedelta(rng.randint(0, 6)))
+                            for p, (_, ts) in cases.items() for j, t in enumerate(ts)])
+    known = judged(pays).withColumns({"customer_id": F.col("payment_id"), "customer_is_archived": F.lit(False)})
+    u = candidates.filter_candidates(candidates.resolved_payments(known), inv).cache()
+    outcome = lambda r: (r.payment_id, r.status, r.reason_code, r.total_found, r.matched)
+    listed, counted = ([outcome(r) for r in multi.match_combination(u, CombinationMatchCriteria(max_listed=n)).orderBy("payment_id").collect()] for n in (None, 1))
+    assert listed == counted and len({r[2] for r in listed}) >= 3
+    sets = multi.multi_invoice_sets(u).groupBy("payment_id").count().collect()
+    assert {r[0]: r[1] for r in sets} == {r.payment_id: r.total_found for r in multi.match_multi_invoice(u).collect() if r.total_found}
+
+
 def test_order_of_input_does_not_matter(spark):
     seen = set()
     for seed in range(3):
@@ -140,7 +178,7 @@ def test_policies_are_checked():
     with pytest.raises(PolicyError):
         CandidateFilterCriteria(max_candidates=101)
     with pytest.raises(PolicyError):
-        CombinationMatchCriteria(max_combination_size=5)
+        CombinationMatchCriteria(max_combination_size=1)
     with pytest.raises(PolicyError):
         MultiInvoiceMatchCriteria(max_combination_size=1)
 

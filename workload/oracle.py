@@ -474,23 +474,30 @@ PARTIAL = _one_to_one("PARTIAL", True)
 EXACT_ALL, PARTIAL_ALL = (sql.replace(_TIGHT_ROUND, pairs(ROUND_SQL, _ASSIGNED, 365, 1_000_000)).replace("rn > 2", "rn > 1000000") for sql in (EXACT, PARTIAL))
 
 
-def _sets(order: str, named: str) -> str:
-    """CTE facts: sets of 2, 3 or 4 smaller candidates whose balances add up to the payment."""
+def _sets(order: str, named: str, sizes: tuple[int, ...] | None = (2, 3, 4)) -> str:
+    """CTE facts: sets of smaller candidates whose balances add up to the payment, of the given sizes or (None) of any."""
+    pool = f""", pool as (select *, {named} named, row_number() over (partition by payment_id order by {order}) p from kept where outstanding_amount < eff)"""
+    fields = {"ids": "invoice_id", "numbers": "invoice_number", "dues": "due_date", "gaps": "gap", "nameds": "named"}
     parts = []
-    for k in (2, 3, 4):
+    for k in sizes or ():
         names = [f"m{i}" for i in range(1, k + 1)]
         join = " ".join(f"join pool {b} on {a}.payment_id = {b}.payment_id and {a}.p < {b}.p" for a, b in zip(names, names[1:]))
-        each = lambda f: "[" + ", ".join(f"{n}.{f}" for n in names) + "]"  # noqa: E731, B023
-        total = " + ".join(f"{n}.outstanding_amount" for n in names)
-        parts.append(f"""select m1.payment_id, {k} size, {each('invoice_id')} ids, {each('invoice_number')} numbers, {each('due_date')} dues, {each('gap')} gaps, {each('named')} nameds
-          from pool m1 {join} where {total} = m1.eff""")
-    return f""", pool as (select *, {named} named, row_number() over (partition by payment_id order by {order}) p from kept where outstanding_amount < eff),
+        each = ", ".join(f"[{', '.join(f'{n}.{f}' for n in names)}] {c}" for c, f in fields.items())
+        parts.append(f"select m1.payment_id, {k} size, {each} from pool m1 {join} where {' + '.join(f'{n}.outstanding_amount' for n in names)} = m1.eff")
+    if sizes is None:
+        first, more = (", ".join(template.format(c=c, f=f) for c, f in fields.items()) for template in ("[{f}] {c}", "list_append(g.{c}, m.{f})"))
+        pool += f""", grown as (select payment_id, p, eff, 1 size, outstanding_amount::decimal(38,2) total, {first} from pool
+  union all select g.payment_id, m.p, g.eff, g.size + 1, (g.total + m.outstanding_amount)::decimal(38,2), {more} from grown g join pool m on m.payment_id = g.payment_id and m.p > g.p and g.total + m.outstanding_amount <= g.eff)"""
+        parts.append(f"select payment_id, size, {', '.join(fields)} from grown where size > 1 and total = eff")
+    return f"""{pool},
 sets as ({' union all '.join(parts)}),
 facts0 as (select *, array_to_string(ids, '+') k, len(list_filter(nameds, lambda n: n)) refs, list_max(list_transform(gaps, lambda g: abs(g))) maxgap, list_min(dues) oldest, list_max(dues) newest,
   -list_sum(gaps) / size avgdays from sets)"""
 
 
-MULTI = f"""{_WIDE_ROUND}{_sets('due_date, invoice_number, invoice_id', 'is_ref')},
+_BY_DUE = ("due_date, invoice_number, invoice_id", "is_ref")
+_BY_NUMBER = ("invoice_number, invoice_id", f"is_ref or contains({alnum('narration')}, {alnum('invoice_number')})")
+MULTI = f"""{_WIDE_ROUND}{_sets(*_BY_DUE)},
 facts as (select *, row_number() over (partition by payment_id order by refs > 0 desc, refs desc, size, maxgap, numbers, ids) f from facts0),
 c as (select u.*, (select count(*) from facts where facts.payment_id = u.payment_id) m, (select count(*) from pool q where q.payment_id = u.payment_id) small,
   (select coalesce(sum(outstanding_amount), 0) from pool q where q.payment_id = u.payment_id) total, (select count(*) from kept q where q.payment_id = u.payment_id and is_exact) x,
@@ -505,7 +512,7 @@ m total_found, case when stopped then 0 when n_kept = 0 then n_eval else n_kept
 case when v like 'ONE%' then (select k from facts where facts.payment_id = d.payment_id and f = 1) end matched,
 case when v like 'AMB%' then (select string_agg(k, ',' order by f) from facts where facts.payment_id = d.payment_id) else '' end competing from d"""
 
-_COMB = f"""{_WIDE_ROUND}{_sets('invoice_number, invoice_id', f"is_ref or contains({alnum('narration')}, {alnum('invoice_number')})")},
+_COMB = f"""{_WIDE_ROUND}{_sets(*_BY_NUMBER)},
 facts1 as (select *, row_number() over (partition by payment_id order by refs > 0 desc, refs desc, oldest, avgdays, size, maxgap, numbers, ids) f,
   row_number() over (partition by payment_id order by oldest, avgdays, size, numbers, ids) age, count(*) over (partition by payment_id, refs) same_refs, max(refs) over (partition by payment_id) most from facts0
   where payment_id not in (select payment_id from kept where is_exact)),
@@ -525,6 +532,19 @@ coalesce((select string_agg(k, ',' order by case when v like '%FIFO%' and age =
 COMBINATION_FACTS = f"""{_COMB} select facts.payment_id, size::bigint combination_size, k invoice_ids, oldest oldest_due_date, newest newest_due_date, round(avgdays, 6) average_days_to_due, maxgap max_gap, refs::bigint "references"
 from facts join uni u on facts.payment_id = u.payment_id"""
 
+
+
+def _any_size(sql: str, order: str, named: str) -> str:
+    """The same over all candidates and sets of any size."""
+    whole = pairs(ROUND_SQL, _ASSIGNED, 1500, 1_000_000)
+    return sql.replace(_WIDE_ROUND, whole.replace("with", "with recursive", 1)).replace(_sets(order, named), _sets(order, named, None))
+
+
+MULTI_ALL = _any_size(MULTI, *_BY_DUE)
+COMBINATION_ALL = _any_size(COMBINATION, *_BY_NUMBER)
+SET_ROWS = MULTI_ALL[:MULTI_ALL.index(",\nfacts as (")] + " select payment_id, size::bigint combination_size, k invoice_ids from facts0"
+COMBINATION_UNLISTED = f"select * exclude (competing), total_found <= 1 is_listing_complete from ({COMBINATION_ALL})"
+
 # --- evidence -------------------------------------------------------------------------------------
 
 _EV = f"""{_ALL},

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitlens import vocab
-from remitlens.config import RULE_BOUND, RULE_LIMITS, CandidateFilterCriteria, CandidateLimit, IntakePolicy, PayerPolicy, SkewPolicy
+from remitlens.config import (
+    RULE_BOUND, RULE_LIMITS, RULE_SET_SIZE, CandidateFilterCriteria, CandidateLimit, CombinationMatchCriteria, IntakePolicy, MultiInvoiceMatchCriteria,
+    PayerPolicy, SkewPolicy,
+)
 from remitlens.functions import dates, documents as D, fingerprint as P, masking, money as M, text as X
 from remitlens.operators import candidates, documents, evidence, imports, intake, ledger, listing, matching, multi, payer, scoring
 from remitlens.plans.reconcile import Reconciliation, ReconcilePolicy
@@ -28,6 +31,10 @@ INTAKE = IntakePolicy(today=TODAY)
 TIGHT = CandidateFilterCriteria(max_candidates=2)
 WIDE = CandidateFilterCriteria(max_lookback_days=1500, max_candidates=RULE_BOUND)
 ALL = CandidateFilterCriteria()
+# sets of at most four invoices, as the rules have it, and sets of any size among all candidates
+FOUR = MultiInvoiceMatchCriteria(max_combination_size=RULE_SET_SIZE)
+FOUR_COMBINED = CombinationMatchCriteria(max_combination_size=RULE_SET_SIZE)
+WIDE_ALL = CandidateFilterCriteria(max_lookback_days=1500)
 
 
 def query(sql: str | None = None, views: dict[str, str] = SQL, name: str | None = None):
@@ -749,17 +756,42 @@ def _sets(result: DataFrame, *more: str) -> DataFrame:
 
 @query(O.MULTI, ROUND_SQL)
 def multi_invoice_match(t):
-    return _sets(multi.match_multi_invoice(universe(t, WIDE)))
+    return _sets(multi.match_multi_invoice(cut_lineage(universe(t, WIDE)), FOUR))
+
+
+@query(O.MULTI_ALL, ROUND_SQL)
+def multi_invoice_match_all(t):
+    """Sets of any size among all candidates."""
+    return _sets(multi.match_multi_invoice(cut_lineage(universe(t, WIDE_ALL))))
+
+
+@query(O.SET_ROWS, ROUND_SQL)
+def multi_invoice_sets(t):
+    """Those sets as rows."""
+    sets = multi.multi_invoice_sets(cut_lineage(universe(t, WIDE_ALL)))
+    return sets.select("payment_id", F.col("combination_size").cast("bigint").alias("combination_size"), joined("invoice_ids", "+").alias("invoice_ids"))
 
 
 @query(O.COMBINATION, ROUND_SQL)
 def combination_match(t):
-    return _sets(multi.match_combination(universe(t, WIDE)), "applied_heuristic", "requires_review")
+    return _sets(multi.match_combination(cut_lineage(universe(t, WIDE)), FOUR_COMBINED), "applied_heuristic", "requires_review")
+
+
+@query(O.COMBINATION_ALL, ROUND_SQL)
+def combination_match_all(t):
+    return _sets(multi.match_combination(cut_lineage(universe(t, WIDE_ALL))), "applied_heuristic", "requires_review")
+
+
+@query(O.COMBINATION_UNLISTED, ROUND_SQL)
+def combination_match_unlisted(t):
+    """Where a payment has more than one set, the count and the preferred set without the list."""
+    found = multi.match_combination(cut_lineage(universe(t, WIDE_ALL)), CombinationMatchCriteria(max_listed=1))
+    return _sets(found, "applied_heuristic", "requires_review", "is_listing_complete").drop("competing")
 
 
 @query(O.COMBINATION_FACTS, ROUND_SQL)
 def combination_facts(t):
-    rows = multi.match_combination(universe(t, WIDE)).select("payment_id", F.inline("competing"))
+    rows = multi.match_combination(cut_lineage(universe(t, WIDE)), FOUR_COMBINED).select("payment_id", F.inline("competing"))
     return rows.select("payment_id", F.col("combination_size").cast("bigint").alias("combination_size"), joined("invoice_ids", "+").alias("invoice_ids"), "oldest_due_date", "newest_due_date",
                        F.round("average_days_to_due", 6).alias("average_days_to_due"), F.col("max_date_difference_days").cast("bigint").alias("max_gap"),
                        F.col("matched_reference_count").cast("bigint").alias("references"))
@@ -818,14 +850,14 @@ def account_conflicts(t):
 @query(O.WHOLE)
 def reconciliation(t):
     """Everything together: payments with an unknown payer to every kind of match and the best candidate's confidence."""
-    return Reconciliation(t.payments, t.customers, t.aliases, t.identifiers, t.invoices, ReconcilePolicy(intake=INTAKE)).results.drop("company_id")
+    return Reconciliation(t.payments, t.customers, t.aliases, t.identifiers, t.invoices, ReconcilePolicy(intake=INTAKE, multi=FOUR, combination=FOUR_COMBINED)).results.drop("company_id")
 
 
 @query(O.PAYLOADS)
 def reconciliation_payload(t):
     """Results as JSON payloads, read back field by field."""
     from remitlens.sources.tables import payload
-    run = Reconciliation(t.payments, t.customers, t.aliases, t.identifiers, t.invoices, ReconcilePolicy(intake=INTAKE))
+    run = Reconciliation(t.payments, t.customers, t.aliases, t.identifiers, t.invoices, ReconcilePolicy(intake=INTAKE, multi=FOUR, combination=FOUR_COMBINED))
     fields = [F.get_json_object("payload", f"$.{c}").alias(c) for c in ("exact_status", "partial_reason", "multi_reason", "combination_status", "confidence_level")]
     return payload(run.results).select("payment_id", F.get_json_object("payload", "$.invoice_id").cast("bigint").alias("invoice_id"), *fields)
 
