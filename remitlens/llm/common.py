@@ -84,27 +84,3 @@ def look_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left
     if how == "inner":
         met = met.where(F.coalesce("_hot._is", "_cold._is"))
     return met.select(*rows.columns, *[F.coalesce(f"_hot.{v}", f"_cold.{v}").alias(v) for v in values])
-
-
-def effective_documents(counts: Column) -> Column:
-    """How many documents a count per kind of document amounts to, ``(sum n)^2 / sum n^2``.
-
-    A thousand copies of one document are one document; a thousand unlike documents are a thousand.
-    """
-    return F.sum(counts) * F.sum(counts).cast("double") / F.sum(counts * counts)
-
-
-def other_line_sketch(lines: str, value: str) -> Callable[[Column], Column]:
-    """For each line of an array of structs (``words``, ``value``): the ``value`` of the document's longest other line.
-
-    Copies and near copies share it, so it tells documents apart that only share the line at hand. Use it in a
-    select that has ``_first`` and ``_second`` from ``longest_lines``.
-    """
-    return lambda line: F.coalesce(F.when(line[value] == F.col("_first"), F.col("_second")).otherwise(F.col("_first")), F.unhex(F.lit("00")))
-
-
-def longest_lines(df: DataFrame, lines: str, value: str) -> DataFrame:
-    """Adds ``_first`` and ``_second``: ``value`` of the longest line and of the longest one that differs (ties: larger value)."""
-    top = lambda array: F.array_max(F.transform(array, lambda x: F.struct(x["words"].alias("words"), x[value].alias("value"))))["value"]
-    df = df.withColumn("_first", top(F.col(lines)))
-    return df.withColumn("_second", top(F.filter(lines, lambda x: x[value] != F.col("_first"))))

@@ -31,7 +31,23 @@ class DigestIndex:
     def entries(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def close(self) -> None:
+        """Take the index out of the session's catalog; its files stay."""
+        self.spark.sql(f"drop table if exists {self.table}")
+
+    def compacted(self, path: str | None = None) -> DigestIndex:
+        """A new index with the same entries, one sorted file per bucket: many appends leave many files."""
+        kind = self.entries().schema["keep_id"].dataType.simpleString()
+        fresh = DigestIndex(self.spark, path, self.buckets, kind)
+        self._stored("").drop("own").select("digest", "keep_id", "code_points", "batch").repartition(self.buckets, "digest").write.insertInto(fresh.table)
+        return fresh
+
+    def _stored(self, batch: str) -> DataFrame:
+        """One entry per digest, those of other batches than ``batch`` first; the files are bucketed by digest, so nothing is shuffled."""
+        one = F.min(F.struct((F.col("batch") == batch).alias("own"), "batch", "keep_id", "code_points")).alias("e")
+        return self.entries().groupBy("digest").agg(one).select("digest", "e.*")
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Deduplicate ``docs`` against the index and within themselves, append what is new, and tell the fate of each row.
 
         Texts are equal when they agree after dropping white space. Of equal texts new to the index the row with the
@@ -39,8 +55,12 @@ class DigestIndex:
         dropped whatever its length, and ``keep_id`` names the indexed document. A null text counts as empty; empty texts
         equal each other. Other columns are ignored. One row per row of ``docs``: the id, ``keep_id``, ``group_size`` (rows of
         ``docs`` with the text), ``kept``, ``known`` (indexed before), ``text_sha256``. Empty ``docs`` give no rows.
+
+        ``batch`` names the data: what an earlier run under the same name has indexed is not known to this one, so a job that failed after
+        its entries were written can be run again and keeps the same rows. Two writers that add one text at once both keep theirs; later
+        batches find one entry.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         text = text_of(text_col)
         marked = staged(docs.select(
             F.col(id_col).alias("id"), F.length(text).cast("bigint").alias("code_points"), F.unhex(F.sha2(without_white(text), 256)).alias("digest"),
@@ -50,7 +70,7 @@ class DigestIndex:
         fresh = groups.join(self.entries().select("digest").hint("merge"), "digest", "left_anti")
         fresh.select("digest", F.col("first.id").alias("keep_id"), (-F.col("first.less")).alias("code_points"), F.lit(batch).alias("batch")) \
             .repartition(self.buckets, "digest").write.insertInto(self.table)
-        stored = self.entries().select("digest", "keep_id", (F.col("batch") != batch).alias("known")).hint("merge")
+        stored = self._stored(batch).select("digest", "keep_id", (~F.col("own")).alias("known")).hint("merge")
         fates = staged(groups.join(stored, "digest").select("digest", "keep_id", "known", F.col("first.row").alias("keep_row"), F.col("n").alias("group_size"), "n"))
         return look_up(marked.select("id", "digest", "row"), fates, ["digest"], "inner", spread="row").select(
             F.col("id").alias(id_col), "keep_id", "group_size", (~F.col("known") & (F.col("row") == F.col("keep_row"))).alias("kept"), "known",

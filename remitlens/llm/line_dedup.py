@@ -7,22 +7,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitlens.llm.common import digest, effective_documents, longest_lines, look_up, other_line_sketch, plain_lines, staged, text_of
+from remitlens.llm.common import digest, look_up, plain_lines, staged, text_of
 
 FIELD = "<*>"
 
 
 @dataclass(frozen=True)
 class TemplatePolicy:
-    """The tree has a level for the token count and one for each of the first ``lead`` tokens. Within a leaf a token is constant when
-    ``min_documents`` documents have it in its place, else it is a variable field; a template counts if at least ``similarity`` of its tokens
-    are constant. It recurs when ``min_documents`` documents hold it, near copies of each other counting as one. Lines of
-    fewer than ``min_tokens`` tokens are left alone."""
+    """The tree has a level for the token count and one for each of the first ``lead`` tokens, so those are alike within a leaf. A later token
+    is constant when lines of enough documents have it in its place, else it is a variable field. A template counts if at least ``similarity`` of
+    its tokens after the leading ones are constant (of all tokens, where there are no more). It recurs when enough documents hold an instance:
+    ``min_documents`` different ones, which are ``min_share`` of all different documents at least; documents of equal text are one. The share keeps
+    groups of near copies, a small part of a corpus, from making their own lines recur: near-dedup is to choose among them."""
 
     lead: int = 3
-    min_documents: float = 10.0
+    min_documents: int = 10
+    min_share: float = 0.001
     similarity: float = 0.5
-    min_tokens: int = 3
 
 
 def _tokens(text: Column) -> Column:
@@ -44,37 +45,37 @@ def _lines(docs: DataFrame, text_col: str, policy: TemplatePolicy) -> DataFrame:
 
 def line_templates(docs: DataFrame, policy: TemplatePolicy = TemplatePolicy(), text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Written tables: the recurring templates (``template``, ``documents``), and by text (``key``) the places ``drop`` of lines that are instances of one."""
-    marked = longest_lines(_lines(docs, text_col, policy), "lines", "leaf")
-    sketch = other_line_sketch("lines", "leaf")
-    rows = staged(marked.select("key", F.explode(F.transform(F.filter("lines", lambda x: x["words"] >= policy.min_tokens), lambda x: F.struct(
-        x["i"].alias("i"), x["leaf"].alias("leaf"), x["form"].alias("form"), sketch(x).alias("sketch")))).alias("x")).select("key", "x.*"))
+    lines = F.transform("lines", lambda x: F.struct(x["i"].alias("i"), x["words"].alias("words"), x["leaf"].alias("leaf"), x["form"].alias("form")))
+    rows = staged(_lines(docs, text_col, policy).select("key", F.explode(lines).alias("x")).select("key", "x.*"))
+    # documents of equal text are one: their lines count once, weighed by how many rows they stand for where rows are met again
+    once = staged(rows.groupBy("leaf", "form", "key").agg(F.min("i").alias("i"), F.count("*").alias("n")))
+    enough = max(policy.min_documents, policy.min_share * once.select("key").distinct().count())
 
     # level by level: a template of too few documents can't hide in a leaf of too few
-    kinds = rows.groupBy("leaf", "sketch").agg(F.count("*").alias("c"))
-    leaves = staged(kinds.groupBy("leaf").agg(F.sum("c").alias("n"), effective_documents(F.col("c")).alias("documents"))
-                    .where(F.col("documents") >= policy.min_documents).select("leaf", "n"))
-    kept = look_up(rows.select("key", "i", "leaf", "form"), leaves, ["leaf"], "inner", spread="key")
+    leaves = staged(once.groupBy("leaf", "key").agg(F.sum("n").alias("n")).groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
+                    .where(F.col("documents") >= enough).select("leaf", "n"))
+    kept = look_up(once.withColumnRenamed("n", "c"), leaves, ["leaf"], "inner", spread="key")
     # the text of each different line is read from one document that has it
-    forms = staged(kept.groupBy("leaf", "form").agg(F.count("*").alias("n"), F.min(F.struct("key", "i")).alias("at")))
-    picks = staged(forms.groupBy("at.key").agg(F.collect_list(F.struct("at.i", "leaf", "form", "n")).alias("picks"), F.max("n").alias("n")))
+    forms = staged(kept.groupBy("leaf", "form").agg(F.sum("c").alias("n"), F.count("*").alias("documents"), F.min(F.struct("key", "i")).alias("at")))
+    picks = staged(forms.groupBy("at.key").agg(F.collect_list(F.struct("at.i", "leaf", "form", "n", "documents")).alias("picks"), F.max("n").alias("n")))
     text = text_of(text_col)
     shown = look_up(docs.select(digest(text).alias("key"), text.alias("text")), picks, ["key"], "inner")
-    shown = shown.select("picks", _tokens(F.col("text")).alias("plain")).select("plain", F.explode("picks").alias("x")).select("x.leaf", "x.form", "x.n", F.get("plain", F.col("x.i")).alias("line"))
-    forms = staged(shown.groupBy("leaf", "form").agg(F.first("line").alias("line"), F.first("n").alias("n")))
-    tokens = forms.select("leaf", "form", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    constant = staged(tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("rows"), F.count("*").alias("n")).where(F.col("rows") >= policy.min_documents)
+    shown = shown.select("picks", _tokens(F.col("text")).alias("plain")).select("plain", F.explode("picks").alias("x")).select("x.leaf", "x.form", "x.n", "x.documents", F.get("plain", F.col("x.i")).alias("line"))
+    forms = staged(shown.groupBy("leaf", "form").agg(F.first("line").alias("line"), F.first("n").alias("n"), F.first("documents").alias("documents")))
+    tokens = forms.select("leaf", "form", "documents", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    constant = staged(tokens.groupBy("leaf", "at", "token").agg(F.sum("documents").alias("held"), F.count("*").alias("n")).where(F.col("held") >= enough)
                       .select("leaf", "at", "token", F.lit(True).alias("is_constant"), "n"))
     placed = look_up(tokens.select("leaf", "form", "at", "token"), constant, ["leaf", "at", "token"], "left", spread="form")
     fixed = F.coalesce(F.col("is_constant"), F.lit(False)) & (F.col("token") != FIELD)
     made = placed.groupBy("leaf", "form").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.when(fixed, F.col("token")).otherwise(FIELD).alias("token")))).alias("parts"), F.avg(fixed.cast("double")).alias("share"))
-    made = made.where(F.col("share") >= policy.similarity).select("leaf", "form", F.array_join(F.transform("parts", lambda p: p["token"]), " ").alias("template"))
+        F.array_sort(F.collect_list(F.struct("at", F.when(fixed, F.col("token")).otherwise(FIELD).alias("token")))).alias("parts"), F.avg(fixed.cast("double")).alias("all"),
+        F.avg(F.when(F.col("at") >= policy.lead, fixed.cast("double"))).alias("later"))
+    made = made.withColumn("share", F.coalesce("later", "all")).where(F.exists("parts", lambda p: p["token"] != FIELD)).where(F.col("share") >= policy.similarity).select("leaf", "form", F.array_join(F.transform("parts", lambda p: p["token"]), " ").alias("template"))
     made = staged(made.join(forms.select("leaf", "form", "n"), ["leaf", "form"]).select("form", F.unhex(F.md5(F.concat(F.hex("leaf"), "template"))).alias("id"), "template", "n"))
 
-    # documents per template, by the sketch of what else they hold
-    held = look_up(rows.select("form", "sketch"), made.select("form", "id", "n"), ["form"], "inner", spread="sketch")
-    counts = held.groupBy("id", "sketch").agg(F.count("*").alias("c")).groupBy("id").agg(effective_documents(F.col("c")).alias("documents"))
-    counts = counts.where(F.col("documents") >= policy.min_documents)
+    # documents per template: a document with several instances counts once
+    held = look_up(once.select("form", "key"), made.select("form", "id", "n"), ["form"], "inner", spread="key")
+    counts = held.distinct().groupBy("id").agg(F.count("*").alias("documents")).where(F.col("documents") >= enough)
     recurring = staged(made.join(counts, "id"))
     gone = look_up(rows.select("key", "i", "form"), recurring.select("form", F.lit(True).alias("gone"), "n"), ["form"], "inner", spread="key")
     drops = staged(gone.groupBy("key").agg(F.collect_set("i").alias("drop"), F.count("*").alias("n")))

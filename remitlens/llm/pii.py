@@ -84,7 +84,8 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, policy: DisclosurePolicy
     """Terms that give a protected value away, with the share of its information; and the texts (``key``, ``term``) that hold them.
 
     n(e), n(e, t): different contexts of the value e, and those of them with the term t. n(t): documents with t, N: all documents.
-    PMI = log(N n(e, t) / (n(e) n(t))); the value's own information is log(N / n(e)).
+    PMI = log(N n(e, t) / (n(e) n(t))); the value's own information is log(N / n(e)). A value with as many contexts as there are documents, or
+    more, carries no information, so nothing gives it away.
     """
     context = F.filter(F.split(F.lower("context"), TERM_BREAK), lambda t: F.length(t) > 1)
     seen = spans.select(F.lower("value").alias("e"), F.array_sort(F.array_distinct(context)).alias("terms")).distinct()
@@ -94,9 +95,11 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, policy: DisclosurePolicy
     candidates = staged(pairs.groupBy("t").agg(F.count("*").alias("n")))
     text = text_of(text_col)
     terms = docs.select(digest(text).alias("key"), F.explode(F.array_distinct(F.split(F.lower(text), TERM_BREAK))).alias("t"))
-    n_t = look_up(terms, candidates, ["t"], "inner", spread="key").groupBy("t").agg(F.count("*").alias("n_t"))
+    # counted before they meet: one row per term on both sides
+    n_t = terms.groupBy("t").agg(F.count("*").alias("n_t")).join(candidates.select("t"), "t")
     total = docs.agg(F.count("*").cast("double").alias("docs")).scalar()
-    share = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(total / F.col("n_e"))
+    own = F.when(F.col("n_e") < total, F.log(total / F.col("n_e")))
+    share = F.coalesce(F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / own, F.lit(0.0))
     strong = staged(pairs.join(n_t, "t").groupBy("t").agg(F.max(F.least(share, F.lit(1.0))).alias("share"), F.count("*").alias("n")).where(F.col("share") >= policy.threshold))
     # texts are gone through again for the strong terms alone: most candidates are common words
     return strong.select("t", "share"), staged(look_up(terms, strong.drop("share"), ["t"], "inner", spread="key").distinct())
@@ -146,7 +149,8 @@ def span_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def sanitised(docs: DataFrame, policy: DisclosurePolicy = DisclosurePolicy(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with base values generalised to their kind, disclosing terms to [NAME] or [NUMBER] by their form or else removed.
 
-    Spans that overlap are replaced as one, by the label of the first. The columns of ``docs`` are kept; a null text stays null.
+    Spans that overlap are replaced as one, by the label of the first. The columns of ``docs`` are kept, whatever their names; a null text
+    stays null and an empty one empty; repeated rows come back as often as they came; empty ``docs`` give no rows.
     """
     spans = private_spans(docs, policy, text_col).select("key", "n", F.explode("spans").alias("s")).select("key", "n", "s.*")
     order = W.partitionBy("key").orderBy("start", F.desc("end"), "kind")

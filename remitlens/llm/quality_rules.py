@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.llm.common import (
-    WHITE, digest, effective_documents, let, longest_lines, look_up, other_line_sketch, plain_lines, staged, text_of, without_white, words_of,
+    WHITE, digest, let, look_up, plain_lines, staged, text_of, without_white, words_of,
 )
 
 SYMBOLS = "#*$%&|<>"
@@ -17,13 +17,15 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class QualityRules:
-    """``min_words`` and ``max_repeat_percent`` decide by the document alone. A line is common when more than ``max_documents``
-    documents of its host carry it, near copies of each other counting as one; a document is depleted when less than
-    ``min_left`` of its words are outside common lines."""
+    """``min_words`` and ``max_repeat_percent`` decide by the document alone. A line is common when more than ``max_documents`` different
+    documents of its host carry it, which are ``min_share`` of the host's different documents at least; documents of equal text are one. A
+    document is depleted when less than ``min_left`` of its words are outside common lines. The share keeps groups of near copies, which hold
+    a small part of a host, from making their own lines common: near-dedup is to choose among them."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
-    max_documents: float = 20.0
+    max_documents: int = 20
+    min_share: float = 0.02
     min_left: float = 0.2
 
 
@@ -69,12 +71,11 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str =
     host as the host ''. Lines are compared in lower case with blanks joined. Other columns are ignored; empty ``docs`` give no rows.
     """
     measured = staged(measures(docs, id_col, text_col, host_col))
-    own = longest_lines(measured.select("host", F.array_distinct("lines").alias("lines")), "lines", "h")
-    sketch = other_line_sketch("lines", "h")
-    shared = own.select("host", F.explode(F.transform("lines", lambda x: F.struct(x["h"].alias("h"), sketch(x).alias("sketch")))).alias("line")).select("host", "line.*")
-    kinds = shared.groupBy("host", "h", "sketch").agg(F.count("*").alias("c"))
-    common = staged(kinds.groupBy("host", "h").agg(F.sum("c").alias("n"), effective_documents(F.col("c")).alias("documents"))
-                    .where(F.col("documents") > rules.max_documents).select("host", "h", "n"))
+    held = measured.select("host", "key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    once = held.groupBy("host", "h", "key").agg(F.count("*").alias("c"))  # equal texts are one document
+    carried = once.groupBy("host", "h").agg(F.sum("c").alias("n"), F.count("*").alias("documents")).where(F.col("documents") > rules.max_documents)
+    hosts = measured.groupBy("host", "key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
+    common = staged(carried.join(hosts, "host").where(F.col("documents") >= rules.min_share * F.col("of")).select("host", "h", "n"))
     # what common lines hold, by text: equal texts of a host get equal answers
     lines = measured.select("key", "host", F.explode(F.transform("lines", lambda x, i: F.struct(x["h"].alias("h"), x["words"].alias("words"), i.alias("i")))).alias("line")).select("key", "host", "line.*")
     hit = look_up(lines, common, ["host", "h"], "inner")
@@ -90,7 +91,10 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str =
 
 
 def without_common_lines(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``docs`` that ``quality`` keeps, less their common lines, with the columns of ``docs``. Order of lines is kept."""
+    """``docs`` that ``quality`` keeps, less their common lines, with the columns of ``docs``. Order of lines is kept.
+
+    A null text counts as empty and fails the rules; repeated rows come back as often as they came; empty ``docs`` give no rows.
+    """
     host, text = F.coalesce(F.col(host_col).cast("string"), F.lit("")), text_of(text_col)
     # only texts that change are looked up
     changed = verdicts.where(~F.col("kept") | (F.size("common_lines") > 0))

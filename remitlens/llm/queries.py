@@ -117,19 +117,20 @@ QUERIES = {
 
 ORACLE = {
     "op5_line_dedup": r"""
-with ln as (select doc_id, i, trim(regexp_replace(trim(regexp_replace(lower(l), '[ \t\x0b\x0c\r]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g')) l from (
-         select doc_id, generate_subscripts(ls, 1) i, unnest(ls) l from (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents))),
+with ln as (select doc_id, k, i, trim(regexp_replace(trim(regexp_replace(lower(l), '[ \t\x0b\x0c\r]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g')) l from (
+         select doc_id, k, generate_subscripts(ls, 1) i, unnest(ls) l from (select doc_id, md5(coalesce(text, '')) k, string_split(coalesce(text, ''), chr(10)) ls from documents))),
 b as (select *, string_split(l, ' ') toks from ln where l <> ''),
-c as (select *, len(toks) n, md5(len(toks) || ' ' || array_to_string(toks[1:3], ' ')) leaf from b),
-o as (select doc_id, leaf, row_number() over (partition by doc_id order by max(n) desc, leaf desc) r from c group by doc_id, leaf),
-s as (select c.*, coalesce(case when f.leaf = c.leaf then s2.leaf else f.leaf end, '') sketch
-      from c left join o f on f.doc_id = c.doc_id and f.r = 1 left join o s2 on s2.doc_id = c.doc_id and s2.r = 2 where n >= 3),
-leaves as (select leaf from (select leaf, sketch, count(*) c from s group by 1, 2) group by leaf having sum(c) * sum(c) / sum(c * c) >= 10),
-t as (select s.*, generate_subscripts(toks, 1) p, unnest(toks) tok from s semi join leaves using (leaf)),
-f as (select *, tok <> '<*>' and count(*) over (partition by leaf, p, tok) >= 10 fixed from t),
-m as (select doc_id, i, leaf, sketch, string_agg(case when fixed then tok else '<*>' end, ' ' order by p) template from f group by 1, 2, 3, 4 having avg(case when fixed then 1.0 else 0 end) >= 0.5),
-rec as (select leaf, template from (select leaf, template, sketch, count(*) c from m group by 1, 2, 3) group by 1, 2 having sum(c) * sum(c) / sum(c * c) >= 10),
-gone as (select doc_id, list(i) drops, count(*) n_dropped from m semi join rec using (leaf, template) group by doc_id)
+c as (select *, md5(len(toks) || ' ' || array_to_string(toks[1:3], ' ')) leaf from b),
+lim as (select greatest(10, 0.001 * count(distinct k)) enough from c),
+leaves as (select leaf from c group by leaf having count(distinct k) >= (select enough from lim)),
+forms as (select leaf, l, any_value(toks) toks, count(distinct k) d from c semi join leaves using (leaf) group by 1, 2),
+t as (select leaf, l, d, generate_subscripts(toks, 1) p, unnest(toks) tok from forms),
+f as (select *, case when tok <> '<*>' and sum(d) over (partition by leaf, p, tok) >= (select enough from lim) then 1.0 else 0 end fixed from t),
+m as (select leaf, l, string_agg(case when fixed > 0 then tok else '<*>' end, ' ' order by p) template from f group by 1, 2
+      having coalesce(avg(fixed) filter (p > 3), avg(fixed)) >= 0.5 and max(fixed) > 0),
+inst as (select c.doc_id, c.i, c.k, leaf, template from c join m using (leaf, l)),
+rec as (select leaf, template from inst group by 1, 2 having count(distinct k) >= (select enough from lim)),
+gone as (select doc_id, list(i) drops, count(*) n_dropped from inst semi join rec using (leaf, template) group by doc_id)
 select d.doc_id, len(string_split(coalesce(text, ''), chr(10))) n_lines, coalesce(n_dropped, 0) n_dropped,
        case when drops is null then text else array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(drops, i)), chr(10)) end as text
 from documents d left join gone g on g.doc_id = d.doc_id
@@ -148,12 +149,9 @@ dup as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc
 rep as (select doc_id, sum(least(5, coalesce(lead_i - i, 5))) n_repeat_words from (select doc_id, i, lead(i) over (partition by doc_id order by i) lead_i from dup) group by doc_id),
 ln as (select doc_id, host, l, len(string_split(l, ' ')) words from (
          select doc_id, host, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[ \t\x0b\x0c\r]+', ' ', 'g')) l from d) where l <> ''),
-own as (select distinct doc_id, host, l, words, unhex(md5(l)) h from ln),
-rk as (select *, row_number() over (partition by doc_id order by words desc, h desc) r from own),
-sk as (select o.doc_id, o.host, o.h, coalesce(hex(case when o.r = 1 then s.h else f.h end), '') sketch
-       from rk o left join rk f on f.doc_id = o.doc_id and f.r = 1 left join rk s on s.doc_id = o.doc_id and s.r = 2),
-common as (select host, h from (select host, h, sketch, count(*) c from sk group by 1, 2, 3) group by 1, 2 having sum(c) * sum(c) / sum(c * c) > 20),
-cw as (select doc_id, sum(words) common_words from ln join common c on c.host = ln.host and c.h = unhex(md5(ln.l)) group by doc_id),
+hosts as (select host, count(distinct text) total from d group by host),
+common as (select host, l from (select distinct ln.host, l, text from ln join d using (doc_id)) join hosts using (host) group by host, l, total having count(*) > 20 and count(*) >= 0.02 * total),
+cw as (select doc_id, sum(words) common_words from ln semi join common using (host, l) group by doc_id),
 m as (select w.doc_id, len(words) n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) word_chars,
              length(text) - length(translate(text, '#*$%&|<>', '')) n_symbols, len(raw) - len(list_distinct(raw)) n_dup_lines,
              coalesce(n_repeat_words, 0) n_repeat_words, coalesce(common_words, 0) common_words
