@@ -18,6 +18,8 @@ from remitlens.llm.word_pieces import encoder
 TIERS = (2048, 1024, 512, 256)
 #: sequences of a partition are numbered within so many bits
 CUT_ID_BITS = 33
+#: documents packed before their windows are handed on
+BATCH_DOCS = 1_000
 
 Piece = tuple[int, int, int]  # document, start, length
 Window = tuple[int, list[Piece]]  # tier, pieces from offset 0
@@ -109,7 +111,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers:
                    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenize every document, end it with ``end_id`` and pack all into sequences of ``tiers`` tokens, without padding.
 
-    Each partition is packed by itself as it streams through, so nothing is shuffled and a task holds one batch of documents; a
+    Each partition is packed by itself as it streams through, so nothing is shuffled and a task holds BATCH_DOCS documents and those that wait; a
     partition's last tokens make at most one window of each power of two. A retried task gives the same rows. One row per piece:
     the id, ``start`` (ids of the document before it), ``length``, ``ids_crc32`` (of little-endian 32-bit ids), ``doc_tokens`` (with the
     end), ``sequence_id`` (unique; the partition's number in its high bits), ``offset`` in the sequence, ``window`` (its size) and
@@ -147,16 +149,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers:
 
         doc, id_type = 0, None
         for batch in batches:
-            id_type, windows = batch.schema.field("id").type, []
-            for ident, text in zip(batch.column("id"), batch.column("text")):
-                ids = np.append(encode(text.as_py()), np.uint16(end_id))
-                held[doc] = (ident.as_py(), ids)
-                windows += packer.add(doc, len(ids))
-                doc += 1
-            windows += packer.pack()
-            yield table(windows)
-            waiting = {p[0] for stack in packer.waiting.values() for p in stack}
-            held = {k: v for k, v in held.items() if k in waiting}
+            id_type = batch.schema.field("id").type
+            for part in (batch.slice(at, BATCH_DOCS) for at in range(0, batch.num_rows, BATCH_DOCS)):
+                windows = []
+                for ident, text in zip(part.column("id"), part.column("text")):
+                    ids = np.append(encode(text.as_py()), np.uint16(end_id))
+                    held[doc] = (ident.as_py(), ids)
+                    windows += packer.add(doc, len(ids))
+                    doc += 1
+                windows += packer.pack()
+                yield table(windows)
+                waiting = {p[0] for stack in packer.waiting.values() for p in stack}
+                held = {k: v for k, v in held.items() if k in waiting}
         if id_type is not None:
             yield table(list(packer.rest()))
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,8 @@ from sentencepiece import SentencePieceProcessor
 from remitlens.llm.common import text_of
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+#: entries kept of words and of pairs of pieces
+CACHE_WORDS, CACHE_FITS = 400_000, 1_000_000
 
 
 class PrefixViterbi:
@@ -62,7 +63,7 @@ class PrefixViterbi:
         key = (before + 1) << 16 | piece
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= CACHE_WORDS:
+            if len(self.fits) >= CACHE_FITS:
                 self.fits.clear()
             first = self.pieces.get(before, "")
             known = self.fits[key] = self.merged(first + self.pieces[piece]) == [*[first] * bool(first), self.pieces[piece]]
@@ -71,25 +72,34 @@ class PrefixViterbi:
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """Words, to be given in sorted order, with their ids as 16-bit numbers."""
         last, size = [-1], [0]  # of the piece that ends the first i characters: its id (-1: a character without one), its length
-        previous, ids, fit, longest = "", self.ids, self.fit, self.longest
+        previous, ids, fits, longest = "", self.ids, self.fits, self.longest
         for word in words:
-            common = len(commonprefix((previous, word))) + 1
-            del last[common:], size[common:]
-            for end in range(len(last), len(word) + 1):
-                for start in range(max(0, end - longest), end):
+            common, most = 0, min(len(previous), len(word))
+            while common < most and previous[common] == word[common]:
+                common += 1
+            del last[common + 1 :], size[common + 1 :]
+            for end in range(common + 1, len(word) + 1):
+                for start in range(end - longest if end > longest else 0, end):
                     piece = ids.get(word[start:end])
-                    if piece is not None and fit(last[start], piece):
+                    if piece is None:
+                        continue
+                    fitting = fits.get((last[start] + 1) << 16 | piece)
+                    if fitting or (fitting is None and self.fit(last[start], piece)):
                         last.append(piece)
                         size.append(end - start)
                         break
                 else:  # no piece holds the character, so no merge does
                     last.append(-1)
                     size.append(1)
-            previous, at, out = word, len(word), []
+            previous, at, out = word, len(word), array("H")
             while at:
-                out.append((last[at],) if last[at] >= 0 else [self.bytes[b] for b in word[at - 1].encode("utf-8", "surrogatepass")])
+                if last[at] >= 0:
+                    out.append(last[at])
+                else:
+                    out.extend([self.bytes[b] for b in reversed(word[at - 1].encode("utf-8", "surrogatepass"))])
                 at -= size[at]
-            yield word, np.array([i for part in reversed(out) for i in part], np.uint16).tobytes()
+            out.reverse()
+            yield word, out.tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; words of the batch that the cache lacks are sorted and encoded together."""

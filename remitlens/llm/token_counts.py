@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.llm.common import text_of
-from remitlens.llm.word_pieces import CACHE_WORDS, WordEncoder
+from remitlens.llm.word_pieces import WordEncoder
 
 END = "</w>"
 NONE = -1
 
 
+#: counts of words kept by a worker
+CACHE_WORDS = 400_000
+
+
 class LongestMatch:
     """Counts the pieces of greedy longest-match segmentation in one pass over a string.
 

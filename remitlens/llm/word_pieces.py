@@ -11,7 +11,8 @@ from tokenizers import Tokenizer
 
 #: Python's split() takes these for white space, the tokenizer doesn't
 SEPARATORS = regex.compile("[\x1c-\x1f]")
-CACHE_WORDS = 400_000
+#: bytes of words and ids kept in each of the two caches, and what an entry takes besides
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 160
 
 
 class WordEncoder:
@@ -31,6 +32,7 @@ class WordEncoder:
         self.letters = {b: 256 + k for k, b in enumerate(odd)}
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = {"runs": 0, "words": 0}
 
     def plain(self, text: str) -> str:
         """The tokenizer's normal form, but for white space."""
@@ -47,21 +49,28 @@ class WordEncoder:
     def symbols(self, word: str) -> str:
         return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
 
+    def _keep(self, name: str, text: str, ids: bytes) -> None:
+        """Put an entry into a cache, which starts anew when it is full. Words longer than a cache is good for aren't kept."""
+        if len(text) > 64:
+            return
+        cache: dict[str, bytes] = getattr(self, name)
+        size = ENTRY_BYTES + len(text) + len(ids)
+        if self.held[name] + size > CACHE_BYTES:
+            cache.clear()
+            self.held[name] = 0
+        cache[text] = ids
+        self.held[name] += size
+
     def _run(self, run: str) -> bytes:
         parts = []
         for word in self.pattern.findall(run):
             ids = self.words.get(word)
             if ids is None:
                 ids = np.array([t.id for t in self.model.tokenize(self.symbols(word))], np.uint16).tobytes()
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
+                self._keep("words", word, ids)
             parts.append(ids)
         out = b"".join(parts)
-        if len(run) <= 64:
-            if len(self.runs) >= CACHE_WORDS:
-                self.runs.clear()
-            self.runs[run] = out
+        self._keep("runs", run, out)
         return out
 
     def encode(self, text: str) -> np.ndarray:
