@@ -53,9 +53,13 @@ RULE_LIMITS = ReadLimits(max_file_bytes=10 * 1024 * 1024, header_scan_lines=20,
 
 @dataclass(frozen=True)
 class PayerPolicy:
+    """``hot_owners``: a word that more customers of a company have is hot; it finds customers for the ranking of the best two without pairing
+    each payment that says it with every customer (None: always pair)."""
+
     ambiguity_delta: Decimal = Decimal("15.00")
     identified_score: Decimal = Decimal("70.00")
     viable_score: Decimal = Decimal("30.00")
+    hot_owners: int | None = 1_000
 
 
 #: candidates per payment in the rules' service

@@ -2,7 +2,7 @@
 
 The rules compare every payment with every customer. Here both sides are turned into comparable
 keys (account or VPA, alias, legal name, tax id) and meet in one equi-join on
-(company, kind of key, key). Only payments that join leaves undecided go on to the word overlap.
+(company, kind of key, key). Word overlap goes by an index of the rarest words of each customer.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from remitlens import vocab
-from remitlens.config import PayerPolicy
+from remitlens.config import PayerPolicy, SkewPolicy
 from remitlens.functions import text as X
 from remitlens.functions.arrays import first
 from remitlens.operators.rows import compute_once
+from remitlens.operators.skew import grid
 from remitlens.schemas import SCORE
 from remitlens.session import cut_lineage
 
@@ -142,29 +143,49 @@ def key_signals(payments: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def token_signals(payments: DataFrame, customers: DataFrame) -> DataFrame:
-    """Word overlap of payment text and customer names: at least 30 % of the customer's words.
+def _word_index(customers: DataFrame, hot_owners: int | None) -> DataFrame:
+    """(company, ``token``) of the words under which a customer must be looked for, with its name and all its words, the rarest first.
 
-    An inverted index over customer words with prefix filtering: a customer with ``n`` words needs
-    ``ceil(0.3 n)`` of them in the payment, so, words being taken in one fixed order (long words
-    first, as they are the rare ones), one of its first ``n - ceil(0.3 n) + 1`` must be there. Only
-    those are indexed. A pair that meets on several indexed words is kept on the first, so
-    the join needs no distinct after it.
+    How rare a word is, is how many customers of the company have it. With ``hot_owners``, a word that more customers have counts as hot, and of
+    customers alike in number of words and hot words only the first two by name are kept under their hot words.
     """
-    def ordered(words: Column) -> Column:
-        ranked = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
-        return F.transform(ranked, lambda r: r["w"])
+    key = ["company_id", "customer_id"]
+    named = customers.where(~F.col("is_archived")).select(*key, F.col("name").alias("customer_name"), "aliases")
+    words = compute_once(named, {"_token": X.tokens(F.concat_ws(" ", F.col("customer_name"), F.array_join("aliases", " ")))}).drop("aliases")
+    each = words.withColumn("token", F.explode("_token")).drop("_token")
+    owners = each.groupBy("company_id", "token").agg(F.count("*").alias("_owners"))
+    # a word that very many customers have is one row of owners; the split of skewed joins deals with their side
+    ordered = each.join(owners, ["company_id", "token"]).groupBy(*key, "customer_name").agg(F.array_sort(F.collect_list(F.struct("_owners", "token"))).alias("_ranked"))
+    needed = F.ceil(F.size("_ranked") * F.lit(3) / F.lit(10)).cast("int")
+    index = ordered.select(*key, "customer_name", F.transform("_ranked", lambda r: r["token"]).alias("_words"), F.slice("_ranked", F.lit(1), F.size("_ranked") - needed + 1).alias("_under"),
+                           F.filter("_ranked", lambda r: r["_owners"] > (hot_owners or 0)).alias("_hot"))
+    if hot_owners is not None:
+        # rows beyond the second of a kind fall away before anything is shuffled
+        alike = W.partitionBy("company_id", F.size("_words"), F.transform("_hot", lambda r: r["token"])).orderBy("customer_name", "customer_id")
+        rare = index.withColumn("_under", F.filter("_under", lambda r: r["_owners"] <= hot_owners))
+        common = index.withColumn("_under", F.filter("_under", lambda r: r["_owners"] > hot_owners)).where(F.size("_under") > 0)
+        index = rare.unionByName(common.withColumn("_nth", F.row_number().over(alike)).where("_nth <= 2").drop("_nth"))
+    return index.select(*key, "customer_name", "_words", F.explode(F.transform("_under", lambda r: r["token"])).alias("token"))
+
+
+def token_signals(payments: DataFrame, customers: DataFrame, hot_owners: int | None = None, skew: SkewPolicy = SkewPolicy()) -> DataFrame:
+    """Word overlap of payment text and customer names: at least 30 % of the customer's words.
 
-    theirs = compute_once(
-        customers.where(~F.col("is_archived")).select("company_id", "customer_id", F.col("name").alias("customer_name"), "aliases"),
-        {"_words": ordered(X.tokens(F.concat_ws(" ", F.col("customer_name"), F.array_join("aliases", " "))))}).drop("aliases")
-    needed = F.ceil(F.size("_words") * F.lit(3) / F.lit(10)).cast("int")
-    index = theirs.where(F.size("_words") > 0).withColumn(
-        "token", F.explode(F.slice("_words", F.lit(1), F.size("_words") - needed + 1)))
+    An inverted index over customer words with prefix filtering: a customer with ``n`` words needs ``ceil(0.3 n)`` of them in the payment, so, words
+    being taken rarest first, one of its first ``n - ceil(0.3 n) + 1`` must be there. Only those are indexed. A pair that meets on several indexed
+    words is kept on the first, so the join needs no distinct after it. Words that many payments or customers have are cut into a grid of cells.
 
+    By default all customers of a payment come out. With ``hot_owners`` the best two of each payment are among those that come out, and a word
+    that more customers than that share makes no pairs of everyone with everyone: customers whom a payment names by such words alone score by
+    their number of words and hot words only, so of customers alike in both the first two by name stand for all. (Any of them that shares a rarer
+    word too is found under that one, with a higher score.)
+    """
+    index = _word_index(customers, hot_owners)
     paid = compute_once(payments.select(*PAYMENT, "payer_raw_name", "narration"), {"_text": X.tokens(F.concat_ws(
         " ", F.coalesce("payer_raw_name", F.lit("")), F.coalesce("narration", F.lit(""))))}).drop("payer_raw_name", "narration")
-    met = paid.withColumn("token", F.explode("_text")).join(index, ["company_id", "token"])
+    keys = ["company_id", "token"]
+    left, right = grid(paid.withColumn("token", F.explode("_text")), index, keys, "payment_id", "customer_id", skew)
+    met = left.join(right, [*keys, "_l", "_r"])
     shared = F.array_intersect("_words", "_text")
     ratio = F.size("_shared") / F.size("_words")
     hits = compute_once(met, {"_shared": shared}).where(
@@ -181,10 +202,10 @@ def token_signals(payments: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def payer_signals(payments: DataFrame, customers: DataFrame, durable: bool = False) -> DataFrame:
+def payer_signals(payments: DataFrame, customers: DataFrame, durable: bool = False, hot_owners: int | None = None) -> DataFrame:
     """All signals of eligible payments, one row per (payment, customer, signal).
 
-    Words count for every payment, so the candidate lists and runners-up are complete under any policy; only a customer
+    Words count for every payment, so the candidate lists are complete under any policy (with ``hot_owners``: the best two); only a customer
     that a payment names by a strong key gets no word signal from it. The key signals are read twice for that;
     ``durable`` writes them out in between, so that the keys are extracted and joined once.
     """
@@ -193,7 +214,7 @@ def payer_signals(payments: DataFrame, customers: DataFrame, durable: bool = Fal
     if durable:
         keys = cut_lineage(keys)
     strong = keys.where(F.col("kind") != "TAX").select(*PAYMENT, "customer_id").distinct()
-    words = token_signals(eligible, customers).join(strong, [*PAYMENT, "customer_id"], "left_anti")
+    words = token_signals(eligible, customers, hot_owners).join(strong, [*PAYMENT, "customer_id"], "left_anti")
     return keys.unionByName(words)
 
 
@@ -230,7 +251,7 @@ def identify_payers(
     ``customer_id`` (only when IDENTIFIED), ``payer_score``, and the names and scores of
     the two best candidates. Only those two decide, so ranking stops there.
     """
-    ranked = rank_candidates(payer_candidates(payer_signals(payments, customers, durable)))
+    ranked = rank_candidates(payer_candidates(payer_signals(payments, customers, durable, policy.hot_owners)))
     top = ranked.where("rank <= 2")
 
     def of(rank: int, column: str) -> Column:

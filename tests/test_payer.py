@@ -2,6 +2,7 @@ import itertools
 import random
 
 from builders import customers, identified, judged, payments
+from remitlens.config import PayerPolicy, SkewPolicy
 from remitlens.operators import intake, payer
 
 PEOPLE = [
@@ -87,3 +88,31 @@ def test_intake_cascade(spark):
         "d": ("INVALID", "BALANCE_CONSERVATION_BREACH", 0), "e": ("INVALID", "FUTURE_TRANSACTION_DATE", 0), "f": ("ALREADY_PROCESSED", "FULLY_RECONCILED", 0),
         "g": ("INELIGIBLE", "PAYMENT_MARKED_IGNORED", 0), "h": ("INVALID", "INVALID_PAYMENT_STATUS", 0), "i": ("ELIGIBLE", "PARTIAL_BALANCE_AVAILABLE", 60),
         "j": ("ELIGIBLE", "READY_FOR_RECONCILIATION", 100)}
+
+
+WORDS = ["alpha", "bravo", "corner", "delta", "echo", "foxtrot", "golfer", "hotel"]
+
+
+def test_hot_words_change_no_verdict(spark):
+    """The best two are the same whether or not payments meet every customer of a hot word; hot keys cut into cells change nothing either."""
+    rng = random.Random(5)
+    people = [dict(id=f"k{i:03d}", name=" ".join(rng.sample(WORDS, rng.randint(1, 5))) + rng.choice(["", f" unit{i}"]), aliases=[rng.choice(WORDS)] * rng.randint(0, 1)) for i in range(80)]
+    pays = payments(spark, *[dict(payment_id=f"p{i:03d}", payer_raw_name=rng.choice([None, " ".join(rng.sample(WORDS, 2))]), narration=f"transfer {' '.join(rng.sample(WORDS, rng.randint(1, 4)))} unit{rng.randint(0, 90)}") for i in range(60)])
+    known = [payer.customer_context(*customers(spark, *people))][0]
+    seen = []
+    for hot in (None, 0, 5, 25):
+        found = payer.identify_payers(judged(pays), known, PayerPolicy(hot_owners=hot))
+        seen.append(sorted(map(str, found.select("payment_id", "payer_status", "payer_reason", "customer_id", "payer_score", "top_customer", "top_score", "runner_up", "runner_up_score").collect())))
+    assert seen[0] == seen[1] == seen[2] == seen[3] and len(set(seen[0])) == 60
+    every, cells = (sorted(map(str, payer.token_signals(pays, known, skew=SkewPolicy(min_rows=n)).collect())) for n in (50_000, 10))
+    assert every == cells and len(every) > 500
+
+
+def test_a_word_of_all_customers_pairs_no_one_with_everyone(spark):
+    people = [dict(id=f"k{i:04d}", name=f"Acmes branch{i}") for i in range(400)]
+    known = payer.customer_context(*customers(spark, *people))
+    pays = payments(spark, *[dict(payment_id=f"p{i}", narration=f"acmes branch{i}" if i < 5 else "acmes") for i in range(50)])
+    made = payer.token_signals(judged(pays), known, hot_owners=100)
+    assert made.count() <= 3 * 50 and payer.token_signals(judged(pays), known).count() == 50 * 400
+    rows = {r.payment_id: (r.top_customer, r.runner_up) for r in payer.identify_payers(judged(pays), known, PayerPolicy(hot_owners=100)).collect()}
+    assert rows["p3"] == ("Acmes branch3", "Acmes branch0") and rows["p9"] == ("Acmes branch0", "Acmes branch1")
