@@ -63,15 +63,18 @@ def line_templates(docs: DataFrame, policy: TemplatePolicy = TemplatePolicy(), t
     shown = shown.select("picks", _tokens(F.col("text")).alias("plain")).select("plain", F.explode("picks").alias("x")).select("x.leaf", "x.form", "x.n", "x.documents", F.get("plain", F.col("x.i")).alias("line"))
     forms = staged(shown.groupBy("leaf", "form").agg(F.first("line").alias("line"), F.first("n").alias("n"), F.first("documents").alias("documents")))
     tokens = forms.select("leaf", "form", "documents", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    constant = staged(tokens.groupBy("leaf", "at", "token").agg(F.sum("documents").alias("held"), F.count("*").alias("n")).where(F.col("held") >= enough)
-                      .select("leaf", "at", "token", F.lit(True).alias("is_constant"), "n"))
-    placed = look_up(tokens.select("leaf", "form", "at", "token"), constant, ["leaf", "at", "token"], "left", spread="form")
-    fixed = F.coalesce(F.col("is_constant"), F.lit(False)) & (F.col("token") != FIELD)
-    made = placed.groupBy("leaf", "form").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.when(fixed, F.col("token")).otherwise(FIELD).alias("token")))).alias("parts"), F.avg(fixed.cast("double")).alias("all"),
-        F.avg(F.when(F.col("at") >= policy.lead, fixed.cast("double"))).alias("later"))
-    made = made.withColumn("share", F.coalesce("later", "all")).where(F.exists("parts", lambda p: p["token"] != FIELD)).where(F.col("share") >= policy.similarity).select("leaf", "form", F.array_join(F.transform("parts", lambda p: p["token"]), " ").alias("template"))
-    made = staged(made.join(forms.select("leaf", "form", "n"), ["leaf", "form"]).select("form", F.unhex(F.md5(F.concat(F.hex("leaf"), "template"))).alias("id"), "template", "n"))
+    constant = tokens.where(F.col("token") != FIELD).groupBy("leaf", "at", "token").agg(F.sum("documents").alias("held")).where(F.col("held") >= enough)
+    # a place has at most 1 / min_share constants, as each is held by so large a part of all documents
+    by_leaf = constant.groupBy("leaf").agg(F.collect_list(F.concat_ws(" ", "at", "token")).alias("constants"))
+    by_leaf = staged(by_leaf.join(forms.groupBy("leaf").agg(F.count("*").alias("n")), "leaf"))
+    known = look_up(forms.select("leaf", "form", F.col("n").alias("rows"), F.split("line", " ").alias("tokens")), by_leaf, ["leaf"], "inner", spread="form")
+    fixed = F.transform("tokens", lambda t, i: F.array_contains("constants", F.concat_ws(" ", i, t)))
+    judged = known.select("leaf", "form", F.col("rows").alias("n"), "tokens", fixed.alias("fixed"))
+    later = F.when(F.size("fixed") > policy.lead, F.slice("fixed", F.lit(policy.lead + 1), F.size("fixed"))).otherwise(F.col("fixed"))
+    likeness = F.size(F.filter(later, lambda x: x)) / F.size(later)
+    made = judged.where((likeness >= policy.similarity) & F.array_contains("fixed", True)).select(
+        "leaf", "form", "n", F.array_join(F.zip_with("tokens", "fixed", lambda t, x: F.when(x, t).otherwise(FIELD)), " ").alias("template"))
+    made = staged(made.select("form", F.unhex(F.md5(F.concat(F.hex("leaf"), "template"))).alias("id"), "template", "n"))
 
     # documents per template: a document with several instances counts once
     held = look_up(once.select("form", "key"), made.select("form", "id", "n"), ["form"], "inner", spread="key")
