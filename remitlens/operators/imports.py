@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from remitlens.functions.fingerprint import stable_id, transaction_fingerprint
 from remitlens.operators.rows import compute_once
 from remitlens.schemas import money
+from remitlens.session import cut_lineage
+from remitlens.sources.fingerprint_index import FingerprintIndex, met_by
 
 
 def unseen_files(files: DataFrame, batches: DataFrame) -> DataFrame:
@@ -28,13 +30,13 @@ def fingerprint_rows(parsed: DataFrame) -> DataFrame:
         F.col("currency"), F.col("transaction_type"), F.col("narration"), F.col("balance")))})
 
 
-def deduplicate_rows(rows: DataFrame, stored: DataFrame | None = None, skip_duplicates: bool = True) -> DataFrame:
+def deduplicate_rows(rows: DataFrame, stored: DataFrame | FingerprintIndex | None = None, skip_duplicates: bool = True, batch: str = "") -> DataFrame:
     """Outcome of every parsed row: IMPORTED, INVALID, DUPLICATE_IN_FILE, DUPLICATE_STORED or DUPLICATE_ERROR.
 
     ``rows`` needs ``company_id``, ``file_name``, ``row_number``, ``error_field`` and
     ``deduplication_hash``. Files count in order of their names, rows in order of their numbers. The first row of a
-    fingerprint is imported unless ``stored`` (company_id, deduplication_hash) has it; a repeat in
-    the same file is a duplicate and an error, one in a later file is a stored duplicate.
+    fingerprint is imported unless ``stored`` (a table with company_id and deduplication_hash, or an index, which leaves out the
+    entries of this ``batch``) has it; a repeat in the same file is a duplicate and an error, one in a later file is a stored duplicate.
 
     The first row per fingerprint is found with a map-side-combined minimum, so a fingerprint
     shared by a large part of all rows never gathers in one task; joining it back is left to the
@@ -44,8 +46,9 @@ def deduplicate_rows(rows: DataFrame, stored: DataFrame | None = None, skip_dupl
     good = rows.where("error_field is null")
     firsts = good.groupBy(*key).agg(F.min(F.struct("file_name", "row_number")).alias("_first"))
     if stored is not None:
-        known = stored.select(*key).distinct().withColumn("_known", F.lit(True))
-        firsts = firsts.join(known, key, "left")
+        firsts = cut_lineage(firsts)
+        known = stored.known(firsts, batch) if isinstance(stored, FingerprintIndex) else met_by(stored, firsts.select(*key))
+        firsts = firsts.join(known.withColumn("_known", F.lit(True)), key, "left")
     else:
         firsts = firsts.withColumn("_known", F.lit(None).cast("boolean"))
     bad = rows.where("error_field is not null").withColumn("outcome", F.lit("INVALID"))

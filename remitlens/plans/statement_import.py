@@ -10,6 +10,7 @@ from remitlens.config import NO_LIMITS, ReadLimits
 from remitlens.operators import imports
 from remitlens.session import cut_lineage
 from remitlens.sources import statements
+from remitlens.sources.fingerprint_index import FingerprintIndex
 
 
 @dataclass(frozen=True)
@@ -21,8 +22,8 @@ class StatementImport:
 
 
 def judge_statements(
-    files: DataFrame, batches: DataFrame | None = None, stored: DataFrame | None = None,
-    default_currency: str = "INR", skip_duplicates: bool = True, durable: bool = True, limits: ReadLimits = NO_LIMITS,
+    files: DataFrame, batches: DataFrame | None = None, stored: DataFrame | FingerprintIndex | None = None,
+    default_currency: str = "INR", skip_duplicates: bool = True, durable: bool = True, limits: ReadLimits = NO_LIMITS, batch: str = "",
 ) -> tuple[DataFrame, DataFrame]:
     """(files with their fate, rows with their outcome).
 
@@ -35,13 +36,13 @@ def judge_statements(
     laid = statements.parse_layout(screened, limits)
     parsed = statements.parse_rows(statements.statement_rows(laid), default_currency)
     printed = imports.fingerprint_rows(parsed)
-    judged = imports.deduplicate_rows(cut_lineage(printed) if durable else printed, stored, skip_duplicates)
+    judged = imports.deduplicate_rows(cut_lineage(printed) if durable else printed, stored, skip_duplicates, batch)
     return laid.drop("records"), judged
 
 
-def import_statements(files: DataFrame, batches: DataFrame | None = None, stored: DataFrame | None = None,
-                      default_currency: str = "INR", skip_duplicates: bool = True, durable: bool = True, limits: ReadLimits = NO_LIMITS) -> StatementImport:
-    laid, judged = judge_statements(files, batches, stored, default_currency, skip_duplicates, durable, limits)
+def import_statements(files: DataFrame, batches: DataFrame | None = None, stored: DataFrame | FingerprintIndex | None = None, default_currency: str = "INR",
+                      skip_duplicates: bool = True, durable: bool = True, limits: ReadLimits = NO_LIMITS, batch: str = "") -> StatementImport:
+    laid, judged = judge_statements(files, batches, stored, default_currency, skip_duplicates, durable, limits, batch)
     transactions = imports.imported_transactions(judged)
     return StatementImport(
         report=imports.import_report(laid, judged), transactions=transactions,

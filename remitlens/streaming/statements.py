@@ -1,7 +1,7 @@
 """The statement import as a file stream.
 
-Each micro-batch of new files goes through the batch import against everything stored so far, so a
-fingerprint is never imported twice, however far apart its copies arrive. Batches are written to
+Each micro-batch of new files goes through the batch import against an index of the fingerprints stored so far, of which it reads the
+slots it can meet, so a fingerprint is never imported twice, however far apart its copies arrive. Batches are written to
 numbered folders: one that is run again after a failure replaces what it had written.
 """
 
@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from remitlens.operators.imports import payments_from_transactions
 from remitlens.plans.statement_import import import_statements
+from remitlens.sources.fingerprint_index import FingerprintIndex
 from remitlens.sources.tables import replace_batch
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -28,12 +30,12 @@ def read_stored(spark: SparkSession, path: str, before_batch: int) -> DataFrame
 
 def import_stream(
     spark: SparkSession, landing: str, out: str, checkpoint: str, company_of, account_of=None,
-    max_files: int = 1000, default_currency: str = "INR",
+    max_files: int = 1000, default_currency: str = "INR", slots: int = 256,
 ) -> StreamingQuery:
     """Import statement files as they land under ``landing``.
 
     ``company_of`` and ``account_of`` turn the file path column into the company and the account.
-    Results go to ``out/transactions``, ``out/payments`` and ``out/report``.
+    Results go to ``out/transactions``, ``out/payments`` and ``out/report``, fingerprints to ``out/fingerprints``.
     """
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").option(
         "maxFilesPerTrigger", max_files).load(landing)
@@ -43,12 +45,12 @@ def import_stream(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        stored = read_stored(session, f"{out}/transactions", batch_id)
         reports = read_stored(session, f"{out}/report", batch_id)
-        result = import_statements(batch, reports, stored, default_currency)
+        index = FingerprintIndex(session, f"{out}/fingerprints", slots, batch.schema["company_id"].dataType.simpleString())
+        result = import_statements(batch, reports, index, default_currency, batch=str(batch_id))
         replace_batch(result.transactions, f"{out}/transactions", batch_id)
         written = session.read.parquet(f"{out}/transactions/batch={batch_id}")
-        from remitlens.operators.imports import payments_from_transactions
+        index.add(written, str(batch_id))
         replace_batch(payments_from_transactions(written), f"{out}/payments", batch_id)
         replace_batch(result.report, f"{out}/report", batch_id)
 

@@ -193,3 +193,23 @@ def test_a_finished_run_leaves_nothing_behind(spark, tmp_path, monkeypatch):
     assert session.cut_lineage(spark.range(5)).count() == 5 and Path(session.run_dir(spark)).exists()
     session.clear_run(spark)
     assert list(tmp_path.iterdir()) == []
+
+
+def test_index_of_fingerprints(spark, tmp_path):
+    from remitlens.sources.fingerprint_index import FingerprintIndex
+    keys = lambda *hs: spark.createDataFrame([("c1", h) for h in hs], "company_id string, deduplication_hash string")
+    index = FingerprintIndex(spark, str(tmp_path / "i"), slots=8)
+    said = lambda hs, batch: sorted(r.deduplication_hash for r in index.known(keys(*hs), batch).collect())
+    assert said(["a", "b"], "1") == []
+    index.add(keys("a", "b", "a"), "1")
+    index.add(keys("a", "b"), "1")  # a job run again
+    assert said(["a", "b", "x"], "1") == [] and said(["a", "x", "a"], "2") == ["a"] and index.entries().count() == 2
+    index.add(keys("c"), "2")
+    again = FingerprintIndex(spark, str(tmp_path / "i"), slots=99)
+    assert again.slots == 8 and sorted(r.deduplication_hash for r in again.known(keys("a", "c"), "3").collect()) == ["a", "c"]
+    small = again.compacted(str(tmp_path / "j"))
+    assert sorted(r.deduplication_hash for r in small.entries().collect()) == ["a", "b", "c"]
+    # a batch of one key lists the folders of one slot only
+    plan = again.known(keys("a"), "3")._jdf.queryExecution().executedPlan().toString()
+    slot = again._slotted(keys("a")).first().slot
+    assert "slot#" in plan and "PartitionFilters" in plan and str(slot) in plan[plan.index("PartitionFilters"):]

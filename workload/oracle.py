@@ -174,12 +174,19 @@ def stable(*parts: str) -> str:
 
 STATEMENT_PAYMENTS = f"""{_ROWS} select {stable("'PAY'", 'cast(company_id as varchar)', 'fp')} payment_id, company_id, day payment_date, amount, amount unallocated_amount, ref payment_reference,
 'UNRECONCILED' status, 'BANK_STATEMENT_CSV' source from judged where outcome = 'IMPORTED' and direction = 'CREDIT'"""
-STORED_DUPLICATES = f"""{_ROWS}, earlier as (select distinct company_id, fp from printed where error_field is null and file_name < '00000010.csv'),
+_LATER = f"""{_ROWS}, earlier as (select distinct company_id, fp from printed where error_field is null and file_name < '00000010.csv'),
 later as (select p.*, e.fp is not null known, row_number() over (partition by p.company_id, p.fp order by file_name, row_number) nth,
   first_value(file_name) over (partition by p.company_id, p.fp order by file_name, row_number) first_file
-  from printed p left join earlier e on p.company_id = e.company_id and p.fp = e.fp where error_field is null and file_name >= '00000010.csv')
+  from printed p left join earlier e on p.company_id = e.company_id and p.fp = e.fp where error_field is null and file_name >= '00000010.csv')"""
+STORED_DUPLICATES = f"""{_LATER}
 select company_id, outcome, count(*) as rows from (select company_id, case when known then 'DUPLICATE_STORED' when nth = 1 then 'IMPORTED' when first_file = file_name then 'DUPLICATE_IN_FILE'
   else 'DUPLICATE_STORED' end outcome from later union all select company_id, 'INVALID' from printed where error_field is not null and file_name >= '00000010.csv') group by 1, 2"""
+STORED_ROWS = f"""{_LATER}
+select company_id, file_name, row_number, case when known then 'DUPLICATE_STORED' when nth = 1 then 'IMPORTED' when first_file = file_name then 'DUPLICATE_IN_FILE' else 'DUPLICATE_STORED' end outcome from later
+union all select company_id, file_name, row_number, 'INVALID' from printed where error_field is not null and file_name >= '00000010.csv'"""
+STATEMENT_OUTCOME_ROWS = f"{_ROWS} select company_id, file_name, row_number, outcome from judged"
+STATEMENT_ERROR_ROWS = f"""{_ROWS} select company_id, file_name, row_number, case when outcome = 'DUPLICATE_IN_FILE' then 'reference_number' else error_field end field
+from judged where outcome in ('INVALID', 'DUPLICATE_IN_FILE')"""
 STATEMENT_ERRORS = f"""{_ROWS} select company_id, case when outcome = 'DUPLICATE_IN_FILE' then 'reference_number' else error_field end field, count(*) errors
 from judged where outcome in ('INVALID', 'DUPLICATE_IN_FILE') group by 1, 2"""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from decimal import Decimal
@@ -18,8 +19,9 @@ from remitlens.functions import dates, documents as D, fingerprint as P, masking
 from remitlens.operators import candidates, documents, evidence, imports, intake, ledger, listing, matching, multi, payer, scoring
 from remitlens.plans.reconcile import Reconciliation, ReconcilePolicy
 from remitlens.plans.statement_import import import_statements, judge_statements
-from remitlens.session import cut_lineage
+from remitlens.session import cut_lineage, run_dir
 from remitlens.sources import documents as docfiles, invoice_csv, statements
+from remitlens.sources.fingerprint_index import FingerprintIndex
 from workload import oracle as O
 from workload.views import DOCUMENT_TEXTS, ROUND_SQL, SQL, STATEMENT_HEADERS, STATEMENT_LINES, Tables
 
@@ -281,6 +283,33 @@ def statement_row_errors(t):
     return imports.row_errors(judged).groupBy("company_id", "field").agg(F.count("*").alias("errors"))
 
 
+def _numbered(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("company_id", "file_name", F.col("row_number").cast("bigint").alias("row_number"), *more)
+
+
+@query(O.STATEMENT_OUTCOME_ROWS)
+def statement_outcome_rows(t):
+    """What became of each row."""
+    return _numbered(judge_statements(statement_files(t))[1], "outcome")
+
+
+@query(O.STATEMENT_ERROR_ROWS)
+def statement_error_rows(t):
+    return _numbered(imports.row_errors(judge_statements(statement_files(t))[1]), "field")
+
+
+@query(O.STORED_ROWS)
+def statement_two_batches(t):
+    """A second batch against the index of the first; the first is added twice, as a job that was run again would."""
+    files = statement_files(t)
+    spark, half = files.sparkSession, F.col("file_name") < F.lit("00000010.csv")
+    index = FingerprintIndex(spark, f"{run_dir(spark)}/fingerprints-{uuid.uuid4().hex}", slots=64, company_type=files.schema["company_id"].dataType.simpleString())
+    for _ in range(2):
+        _, first = judge_statements(files.where(half), stored=index, batch="first")
+        index.add(imports.imported_transactions(first), "first")
+    return _numbered(judge_statements(files.where(~half), stored=index, batch="second")[1], "outcome")
+
+
 # --- invoice files --------------------------------------------------------------------------------
 
 def invoice_files(t) -> DataFrame:
