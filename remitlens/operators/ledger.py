@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from remitlens import vocab
 from remitlens.functions.text import blank_to_null, squeeze
 from remitlens.schemas import MONEY, money
+from remitlens.session import cut_lineage
 
 
 #: owners with more changes than this are streamed through in order instead of being folded as one row
@@ -34,7 +35,8 @@ def _in_order(rows: DataFrame, owner: list[str], verdict, step) -> DataFrame:
     before = F.col("_sum") - F.col("_signed")
     fits = (F.col("_early") != "") | (verdict(F.col("_a") + before, F.col("_b") - before, F.col("_change"), F.col("_kind")) == "")
     whole = W.partitionBy(*owner)
-    judged = summed.withColumn("_fits", F.min(fits.cast("int")).over(whole)).withColumn("_changes", F.count("*").over(whole))
+    # written, as three ways lead on from here
+    judged = cut_lineage(summed.withColumn("_fits", F.min(fits.cast("int")).over(whole)).withColumn("_changes", F.count("*").over(whole)))
     plain = judged.where("_fits = 1").withColumns({
         "verdict": F.when(F.col("_early") != "", F.col("_early")).otherwise("ACCEPTED"), "_a": F.col("_a") + F.col("_sum"), "_b": F.col("_b") - F.col("_sum")})
     columns = [c for c in rows.columns if c not in ("_change", "_early")]

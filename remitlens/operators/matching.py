@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def _hypotheses(matches: Column, partial: bool, proximity: int) -> Column:
     return F.array_sort(F.transform(matches, fact))
 
 
-def _one_to_one(universe: DataFrame, word: str, criteria, partial: bool) -> DataFrame:
+def _one_to_one(universe: DataFrame, word: str, criteria, partial: bool, carry: Sequence[str]) -> DataFrame:
     amount, tolerance = F.col("effective_amount"), F.lit(criteria.amount_tolerance)
     pool = F.col("_pool")
     if partial:
@@ -120,19 +122,19 @@ def _one_to_one(universe: DataFrame, word: str, criteria, partial: bool) -> Data
         F.when(stopped, F.lit(0)).when(retained == 0, F.col("total_evaluated")).otherwise(retained)
         .cast("bigint").alias("candidate_count_evaluated"),
         F.when(status == one, first(facts)).alias("matched"),
-        F.when(status == many, facts).otherwise(F.slice(facts, 1, 0)).alias("competing"),
+        F.when(status == many, facts).otherwise(F.slice(facts, 1, 0)).alias("competing"), *carry,
     )
 
 
-def match_exact(universe: DataFrame, criteria: ExactMatchCriteria = ExactMatchCriteria()) -> DataFrame:
+def match_exact(universe: DataFrame, criteria: ExactMatchCriteria = ExactMatchCriteria(), carry: Sequence[str] = ()) -> DataFrame:
     """Invoices whose outstanding balance equals the payment.
 
     More than one is ambiguous even when one of them is referenced. ``universe`` comes from
-    ``filter_candidates``, called with the same tolerance as ``exact_tolerance``.
+    ``filter_candidates``, called with the same tolerance as ``exact_tolerance``; ``carry`` names columns of it to be handed on.
     """
-    return _one_to_one(universe, "EXACT", criteria, partial=False)
+    return _one_to_one(universe, "EXACT", criteria, False, carry)
 
 
-def match_partial(universe: DataFrame, criteria: PartialMatchCriteria = PartialMatchCriteria()) -> DataFrame:
+def match_partial(universe: DataFrame, criteria: PartialMatchCriteria = PartialMatchCriteria(), carry: Sequence[str] = ()) -> DataFrame:
     """Invoices whose outstanding balance is larger than the payment."""
-    return _one_to_one(universe, "PARTIAL", criteria, partial=True)
+    return _one_to_one(universe, "PARTIAL", criteria, True, carry)

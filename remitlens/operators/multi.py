@@ -1,11 +1,12 @@
 """One payment, several invoices: multi-invoice and combination matching.
 
 The sets come from ``set_search``; what follows from them is row-local. ``universe`` is read twice, so hand over a written one.
+``carry`` names columns of it to be handed on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def _DUE_ORDER(c: Column) -> list[Column]:
 
 
 def match_multi_invoice(
-    universe: DataFrame, criteria: MultiInvoiceMatchCriteria = MultiInvoiceMatchCriteria(),
+    universe: DataFrame, criteria: MultiInvoiceMatchCriteria = MultiInvoiceMatchCriteria(), carry: Sequence[str] = (),
 ) -> DataFrame:
     """Sets of smaller invoices that add up to the payment; one is a match, several are ambiguous.
 
@@ -135,12 +136,12 @@ def match_multi_invoice(
         F.when(stopped, F.lit(False)).otherwise(F.col("is_truncated")).alias("is_universe_truncated"),
         F.when(stopped, F.lit(0)).when(retained == 0, F.col("total_evaluated")).otherwise(retained).cast("bigint").alias("candidate_count_evaluated"),
         F.when(status == one, first(facts)).alias("matched"),
-        F.when(status == many, facts).otherwise(F.slice(facts, 1, 0)).alias("competing"), F.col("_listed").alias("is_listing_complete"),
+        F.when(status == many, facts).otherwise(F.slice(facts, 1, 0)).alias("competing"), F.col("_listed").alias("is_listing_complete"), *carry,
     )
 
 
 def match_combination(
-    universe: DataFrame, criteria: CombinationMatchCriteria = CombinationMatchCriteria(),
+    universe: DataFrame, criteria: CombinationMatchCriteria = CombinationMatchCriteria(), carry: Sequence[str] = (),
 ) -> DataFrame:
     """Sets that add up to the payment, with two ways to prefer one of several.
 
@@ -238,7 +239,7 @@ def match_combination(
         status.isin(many, preferred).alias("requires_review"),
         found.cast("bigint").alias("total_found"), cut.alias("is_universe_truncated"),
         retained.cast("bigint").alias("candidate_count_evaluated"),
-        chosen.alias("matched"), competing.alias("competing"), fifo.alias("is_fifo_prioritized"), F.col("_listed").alias("is_listing_complete"),
+        chosen.alias("matched"), competing.alias("competing"), fifo.alias("is_fifo_prioritized"), F.col("_listed").alias("is_listing_complete"), *carry,
     )
 
 

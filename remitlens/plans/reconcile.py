@@ -87,11 +87,14 @@ class Reconciliation:
     @property
     def results(self) -> DataFrame:
         """One row per payment: its customer, the status and reason of each kind of match, and the best candidate with its confidence."""
-        def verdict(found: DataFrame, name: str) -> DataFrame:
-            return found.select(*PAYMENT, F.col("status").alias(f"{name}_status"), F.col("reason_code").alias(f"{name}_reason"))
-
+        policy, rows = self.policy, self.universe
+        verdicts = []
+        # one pass: each kind of match adds its verdict to the rows it was given
+        for name, match, criteria in (("exact", matching.match_exact, policy.exact), ("partial", matching.match_partial, policy.partial),
+                                      ("multi", multi.match_multi_invoice, policy.multi), ("combination", multi.match_combination, policy.combination)):
+            given = [c for c in rows.columns if c not in (*PAYMENT, "customer_id")]
+            found = match(rows, criteria, given)
+            verdicts += [f"{name}_status", f"{name}_reason"]
+            rows = found.select(*PAYMENT, "customer_id", *given, F.col("status").alias(verdicts[-2]), F.col("reason_code").alias(verdicts[-1]))
         best = self.confidence.where("rank = 1").select(*PAYMENT, "invoice_id", "confidence_score", "confidence_level")
-        joined = self.universe.select(*PAYMENT, "customer_id")
-        for name in ("exact", "partial", "multi", "combination"):
-            joined = joined.join(verdict(getattr(self, name), name), PAYMENT)
-        return joined.join(best, PAYMENT, "left")
+        return rows.select(*PAYMENT, "customer_id", *verdicts).join(best, PAYMENT, "left")
