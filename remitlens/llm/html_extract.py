@@ -21,6 +21,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 DIGIT = re.compile(r"[0-9]")
 NAME_PARTS = re.compile(r"[a-z0-9]+")
+INNER = re.compile(r"[-_]+")
 
 #: elements whose content isn't markup; none of it is text of the page
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math"}
@@ -39,6 +40,11 @@ NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
          "breadcrumbs", "footer", "masthead", "comment", "comments", "disqus", "replies", "share", "sharing", "social", "related", "toolbar", "pagination", "pager"}
 
 
+#: words that say where or what kind of box a name means, and nothing of what it holds
+PLACES = {"site", "page", "global", "main", "top", "bottom", "left", "right", "header", "wrapper", "wrap", "container", "box", "bar", "block", "area", "list", "item", "items",
+          "widget", "banner", "button", "buttons", "link", "links", "inner", "outer", "primary", "secondary", "content", "section", "panel", "slot", "unit"}
+
+
 @dataclass
 class Frame:
     tag: str
@@ -102,6 +108,12 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)} if source.strip(" \t\n\r\f/") else {}
 
 
+def _marks(name: str) -> bool:
+    """Whether a whole class or id name means furniture: one of NAMES, alone or with words for places ("site-footer", but not "related-work")."""
+    parts = set(INNER.split(name)) - {""}
+    return bool(parts & NAMES) and parts <= NAMES | PLACES
+
+
 def _is_furniture(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
     if tag in FURNITURE or (tag == "header" and not in_main):
         return True
@@ -111,7 +123,10 @@ def _is_furniture(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
         return True
     if tag in ("html", "body", "main", "article") and not NAMES & {"comment", "comments", "replies"} & set(NAME_PARTS.findall(attrs.get("class", "").lower())):
         return False
-    return bool(NAMES & set(NAME_PARTS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())))
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
+    marks = [_marks(name) for name in names if not set(INNER.split(name)) <= PLACES]
+    # within the main part only an element that has no other name: what a writer calls "social history" is text
+    return bool(marks) and (all(marks) if in_main else any(marks))
 
 
 def read_page(html: str) -> Page:
@@ -148,7 +163,8 @@ def read_page(html: str) -> Page:
         if f.chars and not f.skip:
             page.subtrees.append(Subtree(f.at, len(page.pieces), f.exact.intdigest() >> 1, f.shape.intdigest() >> 1, f.main, f.prose, 2 * f.link_chars > f.chars, f.tag not in INLINE))
 
-    def close_to(tags: set[str], within: set[str]) -> None:
+    def close_to(tags: set[str], within: set[str] | None) -> None:
+        """End the innermost open element of ``tags``, unless one of ``within`` (None: any block) lies between."""
         if not any(open_tags.get(t) for t in tags):
             return
         for k in range(len(stack) - 1, 0, -1):
@@ -156,7 +172,7 @@ def read_page(html: str) -> Page:
                 while len(stack) > k:
                     close()
                 return
-            if stack[k].tag in within:
+            if stack[k].tag not in INLINE if within is None else stack[k].tag in within:
                 return
 
     size = len(html)
@@ -175,7 +191,7 @@ def read_page(html: str) -> Page:
             if tag == "br":
                 brk()
             elif inline:
-                close_to({tag}, {f.tag for f in stack if f.tag not in INLINE})
+                close_to({tag}, None)
             else:
                 close_to({tag}, {"article", "main", "body", "html"} - {tag} if tag in ("p", "li", "div", "section") else set())
             continue

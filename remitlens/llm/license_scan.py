@@ -15,6 +15,8 @@ from remitlens.llm.license_templates import TEMPLATES
 
 UNKNOWN = "unknown"
 SHINGLE = 5
+#: code points of the longest line of a paragraph wrapped by hand
+WRAPPED = 120
 
 
 @dataclass(frozen=True)
@@ -52,10 +54,16 @@ def _shingles(words: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``key`` (of the text), place ``i`` and ``words`` of every line with a word."""
+    """``key`` (of the text), ``form``, place ``i`` and ``words`` of every paragraph with a word.
+
+    A line is a paragraph (form ``line``); so are lines between blank ones that are two or more and none longer than WRAPPED code points, as text
+    wrapped by hand is (form ``block``).
+    """
     text = text_of(text_col)
-    return docs.select(digest(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("i", "line")) \
-        .select("key", "i", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    line = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.lit("line").alias("form"), i.alias("i"), x.alias("said")))
+    wrapped = lambda x: F.contains(F.trim(x), F.lit("\n")) & F.forall(F.split(x, "\n"), lambda y: F.length(y) <= WRAPPED)
+    blocks = F.filter(F.transform(F.split(text, r"\n[ \t\r\x0B\x0C]*+\n"), lambda x, i: F.struct(F.lit("block").alias("form"), i.alias("i"), F.btrim(x, F.lit(WHITE)).alias("said"))), lambda p: wrapped(p["said"]))
+    return docs.select(digest(text).alias("key"), F.inline(F.concat(line, blocks))).select("key", "form", "i", _words(F.col("said")).alias("words")).where(F.size("words") > 0)
 
 
 def template_rows(spark: SparkSession) -> DataFrame:
@@ -120,18 +128,21 @@ def train(docs: DataFrame, policy: LicensePolicy = LicensePolicy(), text_col: st
 
 
 def scan(docs: DataFrame, policy: LicensePolicy = LicensePolicy(), text_col: str = "text", model: LicenseModel | None = None) -> DataFrame:
-    """Paragraphs predicted to be of a licence family: ``key`` (of the text), ``i``, ``family``, ``probability``, ``template`` (the closest of
-    the family), ``similarity`` (share of its shingles found) and ``confirmed``. Written to the shared folder."""
+    """Paragraphs predicted to be of a licence family: ``key`` (of the text), ``form`` and ``i`` (see ``paragraphs``), ``family``, ``probability``,
+    ``template`` (the closest of the family), ``similarity`` (share of its shingles found) and ``confirmed``. Written to the shared folder.
+
+    Null, empty and blank texts have no paragraphs; equal texts are told once, under one key; empty ``docs`` give no rows.
+    """
     spark = docs.sparkSession
     model = model or train(docs, policy, text_col)
-    predicted = staged(model.predict(paragraphs(docs, text_col)).where(F.col("family") != UNKNOWN).groupBy("key", "i", "family", "probability").agg(F.first("words").alias("words")))
+    predicted = staged(model.predict(paragraphs(docs, text_col)).where(F.col("family") != UNKNOWN).groupBy("key", "form", "i", "family", "probability").agg(F.first("words").alias("words")))
     templates = template_rows(spark).select("family", "template", _shingles(F.col("words")).alias("shingles"), F.size("words").alias("length"), F.concat_ws(" ", "words").alias("whole"))
     joined = F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" "))
     part = F.when(F.col("length") < SHINGLE, F.contains(joined, F.concat(F.lit(" "), F.col("whole"), F.lit(" "))).cast("double")) \
         .otherwise(F.size(F.array_intersect(_shingles(F.col("words")), "shingles")) / F.size("shingles"))
-    compared = predicted.join(F.broadcast(templates), "family").select("key", "i", "family", "probability", "template", part.alias("similarity"))  # a fixed list
-    best = compared.groupBy("key", "i", "family", "probability").agg(F.max(F.struct("similarity", (-F.col("template")).alias("minus"))).alias("best"))
-    return staged(best.select("key", "i", "family", "probability", (-F.col("best.minus")).alias("template"), F.col("best.similarity").alias("similarity"),
+    compared = predicted.join(F.broadcast(templates), "family").select("key", "form", "i", "family", "probability", "template", part.alias("similarity"))  # a fixed list
+    best = compared.groupBy("key", "form", "i", "family", "probability").agg(F.max(F.struct("similarity", (-F.col("template")).alias("minus"))).alias("best"))
+    return staged(best.select("key", "form", "i", "family", "probability", (-F.col("best.minus")).alias("template"), F.col("best.similarity").alias("similarity"),
                               (F.col("best.similarity") >= policy.similarity).alias("confirmed")))
 
 
