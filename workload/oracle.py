@@ -184,6 +184,9 @@ select company_id, outcome, count(*) as rows from (select company_id, case when
 STORED_ROWS = f"""{_LATER}
 select company_id, file_name, row_number, case when known then 'DUPLICATE_STORED' when nth = 1 then 'IMPORTED' when first_file = file_name then 'DUPLICATE_IN_FILE' else 'DUPLICATE_STORED' end outcome from later
 union all select company_id, file_name, row_number, 'INVALID' from printed where error_field is not null and file_name >= '00000010.csv'"""
+# a file that comes twice goes on under its first name
+FILE_GATES = f"""{ctes('statement_events')} select company_id, lpad(cast(file_id as varchar), 8, '0') || '.csv' file_name, case when file_id % 7 in (1, 2) then 'FAILED' else 'COMPLETED' end status,
+file_id % 7 in (1, 2) has_error, case when file_id % 7 in (1, 2) then 0 else count(*) end total_rows from statement_events where file_id % 7 <> 3 group by company_id, file_id"""
 STATEMENT_OUTCOME_ROWS = f"{_ROWS} select company_id, file_name, row_number, outcome from judged"
 STATEMENT_ERROR_ROWS = f"""{_ROWS} select company_id, file_name, row_number, case when outcome = 'DUPLICATE_IN_FILE' then 'reference_number' else error_field end field
 from judged where outcome in ('INVALID', 'DUPLICATE_IN_FILE')"""

@@ -283,6 +283,18 @@ def statement_row_errors(t):
     return imports.row_errors(judged).groupBy("company_id", "field").agg(F.count("*").alias("errors"))
 
 
+@query(O.FILE_GATES)
+def statement_file_gates(t):
+    """Of every seven files one lacks its amounts, one has no known header, one was imported before and one failed before; one comes twice."""
+    number = F.regexp_extract("file_name", "[0-9]+", 0).cast("int") % 7
+    said = lambda text: F.encode(F.concat(F.lit(text), F.col("file_name")), "UTF-8")
+    files = statement_files(t).withColumn("content", F.when(number == 1, said("Date,Description,Ref No\n2026-01-01,paid,")).when(number == 2, said("Foo,Bar\n1,")).otherwise(F.col("content")))
+    files = cut_lineage(files.unionByName(files.where(number == 5).withColumn("file_name", F.concat(F.lit("z"), "file_name"))))
+    done = files.where(number.isin(3, 4)).select("company_id", P.file_hash(F.col("content")).alias("file_hash"), F.when(number == 3, "COMPLETED").otherwise("FAILED").alias("status"))
+    report = import_statements(files, batches=done).report
+    return report.select("company_id", "file_name", "status", F.col("error_message").isNotNull().alias("has_error"), "total_rows")
+
+
 def _numbered(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("company_id", "file_name", F.col("row_number").cast("bigint").alias("row_number"), *more)
 
