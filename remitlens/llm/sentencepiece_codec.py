@@ -38,7 +38,11 @@ class PrefixViterbi:
         self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.pieces = {i: p for p, i in self.ids.items()}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.longest = max(map(len, self.ids))
+        # the longest piece for each three characters that a piece ends with
+        self.tails: dict[str, int] = {}
+        for p in self.ids:
+            if len(p) >= 3:
+                self.tails[p[-3:]] = max(len(p), self.tails.get(p[-3:], 0))
         if size > 1 << 16 or any(MARK in p.lstrip(MARK) for p in self.ids) or {c for p in self.ids for c in p} - self.ids.keys():
             raise ValueError(f"{path}: pieces that go over words or hold characters without a piece, or ids over 16 bits")
         # no piece holds a line end or a mark after other characters, so no merge goes over these cuts
@@ -50,12 +54,16 @@ class PrefixViterbi:
 
     def merged(self, text: str) -> list[str]:
         """The model's merges of a short text, the best score first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda k: (self.scores.get(parts[k] + parts[k + 1], -np.inf), -k))
-            if parts[best] + parts[best + 1] not in self.scores:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        parts, get, none = list(text), self.scores.get, -np.inf
+        pairs = [get(x + y, none) for x, y in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > none:
+            k = pairs.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = get(parts[k - 1] + parts[k], none)
+            if k < len(pairs):
+                pairs[k] = get(parts[k] + parts[k + 1], none)
         return parts
 
     def fit(self, before: int, piece: int) -> bool:
@@ -72,13 +80,14 @@ class PrefixViterbi:
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """Words, to be given in sorted order, with their ids as 16-bit numbers."""
         last, size = [-1], [0]  # of the piece that ends the first i characters: its id (-1: a character without one), its length
-        previous, ids, fits, longest = "", self.ids, self.fits, self.longest
+        previous, ids, fits, tails = "", self.ids, self.fits, self.tails
         for word in words:
             common, most = 0, min(len(previous), len(word))
             while common < most and previous[common] == word[common]:
                 common += 1
             del last[common + 1 :], size[common + 1 :]
             for end in range(common + 1, len(word) + 1):
+                longest = tails.get(word[end - 3 : end], 2) if end >= 3 else end
                 for start in range(end - longest if end > longest else 0, end):
                     piece = ids.get(word[start:end])
                     if piece is None:
