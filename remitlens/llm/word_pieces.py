@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 #: Python's split() takes these for white space, the tokenizer doesn't
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: bytes of words and ids kept in each of the two caches, and what an entry takes besides
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 160
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 160
 
 
 class WordEncoder:
