@@ -213,3 +213,16 @@ def test_index_of_fingerprints(spark, tmp_path):
     plan = again.known(keys("a"), "3")._jdf.queryExecution().executedPlan().toString()
     slot = again._slotted(keys("a")).first().slot
     assert "slot#" in plan and "PartitionFilters" in plan and str(slot) in plan[plan.index("PartitionFilters"):]
+
+
+def test_runs_of_the_searched_texts_are_never_broadcast(spark):
+    """They are hundreds of rows a customer, which the size of the table doesn't tell."""
+    customers = spark.createDataFrame([("c1", "k1", "Rapid Tools", "TX1", "a@x.org", None, False), ("c1", "k2", "Slow Tools", None, None, "+91", False), ("c1", "k3", "Rare", None, None, None, True)],
+                                      "company_id string, customer_id string, name string, tax_id string, email string, phone string, is_archived boolean")
+    aliases = spark.createDataFrame([("c1", "k2", "Éclair Trading"), ("c1", "k3", "Gone Trading")], "company_id string, customer_id string, alias_name string")
+    identifiers = spark.createDataFrame([("c1", "k1", "9000")], "company_id string, customer_id string, identifier_value string")
+    asked = spark.createDataFrame([("c1", q) for q in ["rapid", "tools", "éclair", "+9", "x", "gone", "9000", " ", "nothing"]] + [("c2", "rapid")], "company_id string, query string")
+    found = documents.unique_search(asked, customers, aliases, identifiers)
+    assert {(r.company_id, r.query): r.customer_id for r in found.collect()} == {
+        ("c1", "rapid"): "k1", ("c1", "éclair"): "k2", ("c1", "+9"): "k2", ("c1", "9000"): "k1", ("c1", "x"): "k1"}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
