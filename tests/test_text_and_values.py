@@ -84,3 +84,11 @@ def test_masks(spark):
 def test_document_fields(spark, text, number, total, status):
     row = extract_fields(spark.createDataFrame([(text,)], "text string")).collect()[0]
     assert (row.invoice_number, row.total_amount, row.is_ambiguous) == (number, None if total is None else Decimal(total), status)
+
+
+def test_a_currency_code_inside_a_name_is_none(spark):
+    from remitlens.functions.documents import currency_of
+    cases = {"Bill To: BGBPFL & building LLP\nTotal: 5.00": "INR", "Bill To: Eurotrade, EUROPE": "INR", "AUSDB": "INR", "Total: USD 5.00": "USD", "GBP5.00": "GBP", "5.00EUR": "EUR",
+             "$5": "USD", "5 £": "GBP", "EUR 1, USD 2": "USD", "ÄEUR": "INR", "": "INR"}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", currency_of(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in rows} == cases
