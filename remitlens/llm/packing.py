@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.llm.common import text_of
-from remitlens.llm.word_pieces import encoder
+from remitlens.llm.word_pieces import CACHE_BYTES, encoder
 
 TIERS = (2048, 1024, 512, 256)
 #: sequences of a partition are numbered within so many bits
@@ -108,7 +108,7 @@ class Tiers:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 16,
-                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Tokenize every document, end it with ``end_id`` and pack all into sequences of ``tiers`` tokens, without padding.
 
     Each partition is packed by itself as it streams through, so nothing is shuffled and a task holds BATCH_DOCS documents and those that wait; a
@@ -117,6 +117,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers:
     end), ``sequence_id`` (unique; the partition's number in its high bits), ``offset`` in the sequence, ``window`` (its size) and
     ``step`` (windows of one size and one step of a
     partition make a step group; each holds ``step_tokens`` tokens, but for the last of its size). With ``with_ids`` also the ids.
+    A worker keeps known words in two caches of ``cache_bytes`` each; smaller ones take more time and give the same rows.
     Every row is packed: a null text counts as empty and is one end id; a null id stays null; repeated rows are packed each.
     Other columns are ignored. Empty ``docs`` give no rows.
     """
@@ -125,7 +126,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers:
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base, made = encoder(tokenizer_path).encode, TaskContext.get().partitionId() << CUT_ID_BITS, 0
+        encode, base, made = encoder(tokenizer_path, cache_bytes).encode, TaskContext.get().partitionId() << CUT_ID_BITS, 0
         per_tier: dict[int, int] = defaultdict(int)
         packer, held = Tiers(tiers), {}
 

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 #: Python's split() takes these for white space, the tokenizer doesn't
 SEPARATORS = regex.compile("[\x1c-\x1f]")
-#: bytes of words and ids kept in each of the two caches, and what an entry takes besides
+#: bytes of words and ids kept in each of the two caches by default, and what an entry takes besides
 CACHE_BYTES, ENTRY_BYTES = 96 << 20, 160
 
 
@@ -22,7 +22,8 @@ class WordEncoder:
     by the tokenizer's own pattern, and each new word goes through the library. Caches are emptied when they are full.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+        self.cache_bytes = cache_bytes
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed: the tokenizer's own words
@@ -55,7 +56,7 @@ class WordEncoder:
             return
         cache: dict[str, bytes] = getattr(self, name)
         size = ENTRY_BYTES + len(text) + len(ids)
-        if self.held[name] + size > CACHE_BYTES:
+        if self.held[name] + size > self.cache_bytes:
             cache.clear()
             self.held[name] = 0
         cache[text] = ids
@@ -80,9 +81,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each file and worker."""
-    found = WordEncoder(path)
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> WordEncoder:
+    """One encoder for each file, size of caches and worker."""
+    found = WordEncoder(path, cache_bytes)
     if found.tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError(f"{path}: ids over 16 bits")
     return found

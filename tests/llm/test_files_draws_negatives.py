@@ -217,3 +217,16 @@ def test_tables_without_anchors_positives_or_rows(spark):
 def test_keys_sort_as_their_parts():
     parts = [(a, s, n, i) for a in (-5, 0, 7) for s in (-(1 << 62), -1, 0, 3, 1 << 62) for n in (False, True) for i in (-9, 0, 4)]
     assert [parts_of(k) for k in sorted(key_of(*p) for p in parts)] == sorted(parts, key=lambda p: (p[0], -p[1], p[2], p[3]))
+
+
+def test_small_caches_of_words_stay_small_and_give_the_same_pieces(spark):
+    from remitlens.llm.packing import pack_documents
+    from remitlens.llm.queries import vocabulary
+    from remitlens.llm.word_pieces import WordEncoder
+    path = vocabulary("word_bpe_49k.json")
+    texts = [" ".join(f"word{i * k % 977}, über{k}" for k in range(60)) for i in range(40)]
+    small, usual = WordEncoder(path, 4_000), WordEncoder(path)
+    assert all((small.encode(t) == usual.encode(t)).all() and max(small.held.values()) <= 4_000 for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2, "doc_id").sortWithinPartitions("doc_id")
+    one, two = (sorted(map(tuple, pack_documents(df, path, with_ids=True, **kw).collect())) for kw in ({}, {"cache_bytes": 4_000}))
+    assert one == two and one
