@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.llm.common import digest, look_up, plain_lines, staged, text_of
+from remitlens.session import scratch
 
 FIELD = "<*>"
 
@@ -81,10 +82,11 @@ def line_templates(docs: DataFrame, policy: TemplatePolicy = TemplatePolicy(), t
     counts = held.distinct().groupBy("id").agg(F.count("*").alias("documents")).where(F.col("documents") >= enough)
     recurring = staged(made.join(counts, "id"))
     gone = look_up(rows.select("key", "i", "form"), recurring.select("form", F.lit(True).alias("gone"), "n"), ["form"], "inner", spread="key")
-    drops = staged(gone.groupBy("key").agg(F.collect_set("i").alias("drop"), F.count("*").alias("n")))
+    drops = staged(gone.groupBy("key").agg(F.collect_set("i").alias("drop"), F.count("*").alias("n")), keep=True)
     return recurring.select("template", "documents").distinct(), drops
 
 
+@scratch()
 def drop_template_lines(docs: DataFrame, policy: TemplatePolicy = TemplatePolicy(), id_col: str = "doc_id", text_col: str = "text",
                         count_cols: bool = False) -> DataFrame:
     """``docs`` without the lines that are instances of a recurring template; other lines, blank ones too, stay as they are and in order.

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from remitlens.llm.common import digest, let, look_up, staged, text_of
+from remitlens.session import scratch
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Same matches as the plain patterns, in linear time: a run without a match is tried once, from its start (\G: or from the last match's end).
@@ -146,6 +147,7 @@ def span_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(said(F.filter("spans", lambda s: s["kind"] < 4)), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+@scratch()
 def sanitised(docs: DataFrame, policy: DisclosurePolicy = DisclosurePolicy(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with base values generalised to their kind, disclosing terms to [NAME] or [NUMBER] by their form or else removed.
 
@@ -158,7 +160,7 @@ def sanitised(docs: DataFrame, policy: DisclosurePolicy = DisclosurePolicy(), id
     begins = spans.withColumn("first", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int"))
     islands = begins.withColumn("island", F.sum("first").over(order)).groupBy("key", "island").agg(
         F.max("n").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.when(F.col("first") == 1, F.col("kind"))).alias("kind"))
-    by_text = staged(islands.groupBy("key").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts")))
+    by_text = staged(islands.groupBy("key").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts")), keep=True)
     rows = docs.select(F.struct("*").alias("doc"), digest(text_of(text_col)).alias("key"), F.xxhash64(id_col).alias("spread"))
     text = text_of(f"doc.{text_col}")
 

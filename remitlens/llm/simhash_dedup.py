@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from remitlens.llm.common import digest, look_up, staged, text_of
 from remitlens.llm.components import components
+from remitlens.session import scratch
 
 SEED = 42
 BITS = 64
@@ -127,6 +128,7 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+@scratch()
 def without_near_copies(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group that ``near_dedup`` finds, that of the smallest id; the columns of ``docs``.
 
@@ -138,7 +140,7 @@ def without_near_copies(docs: DataFrame, radius: int = 2, size: int = 3, id_col:
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` less the rows that ``groups`` (``key``, ``kept``, a row per row of ``docs``) doesn't keep."""
     # rows of one id and text have one key; only keys that lose a row are looked up
-    losing = staged(groups.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("kept").alias("stays")).where("not stays or n > 1"))
+    losing = staged(groups.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("kept").alias("stays")).where("not stays or n > 1"), keep=True)
     rows = docs.select(F.struct("*").alias("doc"), row_key(id_col, text_col).alias("key"))
     met = look_up(rows, losing, ["key"], "left", spread="key")
     whole = met.where("stays is null").select("doc.*")
