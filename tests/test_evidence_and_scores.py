@@ -72,3 +72,20 @@ def test_items_from_outside_count_and_bad_ones_are_set_aside(spark):
     assert any(i.source == "unknown.source" for i in row.bundles[0]["items"])
     score = scoring.score_candidates(normalized).collect()[0]
     assert {c.signal_type for c in score.contributions} >= {"IDENTIFIER_MATCH", "HISTORICAL_PATTERN"}
+
+
+def test_each_fact_of_a_score_is_computed_once(spark):
+    """Lambdas compute a name anew wherever it stands: the plan may hold each fact once, not once for every field made of it."""
+    ev = collected(spark, dict(total=100), amount=100)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        normalized = scoring.normalize_evidence(ev)
+        plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+        before, read = plan(ev), plan(normalized)
+        scored = plan(scoring.score_candidates(normalized))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # one for the items of the payment, one for those of its candidates
+    assert read.count(".observed_result") - before.count(".observed_result") == 2
+    # the reference of the payment is looked for once in its items, once in a candidate's and named once by the test of its origin
+    assert scored.count("PAYMENT_REFERENCE") - read.count("PAYMENT_REFERENCE") == 3
