@@ -92,3 +92,20 @@ def test_a_currency_code_inside_a_name_is_none(spark):
              "$5": "USD", "5 £": "GBP", "EUR 1, USD 2": "USD", "ÄEUR": "INR", "": "INR"}
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", currency_of(F.col("t")).alias("c")).collect()
     assert {r.t: r.c for r in rows} == cases
+
+
+def test_document_patterns_are_tried_once(spark):
+    """A date's month name and a document's labelled number are sought once, not for every month and every test of them."""
+    from remitlens import vocab
+    from remitlens.functions import documents
+    texts = spark.createDataFrame([("x",)], "text string")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = lambda column: texts.select(column.alias("o"))._jdf.queryExecution().analyzed().toString()
+        c = F.col("text")
+        dated, numbered = plan(dates.document_date(c)), plan(documents.invoice_number(c, c, c, c))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # the month decides, and year, month and day are taken from where it was found
+    assert dated.count(dates._DAY_MONTH) == dated.count(dates._MONTH_DAY) == dated.count(dates._NUMERIC) == 3
+    assert numbered.count(vocab.INVOICE_LABELLED) == numbered.count(vocab.INVOICE_FALLBACK) == 1
