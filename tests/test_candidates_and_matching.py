@@ -63,6 +63,15 @@ def test_hot_customers_give_the_same_result(spark):
     assert results[0] == results[1] == results[2]
 
 
+def test_pairs_are_neither_sorted_nor_shuffled_with_their_texts(spark):
+    known = candidates.resolved_payments(judged(payments(spark, {})).withColumns({"customer_id": F.lit("k1"), "customer_is_archived": F.lit(False)}))
+    owed = invoices(spark, dict(total=5), dict(total=100))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan(candidates.filter_candidates(known, owed, CandidateFilterCriteria(max_candidates=1)))
+    pairs = known.join(owed.withColumnsRenamed({"company_id": "invoice_company_id", "customer_id": "invoice_customer_id"}), F.lit(True))
+    assert plan(candidates.filter_pairs(pairs, CandidateFilterCriteria(max_candidates=1))).count("Exchange hashpartitioning") == 1
+
+
 def test_generation_is_bounded_before_gates(spark):
     known = candidates.resolved_payments(judged(payments(spark, {})).withColumn("customer_id", F.lit("k1")))
     u = candidates.generate_universe(known, invoices(spark, *[dict(total=5, issue_date=DAY + timedelta(5)) for _ in range(4)]), CandidateLimit(3)).collect()[0]
