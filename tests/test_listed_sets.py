@@ -28,7 +28,7 @@ def flood(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["combination_facts"])
+@pytest.mark.parametrize("name", ["combination_facts", "combination_match_all", "multi_invoice_match_all", "combination_match", "multi_invoice_match"])
 def test_all_sets_of_a_payment_are_listed(spark, flood, name):
     con = duckdb.connect()
     for table in ("customer", "orders"):
